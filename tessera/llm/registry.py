@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_mix, op3_shard, op7_token_files, op8_pack
+from tessera.llm import op1_mix, op2_warc, op3_shard, op7_token_files, op8_pack
 
 QUERIES = {
     "op1_pareto_mix": op1_mix.op1_pareto_mix,
+    "op2_warc": op2_warc.op2_warc,
     "op3_karmarkar_karp": op3_shard.op3_karmarkar_karp,
     "op7_simple8b": op7_token_files.op7_simple8b,
     "op8_minimum_bin_slack": op8_pack.op8_minimum_bin_slack,
 }
-ORACLE_SQL = {"op1_pareto_mix": op1_mix.ORACLE}
+ORACLE_SQL = {"op1_pareto_mix": op1_mix.ORACLE, "op2_warc": op2_warc.ORACLE}
