@@ -213,16 +213,27 @@ def _zipped(f, size: int) -> Iterator[tuple]:
                     raise Broken(what, end)
                 yield kind, at, end - at, what, block
         except Broken as e:
-            end = e.end or _search(f, at + 1, size, b"\x1f\x8b\x08", lambda data, k: _opens_with_version(data[k : k + 2048]))
+            end = e.end or _search(f, at + 1, size, b"\x1f\x8b\x08", _member_starts)
             yield "gap", at, end - at, e.reason, None
         at = end
 
 
+def _is_zipped(f, size: int) -> bool:
+    f.seek(0)
+    head = f.read(5)
+    if head == b"WARC/" or head[:2] == b"\x1f\x8b":
+        return head != b"WARC/"
+    return _search(f, 0, size, b"\x1f\x8b\x08", _member_starts) < _search(f, 0, size, b"WARC/1.", _VERSION.match)
+
+
+def _member_starts(data: bytes, at: int) -> bool:
+    return _opens_with_version(data[at : at + 2048])
+
+
 def salvage(f, size: int) -> Iterator[tuple]:
     """("record", offset, length, headers, block) and ("gap", offset, length, reason, None), in order."""
-    f.seek(0)
     gap = None
-    for item in (_plain if f.read(5) == b"WARC/" else _zipped)(f, size):
+    for item in (_zipped if _is_zipped(f, size) else _plain)(f, size):
         if item[0] == "gap" and gap and gap[1] + gap[2] == item[1]:
             gap = ("gap", gap[1], gap[2] + item[2], gap[3], None)  # a failed restart belongs to the gap before
             continue
