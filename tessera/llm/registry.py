@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_mix, op2_warc, op3_shard, op7_token_files, op8_pack
+from tessera.llm import op1_mix, op2_warc, op3_shard, op7_token_files, op8_pack, op9_simhash
 
 QUERIES = {
     "op1_pareto_mix": op1_mix.op1_pareto_mix,
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_karmarkar_karp": op3_shard.op3_karmarkar_karp,
     "op7_simple8b": op7_token_files.op7_simple8b,
     "op8_minimum_bin_slack": op8_pack.op8_minimum_bin_slack,
+    "op9_covering_lsh": op9_simhash.op9_covering_lsh,
 }
 ORACLE_SQL = {"op1_pareto_mix": op1_mix.ORACLE, "op2_warc": op2_warc.ORACLE}
