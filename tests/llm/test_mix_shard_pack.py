@@ -84,7 +84,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_pieces_encode_as_whole_texts():
     encoder = tokens.encoder()
-    odd = ["a  b", "x\n\n  y z \t", "  lead", " ", "\n", "it's  we'll\r\n ok", "<|endoftext|> a", "", None, "日本 語　x", "a \u0085b", "a\x1c b", "tail   ", "\x0b\x0c v"]
+    odd = ["a  b", "x\n\n  y z \t", "  lead", " ", "\n", "it's  we'll\r\n ok", "<|endoftext|> a", "", None, "日本 語　x", "a \u0085b", "a\x1c b", "tail   ", "\x0b\x0c v", "abcΩd x'tis foo.bar2 été,naïve×y o'clock ab\u0301c don't"]
     for text, raw in zip(odd, encoder.encode(odd)):
         assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
