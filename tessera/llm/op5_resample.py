@@ -14,17 +14,16 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
 from tessera.llm.labelled import sample
+from tessera.llm.wordhash import WORD, hashes
 
 BUCKETS = 1 << 14
 PASSAGE = 200.0
@@ -32,22 +31,12 @@ PRIOR = 30
 SMOOTHING = 1.0
 REJECT = 0.005
 SEED = "resample-1"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX, _PUT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_hashes: dict[str, bytes] = {}
 
 
 def grams(text: str | None) -> np.ndarray:
     """Buckets of the text's words and word pairs."""
-    words = _WORD.findall(text or "")
-    try:
-        raw = b"".join(map(_hashes.__getitem__, words))
-    except KeyError:
-        if len(_hashes) > 500_000:
-            _hashes.clear()
-        _hashes.update((w, xxhash.xxh64_digest(w)) for w in set(words) if w not in _hashes)
-        raw = b"".join(map(_hashes.__getitem__, words))
-    own = np.frombuffer(raw, np.uint64)
+    own = np.frombuffer(hashes(WORD.findall(text or "")), np.uint64)
     pairs = (own[:-1] * _MIX + own[1:]) * _PUT
     return (np.concatenate([own, pairs]) >> np.uint64(50)).astype(np.int64)
 

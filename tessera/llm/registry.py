@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_mix, op2_warc, op3_shard, op4_lines, op5_resample, op7_token_files, op8_pack, op9_simhash
+from tessera.llm import op1_mix, op2_warc, op3_shard, op4_lines, op5_resample, op6_passages, op7_token_files, op8_pack, op9_simhash
 
 QUERIES = {
     "op1_pareto_mix": op1_mix.op1_pareto_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_karmarkar_karp": op3_shard.op3_karmarkar_karp,
     "op4_line_crf": op4_lines.op4_line_crf,
     "op5_importance_resampling": op5_resample.op5_importance_resampling,
+    "op6_phrase_automata": op6_passages.op6_phrase_automata,
     "op7_simple8b": op7_token_files.op7_simple8b,
     "op8_minimum_bin_slack": op8_pack.op8_minimum_bin_slack,
     "op9_covering_lsh": op9_simhash.op9_covering_lsh,
