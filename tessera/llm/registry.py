@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_mix, op2_warc, op3_shard, op4_lines, op5_resample, op6_passages, op7_token_files, op8_pack, op9_simhash
+from tessera.llm import op10_search, op1_mix, op2_warc, op3_shard, op4_lines, op5_resample, op6_passages, op7_token_files, op8_pack, op9_simhash
 
 QUERIES = {
     "op1_pareto_mix": op1_mix.op1_pareto_mix,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_simple8b": op7_token_files.op7_simple8b,
     "op8_minimum_bin_slack": op8_pack.op8_minimum_bin_slack,
     "op9_covering_lsh": op9_simhash.op9_covering_lsh,
+    "op10_collision_counting": op10_search.op10_collision_counting,
 }
 ORACLE_SQL = {"op1_pareto_mix": op1_mix.ORACLE, "op2_warc": op2_warc.ORACLE}
