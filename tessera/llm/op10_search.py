@@ -4,7 +4,7 @@ Vectors are scaled by the largest norm and get one more component that brings th
 that the largest inner product is the smallest distance.  The rows are dealt to blocks; a block holds,
 for each of ``PROJECTIONS`` random directions, its rows sorted by their projection.  A query opens a
 window around its own projection in each array and widens it by virtual rehashing (radius R, R x
-``GROWTH``, ...), counting for each row the windows that hold it.  Rows that reach the collision
+``GROWTH``, ...; the first R is guessed from some rows), counting for each row the windows that hold it.  Rows that reach the collision
 threshold are verified by the exact product; the search of a block ends when ``k`` verified rows lie
 within R, for which the threshold is set so that a row at distance R itself passes with about 95 %.
 There is no cap on candidates: a query that finds too few goes on until the windows hold everything.
@@ -36,9 +36,12 @@ PROJECTIONS = 64
 GROWTH = 1.1
 #: Half width of a window over the radius, and the threshold's distance from the mean in deviations.
 HALF_WIDTH = 1.0
-SLACK = 1.7
+SLACK = 1.4
+#: Least radius to begin with, and rows of a block from which a query's first radius is guessed; a bad
+#: guess costs time, not results.
 START = 0.05
-BLOCK = 8192
+PROBES = 512
+BLOCK = 16_384
 QUERIES_AT_ONCE = 2048
 SEED = 20
 
@@ -57,46 +60,56 @@ class Block:
     """The sorted projections of one block's rows."""
 
     def __init__(self, vectors: np.ndarray, longest: float):
-        self.vectors = vectors
+        self.vectors, self.longest = vectors, longest
         unit = vectors / longest
         extra = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", unit, unit)))
-        d = unit.shape[1]
+        n, d = unit.shape
         self.directions = np.random.default_rng(SEED).standard_normal((PROJECTIONS, d + 1))
         at = self.directions[:, :d] @ unit.T + self.directions[:, d:] * extra
-        self.order = np.argsort(at, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(at, self.order, axis=1)
-        self.longest = longest
+        order = np.argsort(at, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(at, order, axis=1)
+        self.place = np.empty(order.shape, np.uint16 if n < 1 << 16 else np.uint32)  # of a row in each array
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n, dtype=self.place.dtype), order.shape), axis=1)
+        self.probe = vectors[np.random.default_rng(SEED + 1).permutation(n)[:PROBES]]
         p = math.erf(HALF_WIDTH / math.sqrt(2.0))
         self.threshold = max(1, math.floor(PROJECTIONS * p - SLACK * math.sqrt(PROJECTIONS * p * (1 - p))))
 
+    def _distance(self, score: float, norm: float) -> float:
+        return math.sqrt(max(0.0, 2.0 - 2.0 * score / (self.longest * norm)))
+
+    def collisions(self, here: np.ndarray, radius: float) -> np.ndarray:
+        """How many of a query's windows hold each row: its place lies between the window's ends."""
+        half = HALF_WIDTH * radius
+        low = np.array([s.searchsorted(h - half, "left") for s, h in zip(self.sorted, here)])
+        high = np.array([s.searchsorted(h + half, "right") for s, h in zip(self.sorted, here)])
+        kind = self.place.dtype
+        if (high - low >= np.iinfo(kind).max).any():
+            kind = np.dtype(np.int64)
+        inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None] if kind != np.int64 else (self.place >= low[:, None]) & (self.place < high[:, None])
+        return inside.sum(axis=0, dtype=np.uint16)
+
     def nearest(self, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
         """Rows found: at least the ``k`` best of those verified (all rows but ``skip``, if there are no more)."""
         n, norm = len(self.vectors), float(np.sqrt(query @ query))
+        want = min(k, n - len(skip))
+        if want <= 0:
+            return np.zeros(0, np.int64)
         here = self.directions[:, : len(query)] @ (query / norm)
-        low = high = np.array([np.searchsorted(s, h) for s, h in zip(self.sorted, here)])
-        count, scores = np.zeros(n, np.int32), np.full(n, -np.inf)
-        seen = np.zeros(n, bool)
+        scores, seen = np.full(n, -np.inf), np.zeros(n, bool)
         seen[skip] = True
-        want, radius = min(k, n - len(skip)), START
-        while want > 0:
-            a = np.array([np.searchsorted(s, h - HALF_WIDTH * radius, "left") for s, h in zip(self.sorted, here)])
-            b = np.array([np.searchsorted(s, h + HALF_WIDTH * radius, "right") for s, h in zip(self.sorted, here)])
-            a, b = np.minimum(a, low), np.maximum(b, high)
-            fresh = [o[x:y] for o, x, y in zip(self.order, a, low) if x < y] + [o[x:y] for o, x, y in zip(self.order, high, b) if x < y]
-            if fresh:
-                count += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            low, high = a, b
-            new = np.flatnonzero((count >= self.threshold) & ~seen)
-            if len(new):
-                seen[new] = True
-                scores[new] = self.vectors[new] @ query
-            if n - np.count_nonzero(~seen) - len(skip) >= want:
+        guess = np.sort(self.probe @ query)[::-1]
+        radius = max(START, self._distance(float(guess[min(1, len(guess) - 1)]), norm))
+        found = 0
+        while True:
+            new = np.flatnonzero((self.collisions(here, radius) >= self.threshold) & ~seen) if radius < 8.0 else np.flatnonzero(~seen)
+            seen[new] = True
+            scores[new] = self.vectors[new] @ query
+            found += len(new)
+            if found >= want:
                 worst = -np.partition(-scores, want - 1)[want - 1]
-                distance = math.sqrt(max(0.0, 2.0 - 2.0 * worst / (self.longest * norm)))
-                if distance <= radius or seen.all():
+                if self._distance(worst, norm) <= radius or seen.all():
                     return np.flatnonzero(scores >= worst - 1e-9 * (1.0 + abs(worst)))
             radius *= GROWTH
-        return np.zeros(0, np.int64)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
