@@ -1,4 +1,9 @@
-"""Driver queries and their SQL."""
+"""Driver queries and their SQL, one entry an operator shape."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from tessera.plans import catalog_groups, catalog_labels, catalog_points
+
+_PARTS = (catalog_points, catalog_labels, catalog_groups)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
