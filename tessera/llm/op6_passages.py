@@ -2,6 +2,8 @@
 
 A window is ``WINDOW`` words; a word goes if a window over it also starts in a document of smaller id.
 
+Only one exchange moves all texts (compressed); later ones move documents that share something.
+
 1. Every window is represented by the least hash of the ``PHRASE``-word runs in it, so equal windows
    share a representative and neighbours mostly do; those that occur in two documents are kept.
 2. Windows with such a representative are counted by hash: recurring ones belong to the smallest
@@ -28,10 +30,11 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, stored, table, word_count
 from tessera.llm.wordhash import WORD, Runs, hashes, rolling_min
 
 WINDOW = 50
@@ -45,6 +48,10 @@ LAST_ID = (1 << 63) - 1
 _INT64 = pa.int64()
 
 
+def _keys(id_name: str = "id", hash_name: str = "text_hash") -> tuple[Column, Column]:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias(id_name), F.xxhash64(F.coalesce("text", F.lit(""))).alias(hash_name)
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[str]]]]:
     """(from, to, words) for stretches of the batch's documents; column 1 is the text."""
     start, words, n = 0, [], 0
@@ -188,7 +195,7 @@ class Shard:
 
 
 def _apply(docs: DataFrame, with_text: bool) -> DataFrame:
-    """``docs``: id, text, segments, then anything; what is left of each document."""
+    """``docs``: id, text_hash, text, segments.  What is left of the documents that lose words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,51 +203,77 @@ def _apply(docs: DataFrame, with_text: bool) -> DataFrame:
                 yield _shard(batch.slice(at, SHARD))
 
     def _shard(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, lists = batch.column(0).to_pylist(), batch.column(2)
-        segments = {(s["keeper"], s["segment"]): s["phrase"] for found in lists.to_pylist() for s in found or ()}
-        shard = Shard(segments) if segments else None
-        totals, removed, digests, texts = [], [], [], []
-        for i, text in enumerate(batch.column(1)):
-            text = text.as_py()
-            words = WORD.findall(text or "")
-            totals.append(len(words))
-            if shard is not None and lists[i].is_valid:
-                gone = shard.covered(ids[i], words)
-                words = [w for w, g in zip(words, gone.tolist()) if not g]
-            left = " ".join(words)
-            removed.append(totals[-1] - len(words))
-            digests.append(hashlib.sha256(left.encode()).hexdigest())
-            texts.append(left if removed[-1] else text)
-        out = [pa.array(totals, _INT64), pa.array(removed, _INT64), pa.array(digests, pa.string())]
-        if with_text:
-            out.append(pa.array(texts, pa.string()))
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, batch.num_columns)), *out], names=[*batch.schema.names[3:], *names])
-
-    names = ["_n_words", "_n_removed", "_kept_sha256"] + ["_kept_text"] * with_text
-    more = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields[3:])
-    return docs.mapInArrow(run, f"{more}, _n_words long, _n_removed long, _kept_sha256 string" + ", _kept_text string" * with_text)
+        ids, hashed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        shard = Shard({(s["keeper"], s["segment"]): s["phrase"] for found in batch.column(3).to_pylist() for s in found})
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for i, text in enumerate(batch.column(2)):
+            words = WORD.findall(text.as_py() or "")
+            gone = shard.covered(ids[i], words)
+            if gone.any():
+                left = " ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                for column, value in zip(out, (ids[i], hashed[i], int(gone.sum()), hashlib.sha256(left.encode()).hexdigest(), left if with_text else None)):
+                    column.append(value)
+        kinds = (_INT64, _INT64, _INT64, pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "text_hash", "n", "sha", "left"])
 
+    return docs.mapInArrow(run, "id long, text_hash long, n long, sha string, left string")
 
-def deduplicated(docs: DataFrame, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (default: doc_id) with _n_words, _n_removed, _kept_sha256 and,
-    if asked for, _kept_text (the text itself where nothing was removed)."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
-    base = docs.select(key, "text")
-    anchors = _anchors(base).distinct()
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text_hash, text) with the text compressed for the exchange."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = pa.array([pack((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["id", "text_hash", "packed"])
+
+    return docs.mapInArrow(run, "id long, text_hash long, packed binary")
+
+
+def _unpacked(docs: DataFrame) -> DataFrame:
+    """``docs``: id, text_hash, packed, anchors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                text = pa.array([unpack(t.as_py()).decode() for t in part.column(2)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text, part.column(3)], names=["id", "text_hash", "text", "anchors"])
+
+    return docs.mapInArrow(run, "id long, text_hash long, text string, anchors array<long>")
+
+
+def changes(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """id, text_hash, n (words removed), sha and, if asked for, left (the text) of the documents that lose words."""
+    base = docs.select(*_keys(), "text")
+    anchors = stored(_anchors(base.select("id", "text")).distinct(), "op6-anchors")
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     lists = cut(anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
 
-    windows = _candidates(base.join(lists, "id"))
+    # the one exchange of all texts; from here on only documents that share something
+    some = stored(_unpacked(_packed(base).join(lists, "id").select("id", "text_hash", "packed", "anchors")), "op6-candidates")
+    windows = stored(_candidates(some.select("id", "text", "anchors")), "op6-windows")
     kept = windows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     keepers = kept.groupBy(F.col("lo").alias("id")).agg(F.collect_set("w").alias("ws"))
-    segments = cut(_segments(base.join(keepers, "id")))
+    segments = stored(_segments(some.select("id", "text").join(keepers, "id")), "op6-segments")
     pointers = segments.select("keeper", "segment", F.explode("ws").alias("w"))
     wanted = windows.join(pointers, "w").where("id > keeper").select("id", "keeper", "segment").distinct()
     phrases = segments.select("keeper", "segment", "phrase").distinct()
     sent = wanted.join(phrases, ["keeper", "segment"]).groupBy("id").agg(F.collect_list(F.struct("keeper", "segment", "phrase")).alias("segments"))
-    rows = docs.select(key, F.col("text").alias("_text"), *[docs[c] for c in carry or ["doc_id"]])
-    rows = rows.join(sent.withColumnRenamed("id", "_id").withColumnRenamed("segments", "_segments"), F.col("id") == F.col("_id"), "left")
-    return _apply(rows.select("id", "_text", "_segments", *(carry or ["doc_id"])), with_text)
+    return _apply(some.select("id", "text_hash", "text").join(sent, "id"), with_text)
+
+
+def deduplicated(docs: DataFrame, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (default: doc_id) with _n_words, _n_removed, _kept_sha256 and, if
+    asked for, _kept_text (the text itself where nothing was removed)."""
+    changed = cut(changes(docs, with_text).dropDuplicates(["id", "text_hash"]))
+    joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    rows = docs.select(*[docs[c] for c in carry or ["doc_id"]], *_keys("_id", "_hash"), word_count(F.col("text")).alias("_n_words"), F.sha2(joined, 256).alias("_sha"), *([F.col("text").alias("_text")] if with_text else []))
+    rows = rows.join(changed, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("text_hash")), "left")
+    out = [F.coalesce("n", F.lit(0)).cast("long").alias("_n_removed"), F.coalesce("sha", "_sha").alias("_kept_sha256")]
+    return rows.select(*(carry or ["doc_id"]), "_n_words", *out, *([F.coalesce("left", "_text").alias("_kept_text")] if with_text else []))
 
 
 def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
