@@ -16,9 +16,9 @@ import numpy as np
 #: Name of the vocabulary in the public tokenizers folder; a path works too.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by a worker at most; the cache starts afresh beyond.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
 #: Texts whose new pieces are encoded together.
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 128
 #: White space and a run of Latin letters that an ASCII sign or the end follows, or all up to the next space.
 _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])|[^ \n\t\r]+)|[ \n\t\r]+\Z")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
@@ -35,7 +35,7 @@ class Encoder:
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
@@ -53,28 +53,32 @@ class Encoder:
             out += self._encode(texts[at : at + TEXTS_AT_ONCE])
         return out
 
+    def _joined(self, text: str, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except TypeError:  # a piece with odd white space has no ids of its own
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         missed = []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _ODD_SPACE.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out[i] = np.array(ids, dtype="<u4").tobytes()
-                continue
-            pieces = _PIECE.findall(text)
-            try:
-                out[i] = b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                missed.append((i, pieces))
-        new = {p for _, pieces in missed for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
+            if text:
+                pieces = _PIECE.findall(text)
+                try:
+                    out[i] = self._joined(text, pieces)
+                except KeyError:
+                    missed.append((i, pieces))
+        known = self.known
+        new = {p for _, pieces in missed for p in pieces if p not in known}
+        if len(known) + len(new) > CACHE_PIECES:
+            known.clear()
             new = {p for _, pieces in missed for p in pieces}
-        self._learn(list(new))
+        odd = [p for p in new if _ODD_SPACE.search(p)]
+        known.update(dict.fromkeys(odd))
+        self._learn(list(new.difference(odd)))
         for i, pieces in missed:
-            out[i] = b"".join(map(self.known.__getitem__, pieces))
+            out[i] = self._joined(texts[i], pieces)
         return out
 
 
