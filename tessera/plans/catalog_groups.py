@@ -50,15 +50,15 @@ def consistency_gate(spark, sf_dir):
 def _mode_round(name: str, voters: str) -> str:
     return f"""
 {name}_in AS (SELECT * FROM (
-  SELECT v.subject, c.sample_id AS cs, c.cand_idx AS cc, v.sample_id, v.cand_idx, v.z, v.angle, v.land_x, v.land_y, row_number() OVER (PARTITION BY v.subject, c.sample_id, c.cand_idx, v.sample_id ORDER BY v.z DESC, v.cand_idx) AS k
-  FROM {voters} v JOIN sc c ON v.subject = c.subject AND abs(v.angle - c.angle) < 3 AND sqrt((v.land_x - c.land_x) * (v.land_x - c.land_x) + (v.land_y - c.land_y) * (v.land_y - c.land_y)) < 70) WHERE k = 1),
+  SELECT v.subject, q.sample_id AS cs, q.cand_idx AS cc, v.sample_id, v.cand_idx, v.z, v.angle, v.land_x, v.land_y, row_number() OVER (PARTITION BY v.subject, q.sample_id, q.cand_idx, v.sample_id ORDER BY v.z DESC, v.cand_idx) AS k
+  FROM {voters} v JOIN sc q ON v.subject = q.subject AND abs(v.angle - q.angle) < 3 AND sqrt((v.land_x - q.land_x) * (v.land_x - q.land_x) + (v.land_y - q.land_y) * (v.land_y - q.land_y)) < 70) WHERE k = 1),
 {name}_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY support DESC, cs, cc) AS k FROM (SELECT subject, cs, cc, sum(z) AS support, count(*) FILTER (z > 0) AS n FROM {name}_in GROUP BY ALL)) WHERE k = 1),
 {name}_mem AS (SELECT i.*, b.support, b.n FROM {name}_in i JOIN {name}_best b USING (subject, cs, cc) WHERE z > 0),
 {name} AS (SELECT subject, support, n, quantile_cont(angle, 0.5) AS angle, quantile_cont(land_x, 0.5) AS land_x, quantile_cont(land_y, 0.5) AS land_y FROM {name}_mem GROUP BY subject, support, n HAVING n >= 2)"""
 
 
 @query(f"""WITH {CANDIDATES_SQL}, st AS (SELECT sample_id, quantile_cont(score, 0.5) AS m, stddev_pop(score) AS s FROM cand GROUP BY ALL),
-sc AS (SELECT cand.*, greatest((score - m) / (s + 1e-6::DOUBLE), 0) AS z FROM cand JOIN st USING (sample_id)),{_mode_round('one', 'sc')},
+sc AS (SELECT cand.* REPLACE (greatest((score - m) / (s + 1e-6::DOUBLE), 0) AS z) FROM cand JOIN st USING (sample_id)),{_mode_round('one', 'sc')},
 lf AS (SELECT sc.* FROM sc ANTI JOIN (SELECT sample_id, subject FROM one_mem SEMI JOIN one USING (subject)) USING (sample_id, subject)),{_mode_round('two', 'lf')}
 SELECT subject, 0 AS mode_idx, round(angle, 6) + 0.0 AS angle, round(land_x, 6) AS land_x, round(land_y, 6) AS land_y, round(support, 6) AS support, n FROM one
 UNION ALL SELECT t.subject, 1, round(t.angle, 6) + 0.0, round(t.land_x, 6), round(t.land_y, 6), round(t.support, 6), t.n FROM two t JOIN one o USING (subject) WHERE t.support >= 0.45 * o.support""")
