@@ -1,0 +1 @@
+"""Nothing here on purpose: the batch system that this engine re-expresses has no unbounded source, window or state."""
