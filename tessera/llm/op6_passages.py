@@ -4,6 +4,7 @@ A window is ``WINDOW`` words; a word goes if a window over it also starts in a d
 
 Only one exchange moves all texts (compressed); later ones move documents that share something.
 
+0. Of documents of equal words all but the smallest id lose every word and take no further part.
 1. Every window is represented by the least hash of the ``PHRASE``-word runs in it, so equal windows
    share a representative and neighbours mostly do; those that occur in two documents are kept.
 2. Windows with such a representative are counted by hash: recurring ones belong to the smallest
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, stored, table, word_count
+from tessera.llm.common import cut, small, stored, table, word_count
 from tessera.llm.wordhash import WORD, Runs, hashes, rolling_min
 
 WINDOW = 50
@@ -117,6 +118,14 @@ def _among(doc: np.ndarray, value: np.ndarray, in_doc: np.ndarray, in_value: np.
     return here & (pairs[at] == wanted) if len(pairs) else here
 
 
+def _first(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their (doc, value)."""
+    order = np.lexsort((value, doc))
+    new = np.ones(len(doc), bool)
+    new[order[1:]] = (doc[order][1:] != doc[order][:-1]) | (value[order][1:] != value[order][:-1])
+    return new
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
     """``docs``: id, text, anchors.  w, id of each window whose representative is in the list."""
 
@@ -126,7 +135,9 @@ def _candidates(docs: DataFrame) -> DataFrame:
             for start, end, words in _blocks(batch):
                 w = Windows(words)
                 yes = _among(w.doc, w.anchor, *_members(batch.column(2), start, end))
-                yield pa.RecordBatch.from_arrays([pa.array(w.hash[yes]), pa.array(ids[start:end][w.doc[yes]], _INT64)], names=["w", "id"])
+                doc, hashed = w.doc[yes], w.hash[yes]
+                once = _first(doc, hashed)
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[once]), pa.array(ids[start:end][doc[once]], _INT64)], names=["w", "id"])
 
     return docs.mapInArrow(run, "w long, id long")
 
@@ -142,6 +153,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                 w = Windows(words)
                 yes = _among(w.doc, w.hash, *_members(batch.column(2), start, end))
                 doc, at, hashed = w.doc[yes], w.at[yes], w.hash[yes]
+                once = _first(doc, hashed)  # a window points to one segment
                 border = np.flatnonzero((np.diff(doc) != 0) | (np.diff(at) != 1)) + 1
                 out: tuple[list, ...] = ([], [], [], [])
                 for a, b in zip([0, *border.tolist()], [*border.tolist(), len(doc)]):
@@ -149,7 +161,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                         d = min(b, c + SEGMENT)
                         phrase = " ".join(words[doc[c]][at[c] : at[d - 1] + WINDOW])
                         own = int.from_bytes(hashlib.blake2b(phrase.encode(), digest_size=8).digest(), "big", signed=True)
-                        for column, value in zip(out, (ids[start + doc[c]], own, phrase, hashed[c:d])):
+                        for column, value in zip(out, (ids[start + doc[c]], own, phrase, hashed[c:d][once[c:d]])):
                             column.append(value)
                 kinds = (_INT64, _INT64, pa.string(), pa.list_(_INT64))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["keeper", "segment", "phrase", "ws"])
@@ -245,10 +257,24 @@ def _unpacked(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, text_hash long, text string, anchors array<long>")
 
 
-def changes(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """id, text_hash, n (words removed), sha and, if asked for, left (the text) of the documents that lose words."""
+def _whole(docs: DataFrame, *more: Column) -> DataFrame:
+    """id, text_hash, n_words and the digest of all words of each row, by DataFrame functions."""
+    joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return docs.select(*_keys(), word_count(F.col("text")).alias("n_words"), F.sha2(joined, 256).alias("whole_sha"), *more)
+
+
+def changes(docs: DataFrame, whole: DataFrame, with_text: bool = False) -> DataFrame:
+    """id, text_hash, n (words removed), sha and, if asked for, left (the text) of the documents that lose
+    words.  ``whole``: checkpointed rows of ``_whole``."""
+    # documents of equal words: all but the smallest id lose everything, and take no further part
+    groups = cut(whole.where(F.col("n_words") >= WINDOW).groupBy("whole_sha").agg(F.min("id").alias("lo"), F.count("*").alias("rows")).where("rows > 1").select("whole_sha", "lo"))
+    marked = whole.join(small(groups), "whole_sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("lo"), F.lit(False)))
+    copies = cut(marked.where("copy").select("id", "text_hash", F.col("n_words").alias("n")).distinct())
+    same_id = whole.groupBy("id").agg(F.count_distinct("text_hash").alias("texts"))
+    alone = copies.join(small(same_id.where("texts > 1").select("id")), "id", "left_anti").select("id")
+
     base = docs.select(*_keys(), "text")
-    anchors = stored(_anchors(base.select("id", "text")).distinct(), "op6-anchors")
+    anchors = stored(_anchors(base.select("id", "text")).join(small(cut(alone)), "id", "left_anti").distinct(), "op6-anchors")
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     lists = cut(anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
 
@@ -262,18 +288,25 @@ def changes(docs: DataFrame, with_text: bool = False) -> DataFrame:
     wanted = windows.join(pointers, "w").where("id > keeper").select("id", "keeper", "segment").distinct()
     phrases = segments.select("keeper", "segment", "phrase").distinct()
     sent = wanted.join(phrases, ["keeper", "segment"]).groupBy("id").agg(F.collect_list(F.struct("keeper", "segment", "phrase")).alias("segments"))
-    return _apply(some.select("id", "text_hash", "text").join(sent, "id"), with_text)
+    out = _apply(some.select("id", "text_hash", "text").join(sent, "id"), with_text)
+    nothing = copies.select("id", "text_hash", "n", F.sha2(F.lit(""), 256).alias("sha"), F.lit("" if with_text else None).cast("string").alias("left"))
+    return out.unionByName(nothing).dropDuplicates(["id", "text_hash"])
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (default: doc_id) with _n_words, _n_removed, _kept_sha256 and, if
     asked for, _kept_text (the text itself where nothing was removed)."""
-    changed = cut(changes(docs, with_text).dropDuplicates(["id", "text_hash"]))
-    joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    rows = docs.select(*[docs[c] for c in carry or ["doc_id"]], *_keys("_id", "_hash"), word_count(F.col("text")).alias("_n_words"), F.sha2(joined, 256).alias("_sha"), *([F.col("text").alias("_text")] if with_text else []))
-    rows = rows.join(changed, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("text_hash")), "left")
-    out = [F.coalesce("n", F.lit(0)).cast("long").alias("_n_removed"), F.coalesce("sha", "_sha").alias("_kept_sha256")]
-    return rows.select(*(carry or ["doc_id"]), "_n_words", *out, *([F.coalesce("left", "_text").alias("_kept_text")] if with_text else []))
+    names = carry or ["doc_id"]
+    own = F.struct(*[docs[c] for c in names]).alias("_own")
+    whole = cut(_whole(docs, own)) if names == ["doc_id"] else cut(_whole(docs))
+    changed = cut(changes(docs, whole.select("id", "text_hash", "n_words", "whole_sha"), with_text))
+    if names == ["doc_id"] and not with_text:
+        rows = whole
+    else:
+        rows = _whole(docs, own, F.col("text").alias("_text"))
+    rows = rows.join(changed, ["id", "text_hash"], "left")
+    out = [F.col("n_words").alias("_n_words"), F.coalesce("n", F.lit(0)).cast("long").alias("_n_removed"), F.coalesce("sha", "whole_sha").alias("_kept_sha256")]
+    return rows.select("_own.*", *out, *([F.coalesce("left", "_text").alias("_kept_text")] if with_text else []))
 
 
 def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
