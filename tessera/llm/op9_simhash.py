@@ -155,7 +155,8 @@ def components(docs: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE,
     members = members.join(distinct, "fp")
     smallest = members.groupBy("root").agg(F.min("first_id").alias("low"))
     named = members.join(smallest, "root").select("fp", "low")
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
+    # cut, so that both sides of the last join are plain exchanges and a hot fingerprint can be split
+    named = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
