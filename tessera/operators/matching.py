@@ -122,3 +122,23 @@ def candidate_features(left: DataFrame, right: DataFrame, pairs: DataFrame) -> D
 
     close = F.count_if(F.col("d") < 5).over(w)
     return pairs.join(side(left, "i", "iv"), ["sample_id", "i"]).join(side(right, "j", "ex"), ["sample_id", "j"]).withColumn("close5", close)
+
+
+def gate_sweep(chosen: DataFrame, gates: dict[str, Column]) -> DataFrame:
+    """Regions kept, kept correct and kept wrong under each named predicate, in one pass.
+    ``chosen``: one row a region with ``correct``."""
+    listed = F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(p, F.lit(False)).alias("on")) for n, p in gates.items()])
+    rows = chosen.select("correct", F.inline(listed))
+    return rows.groupBy("gate").agg(F.count_if("on").alias("kept"), F.count_if(F.col("on") & F.col("correct")).alias("good"), F.count_if(F.col("on") & ~F.col("correct")).alias("wrong"))
+
+
+def top_fraction(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """Rows at or above the group's (1 - share) quantile."""
+    cut = rows.groupBy(*keys).agg(F.percentile(value, F.lit(1.0 - share)).alias("_cut"))
+    return rows.join(cut, keys).where(F.col(value) >= F.col("_cut")).drop("_cut")
+
+
+def field_inside(pose: Column, h: Column, w: Column, canvas_h: Column, canvas_w: Column) -> Column:
+    """The centre of the moved field lies on the canvas."""
+    x, y = g.move_x(pose, w / 2, h / 2), g.move_y(pose, w / 2, h / 2)
+    return (x >= 0) & (x < canvas_w) & (y >= 0) & (y < canvas_h)

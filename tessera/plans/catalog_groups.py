@@ -9,7 +9,9 @@ from tessera.operators import consensus as cs
 from tessera.operators import kernels, learn
 from tessera.operators import matching as mt
 from tessera.operators import metrics as ms
+from tessera.operators import registration as rg
 from tessera.plans import adapters as ad
+from tessera.plans import rematch as rm
 from tessera.plans.adapters import CANDIDATES_SQL, GATES_SQL, INTER_SQL, PAIRS_SQL, POINTS_SQL, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -160,6 +162,27 @@ def additive_pairs(spark, sf_dir):
     return mt.additive_pairs(p.where("k % 2 = 0 AND prob > 0.5"), p.where("k % 2 = 1")).select("sample_id", "k", "i", "j", "prob")
 
 
+_GATES = {"margin": "margin >= 3", "z": "z >= 2", "either": "margin >= 3 OR z >= 2", "both": "margin >= 3 AND z >= 2", "score": "score > 25"}
+
+
+@query(f"WITH {_MARGIN}, n(gate, o) AS (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(_GATES)) + "), x AS (SELECT gate, CASE o " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_GATES.values())) + """ END AS kept, cand_idx % 3 = 0 AS correct FROM mg, n)
+SELECT gate, count(*) FILTER (kept) AS kept, count(*) FILTER (kept AND correct) AS good, count(*) FILTER (kept AND NOT correct) AS wrong FROM x GROUP BY ALL""")
+def gate_sweep(spark, sf_dir):
+    rows = mt.margins(ad.candidates(spark, sf_dir), "score", "margin").withColumn("correct", F.col("cand_idx") % 3 == 0)
+    return mt.gate_sweep(rows, {n: F.expr(p) for n, p in _GATES.items()})
+
+
+@query(f"WITH {CANDIDATES_SQL}, q AS (SELECT sample_id, quantile_cont(image, 0.8) AS cut FROM cand GROUP BY ALL) SELECT sample_id, cand_idx FROM cand JOIN q USING (sample_id) WHERE image >= cut")
+def top_fraction(spark, sf_dir):
+    return mt.top_fraction(ad.candidates(spark, sf_dir), ["sample_id"], "image", 0.2).select("sample_id", "cand_idx")
+
+
+@query(f"WITH {CANDIDATES_SQL} SELECT sample_id, cand_idx, a * 40 + b * 30 + tx >= 0 AND a * 40 + b * 30 + tx < 60 AND c * 40 + d * 30 + ty >= 0 AND c * 40 + d * 30 + ty < 45 AS inside FROM cand")
+def field_inside(spark, sf_dir):
+    n = lambda v: F.lit(float(v))
+    return ad.candidates(spark, sf_dir).select("sample_id", "cand_idx", mt.field_inside(F.col("pose"), n(60), n(80), n(45), n(60)).alias("inside"))
+
+
 # ---------------------------------------------------------------- scores and sweeps
 
 
@@ -320,6 +343,34 @@ def greedy_rounds(spark, sf_dir):
     return mt.greedy_pairs(ad.scored_pairs(spark, sf_dir).select("sample_id", "k", "i", "j", "prob"), 0.05)
 
 
+def _own_candidates(spark, sf_dir, method, **options):
+    return rg.candidates(ad.points(spark, sf_dir, "iv"), ad.points(spark, sf_dir, "ex"), method, **options)
+
+
+@query()
+def hough_register(spark, sf_dir):
+    return rounded(_own_candidates(spark, sf_dir, "hough", angles=[-6.0, 0.0, 6.0], scales=[0.95, 1.0], keep=5), "score", *g.POSE, "angle", "land_x", "land_y")
+
+
+@query()
+def register_with_priors(spark, sf_dir):
+    return rounded(_own_candidates(spark, sf_dir, "priors", keep=3, angles=(0,), scales=(1.0,)), "score", *g.POSE, "angle", "land_x", "land_y")
+
+
+@query()
+def register_ncc(spark, sf_dir):
+    return rounded(_own_candidates(spark, sf_dir, "ncc", keep=3, angles=(0.0,), scales=(1.0,)), "score", *g.POSE, "angle", "land_x", "land_y")
+
+
+@query()
+def rematch(spark, sf_dir):
+    iv = ad.points(spark, sf_dir, "iv").withColumns({"ox": F.lit(10.0), "oy": F.lit(20.0)})
+    ex = ad.points(spark, sf_dir, "ex")
+    own = rg.candidates(iv.drop("subject"), ex, "hough", angles=[-6.0, 0.0, 6.0], scales=[0.95, 1.0], keep=8)
+    poses = rm.chosen_poses(iv, ex, own, angle_win=1.0)
+    return rounded(rm.matched(iv, ex, poses, least_margin=0.0), "d")
+
+
 @query()
 def joint_icm(spark, sf_dir):
     c = mt.margins(ad.candidates(spark, sf_dir), "score", "soft_margin").withColumn("soft", F.col("score"))
