@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op1_mix, op5_resample, op6_passages, op8_pack, op9_simhash
-from tessera.llm.common import new_folder, table
+from tessera.llm.common import discard, new_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Packed pieces of the documents of ``sf_dir``; a stage's table goes once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         folder = new_folder(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        discard(spark, before)
+        docs, before = spark.read.parquet(folder), [folder]
     return STAGES[-1][1](spark, docs, sf_dir)

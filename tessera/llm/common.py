@@ -40,11 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The same through Parquet, which is smaller than a checkpoint of rows; for large intermediate tables."""
-    folder = new_folder(df.sparkSession, what)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def stored(df: DataFrame, what: str, folders: list[str]) -> DataFrame:
+    """The same through Parquet, which is smaller than a checkpoint of rows, for large intermediate tables;
+    the folder is noted in ``folders`` for ``discard``."""
+    folders.append(new_folder(df.sparkSession, what))
+    df.write.parquet(folders[-1])
+    return df.sparkSession.read.schema(df.schema).parquet(folders[-1])
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes intermediate tables once a checkpoint of what was made from them is written."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

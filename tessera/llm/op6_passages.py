@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small, stored, table, word_count
+from tessera.llm.common import cut, discard, small, stored, table, word_count
 from tessera.llm.wordhash import WORD, Runs, hashes, rolling_min
 
 WINDOW = 50
@@ -265,7 +265,8 @@ def _whole(docs: DataFrame, *more: Column) -> DataFrame:
 
 def changes(docs: DataFrame, whole: DataFrame, with_text: bool = False) -> DataFrame:
     """id, text_hash, n (words removed), sha and, if asked for, left (the text) of the documents that lose
-    words.  ``whole``: checkpointed rows of ``_whole``."""
+    words, checkpointed.  ``whole``: checkpointed rows of ``_whole``."""
+    folders: list[str] = []
     # documents of equal words: all but the smallest id lose everything, and take no further part
     groups = cut(whole.where(F.col("n_words") >= WINDOW).groupBy("whole_sha").agg(F.min("id").alias("lo"), F.count("*").alias("rows")).where("rows > 1").select("whole_sha", "lo"))
     marked = whole.join(small(groups), "whole_sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("lo"), F.lit(False)))
@@ -274,23 +275,25 @@ def changes(docs: DataFrame, whole: DataFrame, with_text: bool = False) -> DataF
     alone = copies.join(small(same_id.where("texts > 1").select("id")), "id", "left_anti").select("id")
 
     base = docs.select(*_keys(), "text")
-    anchors = stored(_anchors(base.select("id", "text")).join(small(cut(alone)), "id", "left_anti").distinct(), "op6-anchors")
+    anchors = stored(_anchors(base.select("id", "text")).join(small(cut(alone)), "id", "left_anti").distinct(), "op6-anchors", folders)
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     lists = cut(anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
 
     # the one exchange of all texts; from here on only documents that share something
-    some = stored(_unpacked(_packed(base).join(lists, "id").select("id", "text_hash", "packed", "anchors")), "op6-candidates")
-    windows = stored(_candidates(some.select("id", "text", "anchors")), "op6-windows")
+    some = stored(_unpacked(_packed(base).join(lists, "id").select("id", "text_hash", "packed", "anchors")), "op6-candidates", folders)
+    windows = stored(_candidates(some.select("id", "text", "anchors")), "op6-windows", folders)
     kept = windows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     keepers = kept.groupBy(F.col("lo").alias("id")).agg(F.collect_set("w").alias("ws"))
-    segments = stored(_segments(some.select("id", "text").join(keepers, "id")), "op6-segments")
+    segments = stored(_segments(some.select("id", "text").join(keepers, "id")), "op6-segments", folders)
     pointers = segments.select("keeper", "segment", F.explode("ws").alias("w"))
     wanted = windows.join(pointers, "w").where("id > keeper").select("id", "keeper", "segment").distinct()
     phrases = segments.select("keeper", "segment", "phrase").distinct()
     sent = wanted.join(phrases, ["keeper", "segment"]).groupBy("id").agg(F.collect_list(F.struct("keeper", "segment", "phrase")).alias("segments"))
     out = _apply(some.select("id", "text_hash", "text").join(sent, "id"), with_text)
     nothing = copies.select("id", "text_hash", "n", F.sha2(F.lit(""), 256).alias("sha"), F.lit("" if with_text else None).cast("string").alias("left"))
-    return out.unionByName(nothing).dropDuplicates(["id", "text_hash"])
+    out = cut(out.unionByName(nothing).dropDuplicates(["id", "text_hash"]))
+    discard(docs.sparkSession, folders)
+    return out
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -299,7 +302,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False, carry: list[str] | No
     names = carry or ["doc_id"]
     own = F.struct(*[docs[c] for c in names]).alias("_own")
     whole = cut(_whole(docs, own)) if names == ["doc_id"] else cut(_whole(docs))
-    changed = cut(changes(docs, whole.select("id", "text_hash", "n_words", "whole_sha"), with_text))
+    changed = changes(docs, whole.select("id", "text_hash", "n_words", "whole_sha"), with_text)
     if names == ["doc_id"] and not with_text:
         rows = whole
     else:

@@ -20,14 +20,12 @@ def _pack(values: np.ndarray, step: np.ndarray, kind: np.ndarray) -> np.ndarray:
     starts = np.array(starts, dtype=np.int64)
     kinds = kind[starts]
     words = kinds.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    owned = np.diff(np.append(starts, n))
+    padded = np.concatenate([values, np.zeros(60, np.uint64)])  # what the last word lacks is zero
     for k in range(1, 15):
         which = np.flatnonzero(kinds == k)
         if len(which):
             lanes = np.arange(COUNT[k])
             got = padded[starts[which][:, None] + lanes]
-            got = np.where(lanes < owned[which][:, None], got, np.uint64(0))
             words[which] |= np.bitwise_or.reduce(got << (lanes * WIDTH[k]).astype(np.uint64), axis=1)
     return words
 
