@@ -24,9 +24,10 @@ def _pack(values: np.ndarray, step: np.ndarray, kind: np.ndarray) -> np.ndarray:
     for k in range(1, 15):
         which = np.flatnonzero(kinds == k)
         if len(which):
-            lanes = np.arange(COUNT[k])
-            got = padded[starts[which][:, None] + lanes]
-            words[which] |= np.bitwise_or.reduce(got << (lanes * WIDTH[k]).astype(np.uint64), axis=1)
+            first, packed = starts[which], words[which]
+            for lane in range(COUNT[k]):
+                packed |= padded[first + lane] << np.uint64(lane * WIDTH[k])
+            words[which] = packed
     return words
 
 
@@ -81,9 +82,9 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, 15):
         which = np.flatnonzero(kinds == k)
         if len(which):
-            lanes = np.arange(COUNT[k])
-            got = (payload[which][:, None] >> (lanes * WIDTH[k]).astype(np.uint64)) & np.uint64((1 << WIDTH[k]) - 1)
-            out[(ends - counts)[which][:, None] + lanes] = got
+            first, packed, mask = (ends - counts)[which], payload[which], np.uint64((1 << WIDTH[k]) - 1)
+            for lane in range(COUNT[k]):
+                out[first + lane] = packed >> np.uint64(lane * WIDTH[k]) & mask
     return out[:n]
 
 
