@@ -120,3 +120,17 @@ def linear_priors(fits: DataFrame) -> DataFrame:
     side = F.when(F.atan2(m["c"], m["a"]) >= 0, 0).otherwise(1).alias("cluster")
     return ok.groupBy(side).agg(*[F.percentile(m[n], F.lit(0.5)).alias(n) for n in ("a", "b", "c", "d")], F.count("*").alias("n"))
 
+
+
+def volume_modes(candidates: DataFrame, keys: list[str], angle_bin: float = 3.0, land_bin: float = 60.0, apart: float = 9.0) -> DataFrame:
+    """Peaks of the summed score volume over (angle, landing) bins of a group: the fullest bin, and the fullest
+    of those more than ``apart`` degrees from it (O88).  A sample adds its best score to a bin once."""
+    cell = lambda c, w: F.floor(F.col(c) / w)
+    bins = {"ba": cell("angle", angle_bin), "bx": cell("land_x", land_bin), "by": cell("land_y", land_bin)}
+    best = candidates.withColumns(bins).groupBy(*keys, "sample_id", *bins).agg(F.max("score").alias("score"))
+    volume = best.groupBy(*keys, *bins).agg(F.sum("score").alias("support"), F.count("*").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("support"), *bins)
+    first = volume.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    far = volume.join(first.select(*keys, F.col("ba").alias("_ba")), keys).where(F.abs(F.col("ba") - F.col("_ba")) * angle_bin > apart).drop("_ba")
+    second = far.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    return first.withColumn("mode_idx", F.lit(0)).unionByName(second.withColumn("mode_idx", F.lit(1)))

@@ -62,7 +62,7 @@ def panoptic(iou: DataFrame, area_pred: DataFrame, area_gt: DataFrame, samples:
     return out.select(*keys, "tp", (p - tp).alias("fp"), (gt - tp).alias("fn"), pq.alias("pq"), F.try_divide("_sum", "tp").alias("mean_iou"), "near_miss")
 
 
-def panoptic_multi(iou: DataFrame, n_pred: int | None, area_pred: DataFrame, area_gt: DataFrame, keys: list[str], above: float = 0.75) -> DataFrame:
+def panoptic_multi(iou: DataFrame, area_pred: DataFrame, area_gt: DataFrame, keys: list[str], above: float = 0.75) -> DataFrame:
     """Quality of overlapping hypotheses submitted together: each truth is hit once, by its best."""
     best = iou.where(F.col("iou") > above).groupBy(*keys, "gt").agg(F.max("iou").alias("iou"))
     matched = best.groupBy(*keys).agg(F.count("*").alias("tp"), F.sum("iou").alias("_sum"))
@@ -101,3 +101,25 @@ def fuse(base: DataFrame, added: DataFrame, keys: list[str], most_overlap: float
     fresh = marked.where("_base IS NULL").join(share, [*keys, "label"], "left_semi")
     fresh = fresh.join(top, keys, "left").select(*pixel, (F.col("label") + F.coalesce("_top", F.lit(0))).alias("label"))
     return base.select(*pixel, "label").unionByName(fresh)
+
+
+def setting_grid(pixels: DataFrame, keys: list[str], settings: dict[str, str]) -> DataFrame:
+    """Mean quality of several ways to make the predicted labels (O135): each setting is an SQL condition
+    under which a pixel keeps its label; one plan scores all of them.  ``pixels``: keys, label, gt."""
+    listed = F.array(*[F.struct(F.lit(n).alias("setting"), F.expr(c).alias("_on")) for n, c in settings.items()])
+    spread = pixels.select(*keys, "label", "gt", F.inline(listed)).withColumn("pred", F.when(F.col("_on"), F.col("label")).otherwise(F.lit(0)))
+    by = ["setting", *keys]
+    ap, ag = areas(spread, by, "pred"), areas(spread, by, "gt")
+    scored = panoptic(ious(contingency(spread, by), ap, ag, by), ap, ag, spread.select(*by).distinct(), by)
+    return scored.groupBy("setting").agg(F.avg("pq").alias("pq"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+
+
+def agreement(pixels: DataFrame, keys: list[str], above: float = 0.5) -> DataFrame:
+    """Two label maps of the same images (pred, gt): labels on each side and those that find a partner."""
+    ap, ag = areas(pixels, keys, "pred"), areas(pixels, keys, "gt")
+    close = ious(contingency(pixels, keys), ap, ag, keys).where(F.col("iou") > above)
+    met = close.groupBy(*keys).agg(F.count_distinct("pred").alias("pred_met"), F.count_distinct("gt").alias("gt_met"))
+    out = pixels.select(*keys).distinct()
+    for side, table in (("pred", ap), ("gt", ag)):
+        out = out.join(table.groupBy(*keys).agg(F.count("*").alias(f"n_{side}")), keys, "left")
+    return out.join(met, keys, "left").na.fill(0)

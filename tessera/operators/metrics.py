@@ -174,3 +174,10 @@ def leave_one_out(rows: DataFrame, subjects: DataFrame) -> DataFrame:
     """Every row once a fold, with whether it trains or is held out (O177); subjects are few."""
     folds = subjects.select(F.col("subject").alias("fold")).distinct()
     return rows.crossJoin(F.broadcast(folds)).withColumn("held_out", F.col("subject") == F.col("fold"))
+
+
+def pose_diagnostics(errors: DataFrame, top: int = 5) -> DataFrame:
+    """Regions, those whose first candidate is correct, with a correct one among the first ``top`` or at all,
+    and the median best error (O82).  ``errors``: sample_id, cand_idx, place (from 1), err, correct."""
+    by = errors.groupBy("sample_id").agg(F.max(F.col("correct") & (F.col("place") == 1)).alias("one"), F.max(F.col("correct") & (F.col("place") <= top)).alias("some"), F.max("correct").alias("any"), F.min("err").alias("best"))
+    return by.agg(F.count("*").alias("regions"), F.count_if("one").alias("first_correct"), F.count_if("some").alias("top_correct"), F.count_if("any").alias("any_correct"), F.percentile("best", F.lit(0.5)).alias("best_error"))

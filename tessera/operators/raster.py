@@ -98,3 +98,18 @@ def paint_disks(points: DataFrame, blocked: DataFrame, sizes: DataFrame, keys: l
 def stitch(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted mean of overlapping tile predictions a pixel: keys, row, col, p, w (O162, O163)."""
     return tiles.groupBy(*keys, "row", "col").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("p"))
+
+
+def quantile_variants(pixels: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
+    """Each label without the pixels below its own quantile of ``prob``, for several quantiles at once (O157)."""
+    cuts = pixels.where("label > 0").groupBy(*keys, "label").agg(F.percentile("prob", F.array(*[F.lit(q) for q in quantiles])).alias("_cuts"))
+    listed = F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in quantiles]).alias("q"), F.col("_cuts").alias("c"))).alias("_v")
+    spread = pixels.where("label > 0").join(cuts.select(*keys, "label", listed), [*keys, "label"])
+    return spread.where(F.col("prob") >= F.col("_v.c")).select(*keys, "row", "col", "label", F.col("_v.q").alias("quantile"))
+
+
+def aligned_correlation(left: DataFrame, right: DataFrame, keys: list[str], drow: int, dcol: int) -> DataFrame:
+    """Correlation of the values of two images where one lies on the other under a shift (O109).
+    Both: keys, row, col, v."""
+    moved = left.select(*keys, (F.col("row") + drow).alias("row"), (F.col("col") + dcol).alias("col"), F.col("v").alias("_v"))
+    return moved.join(right, [*keys, "row", "col"]).groupBy(*keys).agg(F.corr("_v", "v").alias("ncc"), F.count("*").alias("n"))

@@ -75,6 +75,27 @@ def cluster_modes(spark, sf_dir):
     return rounded(cs.cluster_modes(c, ["subject"], least_share=0.05), "angle", "land_x", "land_y", "support")
 
 
+_VOLUME = CANDIDATES_SQL + """,
+vb AS (SELECT subject, sample_id, floor(angle / 3)::BIGINT AS ba, floor(land_x / 60)::BIGINT AS bx, floor(land_y / 60)::BIGINT AS "by", max(score) AS score FROM cand GROUP BY ALL),
+vv AS (SELECT subject, ba, bx, "by", sum(score) AS support, count(*) AS n FROM vb GROUP BY ALL),
+v1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY support DESC, ba, bx, "by") AS k FROM vv) WHERE k = 1),
+v2 AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY v.subject ORDER BY v.support DESC, v.ba, v.bx, v."by") AS k FROM vv v JOIN v1 USING (subject) WHERE abs(v.ba - v1.ba) * 3 > 9) WHERE k = 1)"""
+
+
+@query(f"""WITH {_VOLUME} SELECT subject, ba, bx, "by", round(support, 6) AS support, n, 0 AS mode_idx FROM v1 UNION ALL SELECT subject, ba, bx, "by", round(support, 6), n, 1 FROM v2""")
+def volume_modes(spark, sf_dir):
+    return rounded(cs.volume_modes(ad.candidates(spark, sf_dir), ["subject"]), "support")
+
+
+@query(f"""WITH {CANDIDATES_SQL}, e AS (SELECT sample_id, cand_idx, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_idx) AS place, abs(land_x - 300) / 10 AS err FROM cand),
+s AS (SELECT sample_id, bool_or(err < 5 AND place = 1) AS one, bool_or(err < 5 AND place <= 5) AS few, bool_or(err < 5) AS anyc, min(err) AS best FROM e GROUP BY ALL)
+SELECT count(*) AS regions, count(*) FILTER (one) AS first_correct, count(*) FILTER (few) AS top_correct, count(*) FILTER (anyc) AS any_correct, round(quantile_cont(best, 0.5), 6) AS best_error FROM s""")
+def pose_diagnostics(spark, sf_dir):
+    err = F.abs(F.col("land_x") - 300) / 10
+    rows = mt.top_list(ad.candidates(spark, sf_dir), 1 << 30, "score").withColumns({"err": err, "correct": err < 5})
+    return rounded(ms.pose_diagnostics(rows), "best_error")
+
+
 @query("""WITH r AS (SELECT c_nationkey % 3 AS grp, c_custkey AS pos, sha1(c_mktsegment || '|' || (c_custkey % 7)) AS dup_key FROM customer)
 SELECT grp, pos, dup_key FROM (SELECT *, row_number() OVER (PARTITION BY grp, dup_key ORDER BY pos) AS k FROM r) WHERE k = 1""")
 def voters_once(spark, sf_dir):

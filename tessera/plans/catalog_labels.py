@@ -122,7 +122,7 @@ def pq_multi(spark, sf_dir):
     px = ad.pixels(spark, sf_dir)
     two = px.select("sample_id", "pred", "gt").unionByName(px.select("sample_id", F.when((F.col("gt") > 0) & (F.col("v") > 14), F.col("gt") + 1000).otherwise(0).alias("pred"), "gt"))
     ap, ag = lb.areas(two, KEY, "pred"), lb.areas(px, KEY, "gt")
-    return rounded(lb.panoptic_multi(lb.ious(lb.contingency(two, KEY), ap, ag, KEY), None, ap, ag, KEY), "pq")
+    return rounded(lb.panoptic_multi(lb.ious(lb.contingency(two, KEY), ap, ag, KEY), ap, ag, KEY), "pq")
 
 
 @query(f"""WITH {PIXELS_SQL}, b AS (SELECT sample_id, row, col, pred AS label FROM px WHERE pred > 0 AND pred % 3 = 0), a AS (SELECT sample_id, row, col, gt AS label FROM px WHERE gt > 0),
@@ -237,3 +237,37 @@ count(*) FILTER (l_extendedprice >= 0 AND l_extendedprice < 20000) AS bin_0, cou
 def grouped_summary(spark, sf_dir):
     out = ms.grouped_summary(ad.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.0, 20000.0, 50000.0])
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "q25", "q50", "q75")})
+
+
+_SETTINGS = {"all": "true", "bright": "v > 20", "core": "prob >= -0.2", "odd": "label % 2 = 1"}
+_SPREAD = f"""WITH {PIXELS_SQL}, st(setting, o) AS (VALUES {", ".join(f"('{n}', {i})" for i, n in enumerate(_SETTINGS))}),
+sx AS (SELECT setting, sample_id, CASE WHEN (CASE o {" ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_SETTINGS.values()))} END) THEN label ELSE 0 END AS pred, gt FROM (SELECT *, pred AS label FROM px), st),
+si AS (SELECT setting, sample_id, pred, gt, count(*) AS inter FROM sx WHERE pred > 0 AND gt > 0 GROUP BY ALL), sp AS (SELECT setting, sample_id, pred, count(*) AS a FROM sx WHERE pred > 0 GROUP BY ALL),
+sg AS (SELECT setting, sample_id, gt, count(*) AS a FROM sx WHERE gt > 0 GROUP BY ALL), su AS (SELECT si.*, inter::DOUBLE / (sp.a + sg.a - inter) AS iou FROM si JOIN sp USING (setting, sample_id, pred) JOIN sg USING (setting, sample_id, gt)),
+sm AS (SELECT d.setting, d.sample_id, coalesce(np, 0) AS np, coalesce(ng, 0) AS ng, coalesce(tp, 0) AS tp, coalesce(t, 0) AS t FROM (SELECT DISTINCT setting, sample_id FROM sx) d
+  LEFT JOIN (SELECT setting, sample_id, count(*) AS np FROM sp GROUP BY ALL) USING (setting, sample_id) LEFT JOIN (SELECT setting, sample_id, count(*) AS ng FROM sg GROUP BY ALL) USING (setting, sample_id)
+  LEFT JOIN (SELECT setting, sample_id, count(*) AS tp, sum(iou) AS t FROM su WHERE iou > 0.75 GROUP BY ALL) USING (setting, sample_id))"""
+
+
+@query(f"""{_SPREAD} SELECT setting, round(avg(CASE WHEN np = 0 AND ng = 0 THEN 1.0::DOUBLE WHEN np = 0 OR ng = 0 THEN 0 ELSE 2 * t / (np + ng) END), 6) AS pq, sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(ng - tp)::BIGINT AS fn FROM sm GROUP BY ALL""")
+def setting_grid(spark, sf_dir):
+    return rounded(lb.setting_grid(_labelled(spark, sf_dir), KEY, _SETTINGS), "pq")
+
+
+@query(f"""WITH {INTER_SQL}, m AS (SELECT sample_id, count(DISTINCT pred) AS pred_met, count(DISTINCT gt) AS gt_met FROM iou WHERE iou > 0.5 GROUP BY ALL)
+SELECT sample_id, np AS n_pred, ng AS n_gt, coalesce(pred_met, 0)::BIGINT AS pred_met, coalesce(gt_met, 0)::BIGINT AS gt_met FROM score LEFT JOIN m USING (sample_id)""")
+def mask_agreement(spark, sf_dir):
+    return lb.agreement(ad.pixels(spark, sf_dir), KEY)
+
+
+@query(f"""WITH {PIXELS_SQL}, q(quantile) AS (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)), f AS (SELECT sample_id, row, col, pred AS label, prob FROM px WHERE pred > 0),
+c AS (SELECT sample_id, label, 0.1::DOUBLE AS quantile, quantile_cont(prob, 0.1) AS cut FROM f GROUP BY ALL UNION ALL SELECT sample_id, label, 0.25, quantile_cont(prob, 0.25) FROM f GROUP BY ALL UNION ALL SELECT sample_id, label, 0.5, quantile_cont(prob, 0.5) FROM f GROUP BY ALL)
+SELECT sample_id, row, col, label, quantile FROM f JOIN c USING (sample_id, label) WHERE prob >= cut""")
+def mask_variants(spark, sf_dir):
+    return rs.quantile_variants(_labelled(spark, sf_dir), KEY, [0.1, 0.25, 0.5])
+
+
+@query(f"WITH {PIXELS_SQL} SELECT a.sample_id, round(corr(a.v, b.v), 6) + 0.0 AS ncc, count(*) AS n FROM px a JOIN px b ON a.sample_id = b.sample_id AND b.row = a.row + 1 AND b.col = a.col GROUP BY ALL")
+def aligned_correlation(spark, sf_dir):
+    px = ad.pixels(spark, sf_dir).select("sample_id", "row", "col", "v")
+    return rounded(rs.aligned_correlation(px, px, KEY, 1, 0), "ncc")
