@@ -50,3 +50,11 @@ def test_plans_push_down_and_avoid_nested_loops(spark, sf):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     plan = catalog.QUERIES["label_centroids"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_quantity" in plan
+
+
+def test_command_line(sf, capsys, tmp_path, spark):
+    from tessera.__main__ import main
+
+    assert main(["list"]) == 0 and "soft_score" in capsys.readouterr().out
+    assert main(["run", "nothing", sf]) == 2
+    assert main(["run", "subject_mode", sf, "--out", f"{tmp_path}/out"]) == 0 and spark.read.parquet(f"{tmp_path}/out").count() == 5
