@@ -170,7 +170,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     named = components(docs, **options).where("doc_id = component_id")
     kept = cut(named.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")))
     here = F.col("doc_id").cast("long") == F.col("_kept")
-    once = docs.join(small(kept.where("_n = 1")), here, "left_semi")
+    once = docs.join(kept.where("_n = 1"), here, "left_semi")  # about as many as documents: never a broadcast by hint
     out = once.unionByName(docs.where("doc_id IS NULL"))
     more = kept.where("_n > 1")
     return out if more.isEmpty() else out.unionByName(docs.join(small(more), here, "left_semi").dropDuplicates(["doc_id"]))

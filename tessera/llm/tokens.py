@@ -13,15 +13,17 @@ from functools import lru_cache
 
 import numpy as np
 
+from tessera.llm import caches
+
 #: Name of the vocabulary in the public tokenizers folder; a path works too.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by a worker at most; the cache starts afresh beyond.
 CACHE_PIECES = 1_500_000
 #: Texts whose new pieces are encoded together.
 TEXTS_AT_ONCE = 128
-#: White space and a run of Latin letters that an ASCII sign or the end follows, or all up to the next space.
 #: New pieces that are encoded as lines of one text.
 LINES_AT_ONCE = 500
+#: White space and a run of Latin letters that an ASCII sign or the end follows, or all up to the next space.
 _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])|[^ \n\t\r]+)|[ \n\t\r]+\Z")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 
@@ -66,6 +68,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for null."""
+        caches.hold(self.known)
         out = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             out += self._encode(texts[at : at + TEXTS_AT_ONCE])

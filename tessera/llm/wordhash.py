@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from tessera.llm import caches
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CACHED_WORDS = 500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -16,6 +18,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def hashes(words: list[str]) -> bytes:
     """Eight bytes a word."""
+    caches.hold(_known)
     try:
         return b"".join(map(_known.__getitem__, words))
     except KeyError:
