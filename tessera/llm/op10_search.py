@@ -6,7 +6,7 @@ for each of ``PROJECTIONS`` random directions, its rows sorted by their projecti
 window around its own projection in each array and widens it by virtual rehashing (radius R, R x
 ``GROWTH``, ...; the first R is guessed from some rows), counting for each row the windows that hold it.  Rows that reach the collision
 threshold are verified by the exact product; the search of a block ends when ``k`` verified rows lie
-within R, for which the threshold is set so that a row at distance R itself passes with about 95 %.
+within R, for which the threshold is set so that a row at distance R itself passes with about 84 %, nearer rows with more.
 There is no cap on candidates: a query that finds too few goes on until the windows hold everything.
 
 The query set is stated (ids divisible by ``EVERY``) and meets all rows block by block; each block
@@ -32,11 +32,11 @@ from tessera.llm.common import cut, table
 
 K = 20
 EVERY = 20
-PROJECTIONS = 64
-GROWTH = 1.1
+PROJECTIONS = 96
+GROWTH = 1.05
 #: Half width of a window over the radius, and the threshold's distance from the mean in deviations.
 HALF_WIDTH = 1.0
-SLACK = 1.4
+SLACK = 1.0
 #: Least radius to begin with, and rows of a block from which a query's first radius is guessed; a bad
 #: guess costs time, not results.
 START = 0.05
