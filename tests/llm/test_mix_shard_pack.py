@@ -157,3 +157,15 @@ def test_numbering_is_gapless(spark):
     got = common.numbered(df, "g", ["k"], "n").toPandas()
     for _, rows in got.groupby("g"):
         assert sorted(rows.n) == list(range(len(rows)))
+
+
+def test_a_worker_holds_one_kind_of_cache():
+    from tessera.llm import wordhash
+
+    encoder = tokens.encoder()
+    first = encoder.encode(["some words, and more"])
+    assert encoder.known
+    hashed = wordhash.hashes(["some", "words"])
+    assert not encoder.known and wordhash._known
+    assert encoder.encode(["some words, and more"]) == first and not wordhash._known
+    assert wordhash.hashes(["some", "words"]) == hashed and len(hashed) == 16
