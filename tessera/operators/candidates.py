@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as g
 
 
+# The 17 stretch hypotheses (factor, direction in degrees).
+STRETCHES = ((1.0, 0.0), *((k, p) for k in (0.92, 0.96, 1.04, 1.08) for p in (0.0, 45.0, 90.0, 135.0)))
+
+
 def axis(low: float, high: float, step: float) -> Column:
     """low, low + step, ... up to ``high``, as an array."""
     n = int(math.floor((high - low) / step + 1e-9))

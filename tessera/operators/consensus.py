@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 
-#: Mean place of in-vivo fields on the ex-vivo canvas, as shares of width and height.
+# Fixed value: mean place of in-vivo fields on the ex-vivo canvas, as shares of width and height.
 FIELD_PRIOR = (0.48, 0.54)
 
 

@@ -87,7 +87,7 @@ def top_list(candidates: DataFrame, k: int, score: str = "soft") -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def penalties(candidates: DataFrame, keys: list[str], tau_l: float = 60.0, tau_a: float = 0.15) -> DataFrame:
+def penalties(candidates: DataFrame, keys: list[str], tau_l: float = 60.0, tau_a: float = 0.06) -> DataFrame:
     """Pairwise disagreement of candidates of different samples of a group: capped squared distances of the
     landings and of the linear parts (O127).  ``candidates``: keys, sample_id, cand_idx, pose, land_x, land_y."""
     take = lambda s: candidates.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("sample_id", "cand_idx", "pose", "land_x", "land_y")])
@@ -99,7 +99,7 @@ def penalties(candidates: DataFrame, keys: list[str], tau_l: float = 60.0, tau_a
     return p.select(*keys, "sample_id_u", "cand_idx_u", "sample_id_v", "cand_idx_v", psi.alias("psi"))
 
 
-def offset_weights(offsets: DataFrame, keys: list[str], rho: float = 300.0) -> DataFrame:
+def offset_weights(offsets: DataFrame, keys: list[str], rho: float = 400.0) -> DataFrame:
     """Symmetric weights of sample pairs from row-normalised exp(-distance / rho) (O127)."""
     a = offsets.select(*keys, F.col("sample_id").alias("u"), F.col("ox").alias("_x"), F.col("oy").alias("_y"))
     b = offsets.select(*keys, F.col("sample_id").alias("v"), "ox", "oy")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import points as pt
 
-#: Pair probability thresholds of a sweep, and gate thresholds 0 to 1 by 0.05.
-THRESHOLDS = (0.005, 0.01, 0.02, 0.025, 0.03, 0.04, 0.05, 0.075, 0.1, 0.125, 0.15, 0.2, 0.3)
+# Pair probability thresholds 0 to 0.3 by 0.025, gate thresholds 0 to 1 by 0.05.
+THRESHOLDS = tuple(round(0.025 * i, 3) for i in range(13))
 TAUS = tuple(round(0.05 * i, 2) for i in range(21))
 
 

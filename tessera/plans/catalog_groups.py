@@ -164,13 +164,13 @@ def top_candidates(spark, sf_dir):
 
 @query(f"""WITH {CANDIDATES_SQL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_idx) AS k FROM cand) WHERE k <= 5)
 SELECT u.subject, u.sample_id AS sample_id_u, u.cand_idx AS cand_idx_u, v.sample_id AS sample_id_v, v.cand_idx AS cand_idx_v,
-round(least(1, ((u.land_x - v.land_x) * (u.land_x - v.land_x) + (u.land_y - v.land_y) * (u.land_y - v.land_y)) / 3600) + least(1, ((u.a - v.a) * (u.a - v.a) + (u.b - v.b) * (u.b - v.b) + (u.c - v.c) * (u.c - v.c) + (u.d - v.d) * (u.d - v.d)) / 0.0225::DOUBLE), 6) AS psi
+round(least(1, ((u.land_x - v.land_x) * (u.land_x - v.land_x) + (u.land_y - v.land_y) * (u.land_y - v.land_y)) / 3600) + least(1, ((u.a - v.a) * (u.a - v.a) + (u.b - v.b) * (u.b - v.b) + (u.c - v.c) * (u.c - v.c) + (u.d - v.d) * (u.d - v.d)) / 0.0036::DOUBLE), 6) AS psi
 FROM t u JOIN t v ON u.subject = v.subject AND u.sample_id < v.sample_id""")
 def joint_penalties(spark, sf_dir):
     return rounded(mt.penalties(mt.top_list(ad.candidates(spark, sf_dir), 5, "score"), ["subject"]), "psi")
 
 
-@query(f"""WITH {CANDIDATES_SQL}, o AS (SELECT DISTINCT subject, sample_id, ox, oy FROM cand), e AS (SELECT a.subject, a.sample_id AS u, b.sample_id AS v, exp(-sqrt((a.ox - b.ox) * (a.ox - b.ox) + (a.oy - b.oy) * (a.oy - b.oy)) / 300) AS e FROM o a JOIN o b ON a.subject = b.subject AND a.sample_id <> b.sample_id),
+@query(f"""WITH {CANDIDATES_SQL}, o AS (SELECT DISTINCT subject, sample_id, ox, oy FROM cand), e AS (SELECT a.subject, a.sample_id AS u, b.sample_id AS v, exp(-sqrt((a.ox - b.ox) * (a.ox - b.ox) + (a.oy - b.oy) * (a.oy - b.oy)) / 400) AS e FROM o a JOIN o b ON a.subject = b.subject AND a.sample_id <> b.sample_id),
 w AS (SELECT *, e / sum(e) OVER (PARTITION BY subject, u) AS w FROM e) SELECT a.subject, a.u, a.v, round(0.5 * (a.w + b.w), 6) AS w FROM w a JOIN w b ON a.subject = b.subject AND a.u = b.v AND a.v = b.u""")
 def offset_weights(spark, sf_dir):
     o = ad.candidates(spark, sf_dir).select("subject", "sample_id", "ox", "oy").distinct()

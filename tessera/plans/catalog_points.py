@@ -175,8 +175,7 @@ def _grid(spark):
 @query("""SELECT ((ia * 29 + js) * 17 + k)::BIGINT AS pose_id, round(-35 + 0.5::DOUBLE * ia, 6) + 0.0 AS angle, round(0.85::DOUBLE + 0.01::DOUBLE * js, 6) AS scale, k AS kind
 FROM range(141) a(ia), range(29) b(js), range(17) c(k)""")
 def pose_grid(spark, sf_dir):
-    kinds = [(1.0, 0.0)] + [(k, p) for k in (0.92, 1.08) for p in (0.0, 22.5, 45.0, 67.5, 90.0, 112.5, 135.0, 157.5)]
-    grid = cd.pose_grid(spark, stretches=kinds)
+    grid = cd.pose_grid(spark, stretches=cd.STRETCHES)
     return rounded(grid.select("pose_id", "angle", "scale", (F.col("pose_id") % 17).alias("kind")), "angle", "scale")
 
 

@@ -86,8 +86,9 @@ def test_greedy_rounds_equal_the_sequential_rule(spark):
 def test_threshold_and_gate_ties(spark):
     pairs = spark.createDataFrame([("a", 0.2, True), ("a", 0.01, False), ("b", 0.9, True)], "sample_id string, prob double, y boolean")
     table = {r.threshold: (r.tp, r.pred, r.f1) for r in ms.threshold_table(pairs, 3).collect()}
-    assert table[0.005] == (2, 3, pytest.approx(4 / 6)) and table[0.01][:2] == (2, 3)
-    assert ms.best_threshold(ms.threshold_table(pairs, 3)).first().threshold == 0.02
+    assert table[0.0] == (2, 3, pytest.approx(4 / 6)) and table[0.2][:2] == (2, 2)
+    best = ms.best_threshold(ms.threshold_table(pairs, 3)).first()
+    assert (best.threshold, best.tp, best.pred, best.f1) == (0.025, 2, 2, pytest.approx(0.8))
     taus = [(i * 0.05, 3 if i < 5 else 0, 0.5 if i in (3, 8) else 0.1) for i in range(21)]
     choice = ms.gate_choice(spark.createDataFrame(taus, "tau double, wrong int, f1 double")).first()
     assert (round(choice.conservative, 2), round(choice.aggressive, 2)) == (0.25, 0.40)
