@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op1_mix, op5_resample, op6_passages, op8_pack, op9_simhash
+from tessera.llm import near_copies, op1_mix, op5_resample, op6_passages, op8_pack
 from tessera.llm.common import discard, new_folder, table
 
 
@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash with covering hashing: one document of each group stays."""
-    return op9_simhash.one_of_each(docs)
+    """Five-word shingles of Jaccard similarity 0.8 or more: one document of each group stays."""
+    return near_copies.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("SimHash near-dedup", near_dedup),
+    ("MinHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources", mixing),
     ("best-fit packing", packing),

@@ -161,20 +161,5 @@ def components(docs: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE,
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one that names it.
-
-    Rows that share a doc_id are one document and leave one row; rows without doc_id cannot be told
-    apart and stay.
-    """
-    named = components(docs, **options).where("doc_id = component_id")
-    kept = cut(named.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")))
-    here = F.col("doc_id").cast("long") == F.col("_kept")
-    once = docs.join(kept.where("_n = 1"), here, "left_semi")  # about as many as documents: never a broadcast by hint
-    out = once.unionByName(docs.where("doc_id IS NULL"))
-    more = kept.where("_n > 1")
-    return out if more.isEmpty() else out.unionByName(docs.join(small(more), here, "left_semi").dropDuplicates(["doc_id"]))
-
-
 def op9_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
