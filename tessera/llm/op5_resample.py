@@ -7,16 +7,24 @@ n-grams times ``PASSAGE``, shrunk towards 0 where it has few.  Its key adds Gumb
 doc_id; the k documents of largest key are the sample.  k is the number of documents whose weight
 reaches the ``REJECT`` quantile of good documents that the target model has not seen (fold 1).
 
-Defined results: null, empty and white-space texts have weight 0; without good labels in both folds
+A toxic passage hardly moves the mean, so the worst ``WINDOW`` words decide as well: n-grams weigh what the
+lower end of their log odds between toxic and other labelled documents is above 0, and a document whose
+worst window reaches the cut has weight 0 (log weight -inf) and is never taken.  The cut is the one with
+the fewest mistakes on clean and toxic documents of the sample, each scored by the weights of the other
+fold; the weights themselves come from both.
+
+Defined results: without toxic and clean labels in both folds no window is too bad; null, empty and white-space texts have weight 0; without good labels in both folds
 all are kept; rows of equal key at the cut are kept together (repeated rows share their fate); an empty
 table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,60 +33,145 @@ from tessera.llm.common import cut, table
 from tessera.llm.labelled import sample
 from tessera.llm.wordhash import WORD, hashes
 
+#: Buckets up to GROWN documents; beyond, they grow with the square root, as vocabularies do.
 BUCKETS = 1 << 14
+GROWN = 10_000
 PASSAGE = 200.0
 PRIOR = 30
 SMOOTHING = 1.0
 REJECT = 0.005
+WINDOW = 25
+#: Standard errors that an n-gram's log odds must be above 0.
+SURE = 3.0
 SEED = "resample-1"
 _MIX, _PUT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Buckets of the text's words and word pairs."""
+def buckets(docs: int) -> int:
+    return BUCKETS << max(0, math.ceil(math.log2(max(docs, 1) / GROWN) / 2))
+
+
+def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the text's words and of its word pairs."""
     own = np.frombuffer(hashes(WORD.findall(text or "")), np.uint64)
-    pairs = (own[:-1] * _MIX + own[1:]) * _PUT
-    return (np.concatenate([own, pairs]) >> np.uint64(50)).astype(np.int64)
+    return own, (own[:-1] * _MIX + own[1:]) * _PUT
+
+
+def grams(text: str | None, size: int = BUCKETS) -> np.ndarray:
+    """Buckets of the text's words and word pairs."""
+    return _places(*hashed(text), size)
+
 
+def _places(own: np.ndarray, pairs: np.ndarray, size: int) -> np.ndarray:
+    return (np.concatenate([own, pairs]) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
-def counts(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram counts of all documents and of the target; at most 2 x BUCKETS rows reach the driver."""
+
+def counts(docs: DataFrame, chosen: DataFrame, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram counts of all documents and of the target; at most 2 x ``size`` rows reach the driver."""
     marks = chosen.where("quality > 0 AND toxic = 0 AND fold = 0").select("label_id", F.lit(True).alias("_target"))
     marked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks), F.expr("doc_id = label_id"), "left").select("text", "_target")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros((2, size), np.int64)
         for batch in batches:
             for text, target in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = np.bincount(grams(text.as_py()), minlength=BUCKETS)
-                sums[0] += found
+                found, n = np.unique(grams(text.as_py(), size), return_counts=True)
+                sums[0, found] += n
                 if target:
-                    sums[1] += found
+                    sums[1, found] += n
         which, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[which, bucket])], names=["model", "bucket", "n"])
 
-    out = np.zeros((2, BUCKETS))
-    for r in marked.mapInArrow(run, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n")).collect():
-        out[r[0], r[1]] = r[2]
+    out = np.zeros((2, size))
+    got = marked.mapInArrow(run, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[got["model"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out[0], out[1]
 
 
+class Passages:
+    """Weights of n-grams (sorted hashes) of toxic passages."""
+
+    def __init__(self, known: np.ndarray, toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int):
+        odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
+        sure = odds - SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+        use = (toxic >= 2) & (sure > 0)
+        self.known, self.weight, self.cut = known[use], sure[use], math.inf
+
+    def _of(self, found: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        return np.where(self.known[at] == found, self.weight[at], 0.0)
+
+    def worst(self, own: np.ndarray, pairs: np.ndarray) -> float:
+        """The largest sum of weights of ``WINDOW`` neighbouring words over the whole text."""
+        if not len(own) or not len(self.known):
+            return 0.0
+        at = self._of(own)
+        at[1:] += self._of(pairs)
+        sums, width = np.concatenate([[0.0], np.cumsum(at)]), min(WINDOW, len(own))
+        return float((sums[width:] - sums[:-width]).max())
+
+
+def fewest_mistakes(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """Half way between the last score below and the first from the cut that errs least on both."""
+    scores = np.unique(np.concatenate([clean, toxic]))
+    cuts = np.append((scores[1:] + scores[:-1]) / 2, math.inf)
+    wrong = np.searchsorted(np.sort(toxic), cuts) + len(clean) - np.searchsorted(np.sort(clean), cuts)
+    return float(cuts[np.flatnonzero(wrong == wrong.min())[-1]])
+
+
+def toxic_passages(docs: DataFrame, chosen: DataFrame) -> Passages | None:
+    """Fitted on the sample; n-grams of fewer than two toxic documents stay where they are counted."""
+    n = {(r[0], r[1]): r[2] for r in chosen.groupBy("fold", F.expr("toxic > 0")).count().collect()}
+    if any(not n.get((fold, kind)) for fold in (0, 1) for kind in (True, False)):
+        return None
+    marks = chosen.select("label_id", "fold", F.expr("toxic > 0").alias("_toxic"), F.expr("quality > 0").alias("_good"))
+    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks), F.expr("doc_id = label_id")).dropDuplicates(["doc_id"]).select("text", "fold", "_toxic", "_good"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = np.unique(np.concatenate(hashed(batch.column(0)[i].as_py()))).view(np.int64)
+                kind = 2 * batch.column(1)[i].as_py() + batch.column(2)[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), kind, np.int32))], names=["gram", "kind"])
+
+    sums = [F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)]
+    got = texts.mapInArrow(count, "gram long, kind int").groupBy("gram").agg(*sums).where("n1 + n3 >= 2").toArrow()
+    known, by = got["gram"].to_numpy().view(np.uint64), np.array([got[f"n{k}"].to_numpy() for k in range(4)], float)
+    order = np.argsort(known)
+    known, by = known[order], by[:, order]
+    halves = [Passages(known, by[2 * f + 1], by[2 * f], n[f, True], n[f, False]) for f in (0, 1)]
+    whole = Passages(known, by[1] + by[3], by[0] + by[2], n[0, True] + n[1, True], n[0, False] + n[1, False])
+
+    @F.pandas_udf("double")
+    def unseen(text, fold):  # type: ignore[no-untyped-def]
+        score = lambda t, f: halves[1 - f].worst(*hashed(t if isinstance(t, str) else None))
+        return pd.Series([score(t, f) for t, f in zip(text, fold)], dtype="float64")
+
+    scores = texts.where("_toxic OR _good").select("_toxic", unseen("text", "fold").alias("score")).toArrow()
+    score, is_toxic = scores["score"].to_numpy(), np.array(scores["_toxic"].to_pylist(), bool)
+    whole.cut = fewest_mistakes(score[~is_toxic], score[is_toxic])
+    return whole
+
+
 def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if not target.sum():
-        return np.zeros(BUCKETS)
-    log = lambda c: np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS))
+        return np.zeros(len(raw))
+    log = lambda c: np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * len(c)))
     return log(target) - log(raw)
 
 
-def log_weight(text: str | None, ratio: np.ndarray) -> float:
-    found = grams(text)
+def log_weight(text: str | None, ratio: np.ndarray, passages: Passages | None = None) -> float:
+    own, pairs = hashed(text)
+    if passages and passages.worst(own, pairs) >= passages.cut:
+        return -math.inf
+    found = _places(own, pairs, len(ratio))
     return PASSAGE * float(ratio[found].sum()) / (len(found) + PRIOR)
 
 
-def weight_column(text: Column, ratio: np.ndarray) -> Column:
+def weight_column(text: Column, ratio: np.ndarray, passages: Passages | None = None) -> Column:
     @F.pandas_udf("double")
     def weigh(texts):  # type: ignore[no-untyped-def]
-        return texts.map(lambda t: log_weight(t if isinstance(t, str) else None, ratio)).astype("float64")
+        return texts.map(lambda t: log_weight(t if isinstance(t, str) else None, ratio, passages)).astype("float64")
 
     return weigh(text)
 
@@ -111,26 +204,35 @@ def kth_largest(keys: DataFrame, k: int, at_once: int = 50_000) -> float:
     return float(rest[-left])
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
-    """doc_id, log_weight, key and kept of every document; the ratios and the key at the cut."""
+def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, Passages | None, float]:
+    """doc_id, log_weight and key of every document; the ratios, the passages and the key at the cut."""
     chosen = sample(labels)
-    ratio = ratios(*counts(docs, chosen))
-    scored = docs.select(F.col("doc_id").cast("long"), weight_column(F.col("text"), ratio).alias("log_weight"))
+    ratio = ratios(*counts(docs, chosen, buckets(docs.count())))
+    passages = toxic_passages(docs, chosen)
+    scored = docs.select(F.col("doc_id").cast("long"), weight_column(F.col("text"), ratio, passages).alias("log_weight"))
     scored = cut(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))))
     unseen = chosen.where("quality > 0 AND toxic = 0 AND fold = 1")
     good = [r[0] for r in scored.join(F.broadcast(unseen), F.expr("doc_id = label_id")).select("log_weight").collect()]  # of the sample
+    good = [w for w in good if w > -math.inf]
     at = float("-inf")
     if good and ratio.any():
         line = float(np.quantile(good, REJECT))
         k = scored.where(F.col("log_weight") >= line).count()
-        at = kth_largest(scored, k)
-    return scored.withColumn("kept", F.col("key") >= at), ratio, at
+        at = kth_largest(scored.where(F.col("key") > -math.inf), k)
+    return scored, ratio, passages, at
+
+
+def resample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
+    """doc_id, log_weight, key and kept of every document; the ratios and the key at the cut."""
+    scored, ratio, _, at = _fitted(docs, labels)
+    return scored.withColumn("kept", (F.col("key") >= at) & (F.col("key") > -math.inf)), ratio, at
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sampled documents with their own columns; each row is decided where it is read."""
-    _, ratio, at = resample(docs, labels)
-    return docs.where(weight_column(F.col("text"), ratio) + gumbel(F.col("doc_id")) >= at)
+    _, ratio, passages, at = _fitted(docs, labels)
+    key = weight_column(F.col("text"), ratio, passages) + gumbel(F.col("doc_id"))
+    return docs.where(key >= at if at > -math.inf else key > at)
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
