@@ -40,6 +40,7 @@ DATE = "1970-01-01T00:00:00Z"  # pages carry no time
 _URN = "urn:tessera:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Bytes that are read first in search of the end of headers; the reader goes on as far as needed.
 _HEADER_BYTES = 1 << 16
 _CHUNK = 1 << 18
 
@@ -166,6 +167,12 @@ def _parse(f, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
     if not _VERSION.match(head):
         raise Broken("no version line")
     end = head.find(b"\r\n\r\n")
+    while end < 0 and len(head) < size - at:
+        before = len(head)
+        head += f.read(min(before, size - at - before))
+        end = head.find(b"\r\n\r\n", before - 3)
+        if len(head) == before:
+            break
     if end < 0:
         raise Broken("headers do not end")
     headers = {}
@@ -295,8 +302,17 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = cut(write_archives(with_revisits(table(spark, sf_dir, "pages")), new_folder(spark, "op2")))
-    records = read_archives(manifest, with_payload=False).where("kind = 'record' AND record_type IN ('response', 'revisit')")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return all_pages(manifest, read_archives(manifest, with_payload=False))
+
+
+def all_pages(manifest: DataFrame, read: DataFrame) -> DataFrame:
+    """The pages of ``read``; fails if they are not as many as were written."""
+    records = read.where("kind = 'record' AND record_type IN ('response', 'revisit')")
+    records = cut(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    written, found = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count()
+    if written != found:
+        raise ValueError(f"{written} records were written, {found} read")
+    return records
 
 
 ORACLE = """
