@@ -5,8 +5,8 @@ one with the largest page_id is a response and the others revisit it.
 
 Reading: each record is checked (gzip CRC, version line, headers, length, closing blank lines, block
 and payload digests).  After a failed check the reader searches for the next member that opens with a
-version line (in plain archives: the next version line), goes on there, and logs the bytes between as
-a quarantined gap with its reason.  A record whose frame holds but whose digest differs is a gap of
+version line (in plain archives and inside a member: the next version line), goes on there, and logs the
+bytes between as a quarantined gap with its reason.  Of a broken member what can be inflated is read too.  A record whose frame holds but whose digest differs is a gap of
 exactly its own bytes.
 
 Defined results: a null html is an empty payload; a null page_id is smaller than any other and is
@@ -123,20 +123,42 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 # ---------------------------------------------------------------- reading
 
 
-def _read_member(f, at: int) -> tuple[bytes, int]:
-    """The bytes of the gzip member at ``at`` and where it ends."""
+def _read_member(f, at: int) -> tuple[bytes, int | None, str | None]:
+    """What can be inflated of the gzip member at ``at``, where it ends and, if it is broken, why."""
     f.seek(at)
     unpacker, parts, read = zlib.decompressobj(31), [], 0
     while not unpacker.eof:
         chunk = f.read(_CHUNK)
         if not chunk:
-            raise Broken("truncated member")
+            return b"".join(parts), None, "truncated member"
         read += len(chunk)
         try:
             parts.append(unpacker.decompress(chunk))
         except zlib.error as e:
-            raise Broken(f"gzip: {e}") from None
-    return b"".join(parts), at + read - len(unpacker.unused_data)
+            return _inflated(f, at, read), None, f"gzip: {e}"
+    return b"".join(parts), at + read - len(unpacker.unused_data), None
+
+
+def _inflated(f, at: int, size: int) -> bytes:
+    """The bytes before the error that the ``size`` bytes at ``at`` lead to."""
+    f.seek(at)
+    unpacker, parts = zlib.decompressobj(31), []
+    while size > 0:
+        chunk = f.read(min(_CHUNK, size))
+        if not chunk:
+            break
+        size -= len(chunk)
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(chunk))
+        except zlib.error:  # the call gives nothing: again byte by byte
+            try:
+                for i in range(len(chunk)):
+                    parts.append(before.decompress(chunk[i : i + 1]))
+            except zlib.error:
+                pass
+            break
+    return b"".join(parts)
 
 
 def _opens_with_version(data: bytes) -> bool:
@@ -211,17 +233,21 @@ def _plain(f, size: int) -> Iterator[tuple]:
 
 
 def _zipped(f, size: int) -> Iterator[tuple]:
+    """Records and gaps have the place of their member; gaps that follow each other inside it are one."""
     at = 0
     while at < size:
-        try:
-            data, end = _read_member(f, at)
-            for kind, _, _, what, block in _plain(io.BytesIO(data), len(data)):
-                if kind == "gap":
-                    raise Broken(what, end)
+        data, end, broken = _read_member(f, at)
+        if broken:
+            end = _search(f, at + 1, size, b"\x1f\x8b\x08", _member_starts)
+        last = None
+        for kind, _, _, what, block in _plain(io.BytesIO(data), len(data)):
+            if kind == "record" or (not broken and last != "gap"):
                 yield kind, at, end - at, what, block
-        except Broken as e:
-            end = e.end or _search(f, at + 1, size, b"\x1f\x8b\x08", _member_starts)
-            yield "gap", at, end - at, e.reason, None
+            last = kind
+        if broken:
+            yield "gap", at, end - at, broken, None
+        elif last is None:  # an empty member
+            yield "gap", at, end - at, "empty member", None
         at = end
 
 

@@ -1,8 +1,11 @@
+import io
+import random
+
 import pytest
 
 from tessera.llm import op2_warc as w
 from tessera.llm.common import cut
-from tests.llm.test_warc import SCHEMA
+from tests.llm.test_warc import SCHEMA, ids, records
 
 
 def test_headers_of_any_length(spark, tmp_path):
@@ -19,3 +22,29 @@ def test_a_record_that_is_not_read_back_is_an_error(spark, tmp_path):
     assert w.all_pages(manifest, read).count() == 5
     with pytest.raises(ValueError, match="5 records were written, 4 read"):
         w.all_pages(manifest, read.where("page_id IS DISTINCT FROM 3"))
+
+
+@pytest.mark.parametrize("damage", ["record", "cut", "flip", "crc"])
+def test_members_of_several_records(damage):
+    rng = random.Random(1)
+    parts = [w.page_record(i, f"http://h/{i}", rng.randbytes(30_000), None) for i in range(30)]
+    if damage == "record":
+        parts[11] = parts[11][:5000] + b"?" + parts[11][5001:]
+        parts[12] = b"junk" + parts[12]
+    data = bytearray(w.member(b"".join(parts)))
+    if damage == "cut":
+        del data[len(data) // 2 :]
+    elif damage == "flip":
+        data[len(data) // 2 : len(data) // 2 + 400] = bytes(400)
+    elif damage == "crc":
+        data[-6] ^= 0x55
+    more = w.member(b"".join(records(3)))
+    found = list(w.salvage(io.BytesIO(bytes(data + more)), len(data) + len(more)))
+    assert ids(found)[-3:] == [0, 1, 2] and [x for x in found if x[0] == "gap" and x[3]]
+    got = ids(found)[:-3]
+    if damage == "record":
+        assert got == [i for i in range(30) if i != 11]
+    elif damage == "crc":
+        assert got == list(range(30))
+    else:
+        assert got[:14] == list(range(14)) and set(got) <= set(range(30)) - {15}
