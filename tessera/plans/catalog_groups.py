@@ -370,24 +370,24 @@ def _own_candidates(spark, sf_dir, method, **options):
 
 @query()
 def hough_register(spark, sf_dir):
-    return rounded(_own_candidates(spark, sf_dir, "hough", angles=[-6.0, 0.0, 6.0], scales=[0.95, 1.0], keep=5), "score", *g.POSE, "angle", "land_x", "land_y")
+    return rounded(_own_candidates(spark, sf_dir, "hough", keep=5), "score", *g.POSE, "angle", "land_x", "land_y")
 
 
 @query()
 def register_with_priors(spark, sf_dir):
-    return rounded(_own_candidates(spark, sf_dir, "priors", keep=3, angles=(0,), scales=(1.0,)), "score", *g.POSE, "angle", "land_x", "land_y")
+    return rounded(_own_candidates(spark, sf_dir, "priors", keep=3), "score", *g.POSE, "angle", "land_x", "land_y")
 
 
 @query()
 def register_ncc(spark, sf_dir):
-    return rounded(_own_candidates(spark, sf_dir, "ncc", keep=3, angles=(0.0,), scales=(1.0,)), "score", *g.POSE, "angle", "land_x", "land_y")
+    return rounded(_own_candidates(spark, sf_dir, "ncc", keep=3), "score", *g.POSE, "angle", "land_x", "land_y")
 
 
 @query()
 def rematch(spark, sf_dir):
     iv = ad.points(spark, sf_dir, "iv").withColumns({"ox": F.lit(10.0), "oy": F.lit(20.0)})
     ex = ad.points(spark, sf_dir, "ex")
-    own = rg.candidates(iv.drop("subject"), ex, "hough", angles=[-6.0, 0.0, 6.0], scales=[0.95, 1.0], keep=8)
+    own = rg.candidates(iv.drop("subject"), ex, "hough", keep=8)
     poses = rm.chosen_poses(iv, ex, own, angle_win=1.0)
     return rounded(rm.matched(iv, ex, poses, least_margin=0.0), "d")
 

@@ -280,7 +280,7 @@ def pose_refine(spark, sf_dir):
 
 @query()
 def fft_scan(spark, sf_dir):
-    return kernels.scan_samples(ad.points(spark, sf_dir, "iv"), ad.points(spark, sf_dir, "ex"), [-6.0, 0.0, 6.0])
+    return kernels.scan_samples(ad.points(spark, sf_dir, "iv"), ad.points(spark, sf_dir, "ex"), kernels.SCAN_ANGLES)
 
 
 @query()
