@@ -1,10 +1,19 @@
-"""Near copies by exact similarity: Jaccard of lower-cased (A-Z) word shingles of at least ``SIMILARITY``.
+"""SimHash near copies by a similarity: operator 9 where links are exact Jaccard similarities, not bits.
 
-Candidates come from MinHash bands: two texts of similarity s share a band with probability
-1 - (1 - s^ROWS)^BANDS, 0.99997 at 0.8.  Each candidate pair is decided on the whole shingle sets.
-Work is on distinct sets (nodes), in two rounds: in every band bucket all are compared with one member,
-then all pairs that are still in different components.  What the second round leaves out is already
-linked, so the components are those of all pairs that share a band.
+Links join texts whose lower-cased (A-Z) word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+At 0.8 about ten of 64 bits of a text's fingerprint differ, far beyond what covering masks can
+guarantee, so a text has several SimHash fingerprints, and a pair is a candidate if any two meet:
+
+* of all its shingles, in the covering tables of operator 9 (every pair within ``RADIUS`` bits meets);
+* of ``SAMPLES`` samples of its shingles, which must agree in all bits.  A sample is what falls into one
+  of G hash slots; G is such that a slot holds ``SLOT`` to 1.42 * ``SLOT`` shingles on average, and a text near the
+  end of a size class is also sampled as the next larger class, so that both of a pair are in one.  A
+  pair of similarity 0.8 shares each sample with probability 0.39 or more.
+
+Each pair is decided on the whole sets.  Work is on distinct sets (nodes), in two rounds: in every bucket
+all are compared with the member that shares most; then all pairs of different components, unless the
+shingles that one of them holds alone already bound their similarity below the limit.  What is left out is
+linked or cannot be, so the components are those of all pairs that meet in a bucket.
 
 Defined results: a text of fewer than ``SHINGLE`` words is one shingle; null, empty and white-space
 texts are copies of each other; a null doc_id never names a component unless all its members are null.
@@ -22,15 +31,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, discard, small, stored
 from tessera.llm.components import stars
+from tessera.llm.op9_simhash import RADIUS, covering_masks
 from tessera.llm.wordhash import WORD, Runs, hashes
 
 SHINGLE = 5
 #: Least Jaccard similarity of near copies, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
-BANDS, ROWS = 20, 4
-_rng = np.random.default_rng(9)
-_TURNS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_JOIN = _rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+SAMPLES, SLOT = 16, 3.0
+_ODD, _MIX = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -44,27 +52,68 @@ def node(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes())))) if len(found) else 0
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        np.minimum(low, (_TURNS[:, None] * found[None, at : at + 2048]).min(axis=1), out=low)
-    return (low.reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype=np.uint64).view(np.int64)
+def simhashes(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Fingerprints of the groups of hashes that begin at ``starts``; a bit is 1 if set in over half."""
+    out = np.zeros(len(starts), np.uint64)
+    sizes = np.diff(np.append(starts, len(found)))
+    for a, b in _runs(sizes):
+        part = found[starts[a] : starts[a] + sizes[a:b].sum()]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64)
+        ones = np.add.reduceat(bits, starts[a:b] - starts[a], axis=0, dtype=np.int32)
+        out[a:b] = np.packbits(2 * ones > sizes[a:b, None]).view(">u8")
+    return out
+
+
+def _runs(sizes: np.ndarray, most: int = 65_536) -> list[tuple[int, int]]:
+    """Stretches of neighbouring groups of about ``most`` hashes."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)]))
+
+
+def classes(n: int) -> list[tuple[int, int]]:
+    """Size classes of a set of ``n`` shingles and their number of slots; sets of fewer than four have none,
+    as they are similar to equal ones only."""
+    if n < 4:
+        return []
+    least, of = SIMILARITY
+    low, high = (max(0, int(np.floor(2 * np.log2(m / SLOT)))) for m in (n, n * of / least))
+    return [(c, max(2, round(2 ** (c / 2)))) for c in sorted({low, high})]
+
+
+def sample_keys(found: np.ndarray) -> np.ndarray:
+    """One key a sample of two shingles or more: its class, place and fingerprint."""
+    out = []
+    for c, slots in classes(len(found)):
+        for turn in range(-(-SAMPLES // slots)):
+            mixed = (found ^ np.uint64(xxhash.xxh64_intdigest(bytes([turn])))) * _ODD
+            mixed ^= mixed >> np.uint64(31)
+            slot = ((mixed * _MIX >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+            picked = slot < SAMPLES
+            order = np.argsort(slot[picked], kind="stable")
+            slot, mixed = slot[picked][order], mixed[picked][order]
+            places, starts, counts = np.unique(slot, return_index=True, return_counts=True)
+            if len(places):
+                prints = simhashes(mixed, starts)
+                out.append((prints * _MIX + np.uint64(c * 65_536 + turn * 256) + places.astype(np.uint64))[counts > 1])
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), node, size (shingles), keys (null without words)."""
+    """doc_id, h (hash of the text), node, size (shingles), fp (fingerprint of all), keys (of the samples)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
                 nodes.append(node(found))
                 sizes.append(len(found))
-                keys.append(band_keys(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "size", "keys"])
+                prints.append(int(simhashes(found, np.zeros(1, int)).view(np.int64)[0]) if len(found) else 0)
+                keys.append(sample_keys(found))
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "h", "node", "size", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, node long, size long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, node long, size long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,34 +147,64 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct a < b of ``rows`` (one, its size, other, its size) whose sizes allow the similarity."""
+def _alone(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, alone: how many of its shingles no other of ``nodes`` has (those with none are left out)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(0)[i].as_py())), pa.array(found)], names=["node", "shingle"])
+
+    held = nodes.join(sets, "node").select("node", "found").mapInArrow(run, "node long, shingle long")
+    once = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def _pairs(rows: DataFrame, shared_at_most: str) -> DataFrame:
+    """Distinct a < b of ``rows`` (one, its size and print, other, its size and print, table t) that may be
+    similar: at most ``shared_at_most`` of their shingles can be common, and in a covering table the
+    fingerprints are within the radius."""
     least, of = SIMILARITY
-    fits = F.least("n", "m") * of >= F.greatest("n", "m") * least
+    fits = F.expr(f"{of} * {shared_at_most} >= {least} * (n + m - {shared_at_most})") & (F.col("t").isNull() | (F.bit_count(F.expr("fp ^ fq")) <= RADIUS))
     return rows.where("one <> other").where(fits).select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``distinct``: node, size, keys, doc_id, h (checkpointed).  Node and root of what has near copies."""
-    keyed = distinct.select("node", "size", F.posexplode("keys").alias("t", "key"))
-    centre = F.min(F.struct(F.xxhash64("node", "t"), F.col("node"), F.col("size"))).alias("c")
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), centre).where("n > 1")
-    shared = cut(shared.select("t", "key", F.col("c.node").alias("other"), F.col("c.size").alias("m")))
-    keyed = cut(keyed.join(shared, ["t", "key"]))
-    first = cut(_pairs(keyed.select(F.col("node").alias("one"), F.col("size").alias("n"), "other", "m")))
+    """``distinct``: node, size, fp, keys, doc_id, h (checkpointed).  Node and root of what has near copies."""
+    masks = covering_masks()
+    tables = F.transform(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("mask")) for t, m in enumerate(masks)]), lambda x: F.struct(x["t"].alias("t"), x["mask"].bitwiseAND(F.col("fp")).alias("key")))
+    samples = F.transform("keys", lambda k: F.struct(F.lit(None).cast("int").alias("t"), k.alias("key")))
+    keyed = distinct.where("size > 0").select("node", F.inline(F.concat(tables, samples)))
+    bucket = F.xxhash64("t", "key").alias("bucket")
+    keyed = keyed.select("node", "t", bucket)
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("shared")).where("shared > 1")
+    held = cut(keyed.join(shared, "bucket"))
+    popular = held.groupBy("node").agg(F.sum(F.floor(1000 * F.log("shared"))).alias("popular"))
+    members = cut(popular.join(distinct.select("node", "size", "fp"), "node"))
+    held = held.join(members, "node")
+    centre = F.max(F.struct("popular", "node", "size", "fp")).alias("c")
+    centres = cut(held.groupBy("bucket").agg(centre)).select("bucket", F.col("c.node").alias("other"), F.col("c.size").alias("m"), F.col("c.fp").alias("fq"))
+    first = held.join(centres, "bucket").select(F.col("node").alias("one"), F.col("size").alias("n"), "fp", "other", "m", "fq", "t")
+    first = cut(_pairs(first, "least(n, m)"))
     folders: list[str] = []
-    wanted = keyed.select("node").distinct().join(distinct.select("node", "doc_id", "h"), "node")
-    sets = stored(_sets(docs, wanted), "sets", folders)
+    # buckets of two are settled by the first round
+    wanted = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.where("shared > 2").select("node")).distinct()
+    sets = stored(_sets(docs, wanted.join(distinct.select("node", "doc_id", "h"), "node")), "sets", folders)
     edges = cut(_similar(first, sets))
     linked = stars(edges)
+    rooted = held.where("shared > 2").join(linked.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted.select("bucket", "t", "node", "size", "fp", "root"))
     # a bucket all of whose members are linked is done
-    rooted = keyed.select("t", "key", "node", "size").join(linked.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut(rooted)
-    mixed = rooted.groupBy("t", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("t", "key")
-    left = rooted.join(mixed, ["t", "key"], "left_semi")
-    other = left.select("t", "key", F.col("node").alias("other"), F.col("size").alias("m"), F.col("root").alias("r"))
-    rest = _pairs(left.join(other, ["t", "key"]).where("root < r").select(F.col("node").alias("one"), F.col("size").alias("n"), "other", "m"))
-    more = cut(_similar(rest.join(first, ["a", "b"], "left_anti"), sets))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    left = cut(rooted.join(mixed, "bucket", "left_semi"))
+    alone = _alone(left.select("node").distinct(), sets)
+    left = left.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0)))
+    least, of = SIMILARITY
+    left = cut(left.where(of * F.col("most") >= least * F.col("size")).drop("alone"))
+    other = left.select("bucket", F.col("node").alias("other"), F.col("size").alias("m"), F.col("fp").alias("fq"), F.col("root").alias("r"), F.col("most").alias("most_m"))
+    rest = left.join(other, "bucket").where("root < r").select(F.col("node").alias("one"), F.col("size").alias("n"), "fp", "other", "m", "fq", "t", "most", "most_m")
+    more = cut(_similar(_pairs(rest, "least(most, most_m)").join(first, ["a", "b"], "left_anti"), sets))
     discard(docs.sparkSession, folders)
     return linked if more.isEmpty() else stars(edges.unionByName(more))
 
@@ -134,8 +213,8 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, node, component_id (the smallest doc_id)."""
     marked = cut(sketches(docs))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("_row")
-    distinct = marked.groupBy("node").agg(least, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    distinct = cut(distinct.select("node", "size", "keys", "_row.doc_id", "_row.h"))
+    distinct = marked.groupBy("node").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    distinct = cut(distinct.select("node", "size", "fp", "keys", "_row.doc_id", "_row.h"))
     linked = links(docs, distinct)
     members = linked.select(F.col("a").alias("node"), "root").unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     members = cut(members.join(distinct.select("node", "doc_id"), "node"))
