@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles of Jaccard similarity 0.8 or more: one document of each group stays."""
+    """SimHash near copies, five-word shingles of similarity 0.8 or more: one document of each group stays."""
     return near_copies.one_of_each(docs)
 
 
@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("MinHash near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources", mixing),
     ("best-fit packing", packing),
