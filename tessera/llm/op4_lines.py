@@ -1,15 +1,17 @@
 """Quality rules with line labels: Viterbi decoding of a linear-chain conditional random field.
 
 Every line with a word is a node with two labels, content and boilerplate; its features are yes/no
-properties of the line, the chain has one weight a pair of neighbouring labels.  The field is fitted
-by its conditional likelihood on lines of a bounded sample of labelled documents (the lines of a good
-document count as content, those of a bad one as boilerplate; the L2 penalty and the chain absorb the
-noise of that).  A document is kept if its content lines hold at least ``CONTENT_SHARE`` of its words
-and the base rules hold.  Each document is decided from its whole text alone, in one map.
+properties of the line, the chain has one weight a pair of neighbouring labels.  Nobody has labelled lines,
+so the labels are latent: a bounded sample of labelled documents starts from weak labels (a line with a mark
+of boilerplate is boilerplate, a long line without one is content, a short one counts as its document), and
+a few rounds alternate between fitting the field by its conditional likelihood and decoding the sample
+again, where the label of the document only binds the share: content holds at least ``CONTENT_SHARE`` of the words of
+a good document and less of a bad one.  A document is kept if its content lines hold that share and the
+base rules hold.  Each document is decided from its whole text alone, in one map.
 
 Defined results: null, empty and white-space texts have no words and fail the base rules; without
-labels all weights are zero and ties count as content; repeated rows get the same answer; an empty
-table gives no rows; other columns are not read.
+labels of both kinds all weights are zero and ties count as content; repeated rows get the same answer; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +33,19 @@ REPEAT_PERCENT = 30
 CONTENT_SHARE = 0.5
 #: Lines of one training chain; longer documents are cut into several.
 CHAIN = 256
+#: Log odds that a weak label is right.
+TRUST = 8.0
+#: Rounds of fitting and decoding.
+TURNS = 3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
 _WEB = re.compile(r"https?://|www\.|©|\b(?:cookie|copyright|licen[cs]e|login|subscribe|click|menu|privacy|all rights)", re.I)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 N_FEATURES = 16
+#: Features of a line that mark boilerplate: seen before, many signs, mostly capitals, few different words, web phrases.
+MARKS = sum(1 << i for i in (5, 7, 8, 9, 12, 13))
+#: Features of lines of at most seven words.
+SHORT = 1 << 1 | 1 << 2
 
 
 def line_features(line: str, words: list[str], seen: bool) -> int:
@@ -118,23 +128,21 @@ def log_likelihood(weights: np.ndarray, pairs: np.ndarray, x: np.ndarray, y: np.
     return value, np.einsum("nt,ntf->f", (y * live) - content, x), found - expected
 
 
-def fit(chains: list[tuple[list[int], int]], rounds: int = 120, penalty: float = 1e-3) -> tuple[list[float], list[list[float]]]:
-    """Weights from (line features, label) chains, by Adam on the mean conditional log-likelihood."""
-    weights, pairs = np.zeros(N_FEATURES), np.zeros((2, 2))
-    chains = [(c[a : a + CHAIN], y) for c, y in chains for a in range(0, len(c), CHAIN)]
-    if len({y for _, y in chains}) < 2:
-        return weights.tolist(), pairs.tolist()
+def fit(chains: list[tuple[list[int], list[int]]], theta: np.ndarray | None = None, rounds: int = 80, penalty: float = 2e-5) -> np.ndarray:
+    """Weights and pair weights in one row, from (line features, line labels) chains, by Adam on the mean
+    conditional log-likelihood, from ``theta`` on."""
+    theta = np.zeros(N_FEATURES + 4) if theta is None else theta.copy()
+    chains = [(c[a : a + CHAIN], y[a : a + CHAIN]) for c, y in chains for a in range(0, len(c), CHAIN)]
     chains.sort(key=lambda c: len(c[0]))
     batches = []
     for at in range(0, len(chains), 500):  # chains of like length share a padded block
         part = chains[at : at + 500]
         length = np.array([len(c) for c, _ in part])
-        masks = np.zeros((len(part), length.max()), np.int64)
-        for i, (c, _) in enumerate(part):
-            masks[i, : len(c)] = c
-        batches.append((_dense(masks), np.repeat([[y] for _, y in part], length.max(), axis=1).astype(int), length))
+        masks, labels = np.zeros((2, len(part), length.max()), np.int64)
+        for i, (c, y) in enumerate(part):
+            masks[i, : len(c)], labels[i, : len(c)] = c, y
+        batches.append((_dense(masks), labels, length))
     lines = sum(int(b[2].sum()) for b in batches)
-    theta = np.zeros(N_FEATURES + 4)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         grad = np.zeros_like(theta)
@@ -143,8 +151,42 @@ def fit(chains: list[tuple[list[int], int]], rounds: int = 120, penalty: float =
             grad += np.concatenate([a, b.ravel()])
         grad = grad / lines - penalty * theta
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-        theta += 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
-    return theta[:N_FEATURES].tolist(), theta[N_FEATURES:].reshape(2, 2).tolist()
+        theta += 0.2 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+    return theta
+
+
+def weak_labels(features: list[int], good: bool) -> list[int]:
+    return [0 if f & MARKS else int(good) if f & SHORT else 1 for f in features]
+
+
+def prior(features: list[int]) -> list[float]:
+    """Log odds of content that the weak rules give a line: none to short lines without a mark."""
+    return [-TRUST if f & MARKS else 0.0 if f & SHORT else TRUST for f in features]
+
+
+def within_share(emit: list[float], pairs: list[list[float]], sizes: list[int], good: bool, share: float = CONTENT_SHARE) -> list[int]:
+    """Best labels of a document among those whose share of content agrees with its label: every line's score
+    is moved by the least of a rising row of steps that makes it so."""
+    for step in (0.0, *(0.25 * 1.5**i for i in range(16))):
+        labels = viterbi([e + (step if good else -step) for e in emit], pairs)
+        if (sum(s for s, y in zip(sizes, labels) if y) >= share * sum(sizes)) == good:
+            return labels
+    return [int(good)] * len(emit)
+
+
+def fit_latent(documents: list[tuple[list[int], list[int], bool]], turns: int = TURNS) -> tuple[list[float], list[list[float]]]:
+    """Weights from (line features, line sizes, whether good) of documents."""
+    if len({good for _, _, good in documents}) < 2:
+        return [0.0] * N_FEATURES, [[0.0] * 2] * 2
+    labels, theta = [weak_labels(f, good) for f, _, good in documents], None
+    for turn in range(turns):
+        theta = fit([(f, y) for (f, _, _), y in zip(documents, labels)], theta, 25 if turn else 80)
+        weights, pairs = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2).tolist()
+        new = [within_share((_dense(np.array(f)) @ weights + prior(f)).tolist(), pairs, sizes, good) for f, sizes, good in documents]
+        if new == labels:
+            break
+        labels = new
+    return weights.tolist(), pairs
 
 
 def viterbi(emit: list[float], pairs: list[list[float]]) -> list[int]:
@@ -170,22 +212,43 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[list[fl
     chosen = sample(labels)
     known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.expr("doc_id = label_id")).select("doc_id", "text", "quality")
 
+    # repeated ids: one row a sampled id, the one of smallest text
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masks = [lines_of(t.as_py())[0] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.int32())), batch.column(2).cast(pa.int32())], names=["doc_id", "masks", "quality"])
+            found = [lines_of(t.as_py())[:2] for t in batch.column(1)]
+            columns = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2).cast(pa.int32())], names=["doc_id", "masks", "sizes", "quality"])
 
-    rows = known.mapInArrow(run, "doc_id long, masks array<int>, quality int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.masks))
-    return fit([(r.masks, int(r.quality > 0)) for r in rows if r.masks])
+    rows = known.mapInArrow(run, "doc_id long, masks array<int>, sizes array<int>, quality int").collect()
+    return fit_latent([(r.masks, r.sizes, r.quality > 0) for r in sorted(rows) if r.masks])
+
+
+def line_labels(features: list[int], model: tuple[list[float], list[list[float]]]) -> list[int]:
+    """1 for content, 0 for boilerplate, for each line with a word."""
+    return viterbi((_dense(np.array(features)) @ np.array(model[0])).tolist(), model[1]) if features else []
+
+
+def labelled_lines(docs: DataFrame, model: tuple[list[float], list[list[float]]]) -> DataFrame:
+    """doc_id, line (place among all lines of the text, from 0), content: one row a line with a word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                places = [k for k, line in enumerate((text or "").split("\n")) if _WORD.search(line)]
+                found = pa.array(line_labels(lines_of(text)[0], model), pa.int32()).cast(pa.bool_())
+                ids = pa.array([batch.column(0)[i].as_py()] * len(places), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(places, pa.int32()), found], names=["doc_id", "line", "content"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line int, content boolean")
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
 
 
 def judge(docs: DataFrame, model: tuple[list[float], list[list[float]]], share: float = CONTENT_SHARE) -> DataFrame:
-    weights, pairs = model
-
     def decide(text: str | None) -> tuple:
         features, sizes, again, words = lines_of(text)
         n, symbols = len(words), sum(map(text.count, _SYMBOLS)) if text else 0
@@ -193,8 +256,7 @@ def judge(docs: DataFrame, model: tuple[list[float], list[list[float]]], share:
         failed = n < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * n
         content = 0
         if words:
-            emit = (_dense(np.array(features)) @ np.array(weights)).tolist()
-            content = sum(s for s, label in zip(sizes, viterbi(emit, pairs)) if label)
+            content = sum(s for s, label in zip(sizes, line_labels(features, model)) if label)
         return n, sum(map(len, words)), symbols, again, repeats, failed, not failed and content >= share * n, content
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
