@@ -2,10 +2,13 @@
 
 Two generative models over hashed word n-grams (one and two words) give each n-gram the logarithm of
 its probability in target text over that in raw text.  Raw counts cover all documents; the target is
-the good half of a bounded labelled sample (fold 0).  A document's log weight is the mean ratio of its
-n-grams times ``PASSAGE``, shrunk towards 0 where it has few.  Its key adds Gumbel noise, a hash of
-doc_id; the k documents of largest key are the sample.  k is the number of documents whose weight
-reaches the ``REJECT`` quantile of good documents that the target model has not seen (fold 1).
+the good half of a bounded labelled sample (fold 0).  A document's log weight is the log-likelihood ratio
+of the models over its n-grams, at the temperature n-grams / ``PASSAGE``: what a passage of ``PASSAGE`` n-grams
+of it would have, so that length alone neither chooses nor rejects, and shrunk towards 0 where it has few.
+Good documents differ by about as much as the Gumbel noise that the key adds (a hash of doc_id), bad ones lie
+far below.  The k documents of largest key are a sample without replacement whose draws follow the weights.
+k is a parameter; left open it is the number of documents whose weight reaches the ``REJECT`` quantile of good
+documents that the target model has not seen (fold 1).
 
 A toxic passage hardly moves the mean, so the worst ``WINDOW`` words decide as well: n-grams weigh what the
 lower end of their log odds between toxic and other labelled documents is above 0, and a document whose
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, stored, table
 from tessera.llm.labelled import sample
 from tessera.llm.wordhash import WORD, hashes
 
 #: Buckets up to GROWN documents; beyond, they grow with the square root, as vocabularies do.
 BUCKETS = 1 << 14
 GROWN = 10_000
-PASSAGE = 200.0
+PASSAGE = 100.0
 PRIOR = 30
 SMOOTHING = 1.0
 REJECT = 0.005
@@ -176,8 +179,8 @@ def weight_column(text: Column, ratio: np.ndarray, passages: Passages | None = N
     return weigh(text)
 
 
-def gumbel(doc_id: Column) -> Column:
-    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def gumbel(doc_id: Column, seed: str = SEED) -> Column:
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
     return -F.log(-F.log((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)))
 
 
@@ -204,35 +207,44 @@ def kth_largest(keys: DataFrame, k: int, at_once: int = 50_000) -> float:
     return float(rest[-left])
 
 
-def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, Passages | None, float]:
-    """doc_id, log_weight and key of every document; the ratios, the passages and the key at the cut."""
-    chosen = sample(labels)
+def _scored(docs: DataFrame, chosen: DataFrame, whole: bool, seed: str) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, log_weight and key of every document, each text weighed once; with ``whole`` its row too (_doc).
+    Also the ratios."""
     ratio = ratios(*counts(docs, chosen, buckets(docs.count())))
     passages = toxic_passages(docs, chosen)
-    scored = docs.select(F.col("doc_id").cast("long"), weight_column(F.col("text"), ratio, passages).alias("log_weight"))
-    scored = cut(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))))
-    unseen = chosen.where("quality > 0 AND toxic = 0 AND fold = 1")
-    good = [r[0] for r in scored.join(F.broadcast(unseen), F.expr("doc_id = label_id")).select("log_weight").collect()]  # of the sample
-    good = [w for w in good if w > -math.inf]
-    at = float("-inf")
-    if good and ratio.any():
-        line = float(np.quantile(good, REJECT))
-        k = scored.where(F.col("log_weight") >= line).count()
-        at = kth_largest(scored.where(F.col("key") > -math.inf), k)
-    return scored, ratio, passages, at
-
-
-def resample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("_doc")] if whole else []
+    scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), weight_column(docs["text"], ratio, passages).alias("log_weight"), *row)
+    scored = scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
+    return stored(scored, "weighed", []) if whole else cut(scored), ratio
+
+
+def _cut_key(scored: DataFrame, chosen: DataFrame, ratio: np.ndarray, k: int | None) -> float:
+    """The k-th largest key; -inf if all are kept."""
+    likely = scored.where(F.col("log_weight") > -math.inf).select("doc_id", "log_weight", "key")
+    if k is None:
+        unseen = chosen.where("quality > 0 AND toxic = 0 AND fold = 1")
+        good = likely.join(F.broadcast(unseen), F.expr("doc_id = label_id")).groupBy("doc_id").agg(F.min("log_weight")).collect()  # of the sample
+        if not good or not ratio.any():
+            return -math.inf
+        k = likely.where(F.col("log_weight") >= float(np.quantile([r[1] for r in good], REJECT))).count()
+    n = min(k, likely.count())
+    return kth_largest(likely, n) if n else math.inf
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str = SEED) -> tuple[DataFrame, np.ndarray, float]:
     """doc_id, log_weight, key and kept of every document; the ratios and the key at the cut."""
-    scored, ratio, _, at = _fitted(docs, labels)
+    chosen = sample(labels)
+    scored, ratio = _scored(docs, chosen, False, seed)
+    at = _cut_key(scored, chosen, ratio, k)
     return scored.withColumn("kept", (F.col("key") >= at) & (F.col("key") > -math.inf)), ratio, at
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sampled documents with their own columns; each row is decided where it is read."""
-    _, ratio, passages, at = _fitted(docs, labels)
-    key = weight_column(F.col("text"), ratio, passages) + gumbel(F.col("doc_id"))
-    return docs.where(key >= at if at > -math.inf else key > at)
+def kept_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str = SEED) -> DataFrame:
+    """The sampled documents with their own columns, from a table in the shared folder."""
+    chosen = sample(labels)
+    scored, ratio = _scored(docs, chosen, True, seed)
+    at = _cut_key(scored, chosen, ratio, k)
+    return scored.where((F.col("key") >= at) & (F.col("key") > -math.inf)).select("_doc.*")
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

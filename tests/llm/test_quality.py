@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import op4_lines as o4
 from tessera.llm import op5_resample as o5
@@ -56,6 +57,67 @@ def test_good_documents_stay_and_bad_ones_go(spark, sf):
     assert again.sort_values("doc_id").kept.tolist() == o4.op4_line_crf(spark, sf).toPandas().sort_values("doc_id").kept.tolist()
 
 
+def best_path(emit, pairs):
+    """By the best score of every prefix and label, from tuples."""
+    best = {0: (0.0, ()), 1: (emit[0], ())}
+    for t, e in enumerate(emit):
+        if t:
+            best = {y: max(((best[z][0] + pairs[z][y] + e * y, (*best[z][1], z)) for z in (0, 1))) for y in (0, 1)}
+    end = max((0, 1), key=lambda y: (best[y][0], y))
+    return [*best[end][1], end]
+
+
+def plain_kept(text, model):
+    """The verdict from the weights alone: base rules and the share of words in content lines."""
+    n, *_, repeats = plain_base(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    features = o4.lines_of(text)[0]
+    assert len(lines) == len(features)
+    if n < 20 or 100 * repeats > 30 * n:
+        return False
+    labels = best_path([sum(w for i, w in enumerate(model[0]) if f >> i & 1) for f in features], model[1])
+    return 2 * sum(len(words(x)) for x, y in zip(lines, labels) if y) >= n
+
+
+def test_kept_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = o4.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: (r.kept, r.content_words, r.n_words) for r in o4.op4_line_crf(spark, sf).collect()}
+    want = {r.doc_id: plain_kept(r.text, model) for r in docs.collect()}
+    assert {d: k for d, (k, _, _) in got.items()} == want
+    # labels differ inside documents, and both verdicts occur
+    assert sum(0 < c < n for _, c, n in got.values()) >= 0.05 * len(got) and 0 < sum(want.values()) < len(want)
+
+
+def test_planted_boilerplate_is_told_from_its_neighbours(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = o4.train(docs, labels)
+    good = docs.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").limit(8).collect()
+    block = ["Home | Login | Contact | Privacy | Cookie policy", "CLICK HERE!! SUBSCRIBE NOW!! BUY!! BUY!! BUY!!", "Home | Login | Contact | Privacy | Cookie policy", "All rights reserved. http://example.com | Copyright"]
+    rows, planted = [], {}
+    for d in good:
+        lines = [x for x in d.text.split("\n") if len(words(x)) > 7 and not o4.line_features(x, words(x), False) & o4.MARKS]
+        if len(lines) >= 2:
+            k = len(lines) // 2
+            rows.append((d.doc_id, "\n".join([*lines[:k], *block, "", *lines[k:]])))
+            planted[d.doc_id] = set(range(k, k + len(block)))
+    got = o4.labelled_lines(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(planted) >= 4 and all(r.content == (r.line not in planted[r.doc_id]) for r in got)
+    assert len(got) == sum(sum(bool(words(x)) for x in t.split("\n")) for _, t in rows)
+
+
+def test_share_of_sampled_documents_follows_their_label():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(1, 9))
+        emit, sizes, pairs = rng.normal(0, 3, n).tolist(), rng.integers(1, 20, n).tolist(), rng.normal(size=(2, 2)).tolist()
+        for good in (True, False):
+            labels = o4.within_share(emit, pairs, sizes, good)
+            assert (2 * sum(s for s, y in zip(sizes, labels) if y) >= sum(sizes)) == good
+    assert o4.fit_latent([([1], [5], True)]) == ([0.0] * o4.N_FEATURES, [[0.0, 0.0], [0.0, 0.0]])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -109,6 +171,56 @@ def test_resampling_counts_against_brute_force(spark, sf):
     assert sum(raw) == sum(max(0, 2 * len(words(t)) - 1) for t in docs.text)
 
 
+def test_draws_follow_the_weights(spark):
+    """Over many seeds the share of samples that hold an item is that of drawing without replacement by weight."""
+    weights, k = [1.0, 2.0, 4.0, 8.0, 1.0], 2
+    want = [0.0] * len(weights)
+    for order in itertools.permutations(range(len(weights)), k):
+        p, left = 1.0, sum(weights)
+        for i in order:
+            p, left = p * weights[i] / left, left - weights[i]
+        for i in order:
+            want[i] += p
+    rows = spark.range(4000).selectExpr("id as turn").crossJoin(spark.createDataFrame([(i, math.log(w)) for i, w in enumerate(weights)], "item int, log_weight double"))
+    keys = rows.withColumn("key", F.col("log_weight") + o5.gumbel(F.expr("turn * 10 + item"))).toPandas()
+    taken = keys.sort_values("key").groupby("turn").tail(k).item.value_counts().sort_index() / 4000
+    assert np.abs(taken.values - want).max() < 0.03
+
+
+def test_sample_size_and_seed_are_parameters(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    samples = []
+    for seed in ("a", "b"):
+        got = o5.resample(docs, labels, k=100, seed=seed)[0].toPandas()
+        assert got.kept.sum() == 100 and got[got.kept].key.min() >= got[~got.kept].key.max()
+        samples.append(set(got[got.kept].doc_id))
+    assert samples[0] != samples[1]
+    assert not o5.resample(docs, labels, k=0)[0].where("kept").count() and o5.kept_documents(docs, labels, k=7).count() == 7
+
+
+def test_weights_against_brute_force(spark, sf):
+    """Log weights from own counts of the same buckets, and the verdict from sorting all keys."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chosen = {r.label_id: r for r in o5.sample(labels).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    raw, target = Counter(), Counter()
+    for d, t in rows:
+        raw.update(o5.grams(t).tolist())
+        if d in chosen and chosen[d].quality and not chosen[d].toxic and not chosen[d].fold:
+            target.update(o5.grams(t).tolist())
+    size, n_raw, n_target = o5.BUCKETS, sum(raw.values()), sum(target.values())
+    log = lambda c, n: math.log((c + 1) / (n + size))
+    got = {r.doc_id: r for r in o5.resample(docs, labels)[0].collect()}
+    for d, t in rows:
+        found = o5.grams(t).tolist()
+        want = 100 * sum(log(target[g], n_target) - log(raw[g], n_raw) for g in found) / (len(found) + 30)
+        assert got[d].log_weight == -math.inf or got[d].log_weight == pytest.approx(want, abs=1e-6)
+    good = [got[d].log_weight for d, r in chosen.items() if d in got and r.quality and not r.toxic and r.fold and got[d].log_weight > -math.inf]
+    k = sum(r.log_weight >= np.quantile(good, 0.005) for r in got.values() if r.log_weight > -math.inf)
+    cut_at = sorted((r.key for r in got.values() if r.key > -math.inf), reverse=True)[k - 1]
+    assert {d for d, r in got.items() if r.kept} == {d for d, r in got.items() if r.key >= cut_at}
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(size=500), [1e6, -1e6], np.full(60, 0.25)])
