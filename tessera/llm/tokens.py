@@ -2,8 +2,9 @@
 
 A byte-level BPE never merges across its pre-token borders, and there is always such a border where
 white space follows something else and where a run of letters ends.  A text is therefore cut there,
-each distinct piece is encoded once, and the ids of the pieces are joined; a text with white space other than blank, tab and line
-ends is encoded in one go.  The result is that of encoding the whole text.
+each distinct piece is encoded once, and the ids of the pieces are joined; a text with white space other than
+blank, tab and line ends, or with an added token of the vocabulary, is encoded in one go.  The result is that of encoding the whole
+text with the library.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) if added else r"(?!)")
         self.known: dict[str, bytes] = {}
         end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = end[0] if len(end) == 1 else -1
@@ -78,7 +80,9 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         waiting, new, known = [], set(), self.known
         for i, text in enumerate(texts):
-            if text:
+            if text and self.added.search(text):
+                out[i] = self._whole(text)
+            elif text:
                 pieces = _PIECE.findall(text)
                 found = list(map(known.get, pieces))
                 if None in found:
@@ -95,9 +99,12 @@ class Encoder:
                 found[k] = known.get(pieces[k])
             # a piece with odd white space is never known: such a text is encoded in one go
             whole = None in found
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes() if whole else b"".join(found)
+            out[i] = self._whole(texts[i]) if whole else b"".join(found)
         return out
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:

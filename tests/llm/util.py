@@ -20,7 +20,7 @@ def odd_documents(seed=1):
     passage = make(90)
     rows = [(i, f"{make(rng.randint(1, 200))}\n{make(rng.randint(1, 60))}") for i in range(40)]
     rows += [(100 + i, rows[3][1]) for i in range(5)] + [(110 + i, make(30) + " " + passage + " " + make(20)) for i in range(6)]
-    rows += [(120, passage[: len(passage) // 2]), (121, make(30_000)), (122, ""), (123, None), (None, make(70)), (None, None), (124, " \n\t "), (125, "é ü 日本　x\x00y")]
+    rows += [(120, passage[: len(passage) // 2]), (121, make(30_000)), (122, ""), (123, None), (None, make(70)), (None, None), (124, " \n\t "), (125, "é ü 日本　x\x00y"), (126, "end <|endoftext|> of text<|endoftext|>")]
     rows += [rows[0], rows[0], rows[50]]
     sources = ["a", "b", None, "", "c"]
     return [(d, t, None if k % 7 == 0 else "en", sources[k % 5] if k % 3 else "a", None, 7, 0.5, "x", 3) for k, (d, t) in enumerate(rows)]
