@@ -54,9 +54,9 @@ def _keys(id_name: str = "id", hash_name: str = "text_hash") -> tuple[Column, Co
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[str]]]]:
-    """(from, to, words) for stretches of the batch's documents; column 1 is the text."""
+    """(from, to, words) for stretches of the batch's documents; column 2 is the text."""
     start, words, n = 0, [], 0
-    for i, text in enumerate(batch.column(1)):
+    for i, text in enumerate(batch.column(2)):
         found = WORD.findall(text.as_py() or "")
         words.append(found)
         n += len(found)
@@ -67,6 +67,15 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[str]]]]
         yield start, batch.num_rows, words
 
 
+def _names(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """A document goes by its id and the hash of its text, so that ids which many share gather nothing."""
+    return [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+
+
+def _named(names: list[np.ndarray], docs: np.ndarray) -> list[pa.Array]:
+    return [pa.array(column[docs], _INT64) for column in names]
+
+
 class Windows:
     """All windows of some documents: document, place, representative and hash."""
 
@@ -86,18 +95,18 @@ class Windows:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """id, anchor: the distinct representatives of each document's windows."""
+    """id, text_hash, anchor: the distinct representatives of each document's windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            names = _names(batch)
             for start, end, words in _blocks(batch):
                 w = Windows(words, False)
                 new = np.ones(len(w.doc), bool)
                 new[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start:end][w.doc[new]], _INT64), pa.array(w.anchor[new])], names=["id", "anchor"])
+                yield pa.RecordBatch.from_arrays([*_named(names, start + w.doc[new]), pa.array(w.anchor[new])], names=["id", "text_hash", "anchor"])
 
-    return docs.mapInArrow(run, "id long, anchor long")
+    return docs.mapInArrow(run, "id long, text_hash long, anchor long")
 
 
 def _members(lists: pa.Array, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,23 +136,23 @@ def _first(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """``docs``: id, text, anchors.  w, id of each window whose representative is in the list."""
+    """``docs``: id, text_hash, text, anchors.  w, id, text_hash of each window whose representative is in the list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            names = _names(batch)
             for start, end, words in _blocks(batch):
                 w = Windows(words)
-                yes = _among(w.doc, w.anchor, *_members(batch.column(2), start, end))
+                yes = _among(w.doc, w.anchor, *_members(batch.column(3), start, end))
                 doc, hashed = w.doc[yes], w.hash[yes]
                 once = _first(doc, hashed)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[once]), pa.array(ids[start:end][doc[once]], _INT64)], names=["w", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[once]), *_named(names, start + doc[once])], names=["w", "id", "text_hash"])
 
-    return docs.mapInArrow(run, "w long, id long")
+    return docs.mapInArrow(run, "w long, id long, text_hash long")
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """``docs``: id, text, ws (recurring windows kept here).  keeper, segment, phrase, ws: the segments of
+    """``docs``: id, text_hash, text, ws (recurring windows kept here).  keeper, segment, phrase, ws: the segments of
     the passages with their windows; ``segment`` is a hash of the words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +160,7 @@ def _segments(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             for start, end, words in _blocks(batch):
                 w = Windows(words)
-                yes = _among(w.doc, w.hash, *_members(batch.column(2), start, end))
+                yes = _among(w.doc, w.hash, *_members(batch.column(3), start, end))
                 doc, at, hashed = w.doc[yes], w.at[yes], w.hash[yes]
                 once = _first(doc, hashed)  # a window points to one segment
                 border = np.flatnonzero((np.diff(doc) != 0) | (np.diff(at) != 1)) + 1
@@ -275,21 +284,21 @@ def changes(docs: DataFrame, whole: DataFrame, with_text: bool = False) -> DataF
     alone = copies.join(small(same_id.where("texts > 1").select("id")), "id", "left_anti").select("id")
 
     base = docs.select(*_keys(), "text")
-    anchors = stored(_anchors(base.select("id", "text")).join(small(cut(alone)), "id", "left_anti").distinct(), "op6-anchors", folders)
+    anchors = stored(_anchors(base).join(small(cut(alone)), "id", "left_anti").distinct(), "op6-anchors", folders)
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    lists = cut(anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
+    lists = cut(anchors.join(shared, "anchor").groupBy("id", "text_hash").agg(F.collect_set("anchor").alias("anchors")))
 
     # the one exchange of all texts; from here on only documents that share something
-    some = stored(_unpacked(_packed(base).join(lists, "id").select("id", "text_hash", "packed", "anchors")), "op6-candidates", folders)
-    windows = stored(_candidates(some.select("id", "text", "anchors")), "op6-windows", folders)
-    kept = windows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    keepers = kept.groupBy(F.col("lo").alias("id")).agg(F.collect_set("w").alias("ws"))
-    segments = stored(_segments(some.select("id", "text").join(keepers, "id")), "op6-segments", folders)
+    some = stored(_unpacked(_packed(base).join(lists, ["id", "text_hash"]).select("id", "text_hash", "packed", "anchors")), "op6-candidates", folders)
+    windows = stored(_candidates(some), "op6-windows", folders)
+    kept = windows.groupBy("w").agg(F.min(F.struct("id", "text_hash")).alias("lo"), F.max("id").alias("hi")).where("lo.id < hi")
+    keepers = kept.groupBy("lo.id", "lo.text_hash").agg(F.collect_set("w").alias("ws"))
+    segments = stored(_segments(some.select("id", "text_hash", "text").join(keepers, ["id", "text_hash"])), "op6-segments", folders)
     pointers = segments.select("keeper", "segment", F.explode("ws").alias("w"))
-    wanted = windows.join(pointers, "w").where("id > keeper").select("id", "keeper", "segment").distinct()
+    wanted = windows.join(pointers, "w").where("id > keeper").select("id", "text_hash", "keeper", "segment").distinct()
     phrases = segments.select("keeper", "segment", "phrase").distinct()
-    sent = wanted.join(phrases, ["keeper", "segment"]).groupBy("id").agg(F.collect_list(F.struct("keeper", "segment", "phrase")).alias("segments"))
-    out = _apply(some.select("id", "text_hash", "text").join(sent, "id"), with_text)
+    sent = wanted.join(phrases, ["keeper", "segment"]).groupBy("id", "text_hash").agg(F.collect_list(F.struct("keeper", "segment", "phrase")).alias("segments"))
+    out = _apply(some.select("id", "text_hash", "text").join(sent, ["id", "text_hash"]), with_text)
     nothing = copies.select("id", "text_hash", "n", F.sha2(F.lit(""), 256).alias("sha"), F.lit("" if with_text else None).cast("string").alias("left"))
     out = cut(out.unionByName(nothing).dropDuplicates(["id", "text_hash"]))
     discard(docs.sparkSession, folders)
@@ -315,3 +324,23 @@ def deduplicated(docs: DataFrame, with_text: bool = False, carry: list[str] | No
 def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_removed", "kept_sha256")])
+
+
+ORACLE = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM docs
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS lo FROM windows) WHERE doc_id > lo
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM again
+), left_over AS (
+  SELECT w.doc_id, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL), '') AS kept
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN left_over l USING (doc_id)
+"""

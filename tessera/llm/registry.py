@@ -16,4 +16,4 @@ QUERIES = {
     "op9_covering_lsh": op9_simhash.op9_covering_lsh,
     "op10_collision_counting": op10_search.op10_collision_counting,
 }
-ORACLE_SQL = {"op1_pareto_mix": op1_mix.ORACLE, "op2_warc": op2_warc.ORACLE}
+ORACLE_SQL = {"op1_pareto_mix": op1_mix.ORACLE, "op2_warc": op2_warc.ORACLE, "op6_phrase_automata": op6_passages.ORACLE}

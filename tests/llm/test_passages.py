@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from tessera.llm import op6_passages as p
@@ -65,3 +66,19 @@ def test_empty_and_carried_columns(spark, tmp_path):
     for r in out.collect():
         assert (r._kept_text == r.text) if not r._n_removed else len(words(r._kept_text)) == r._n_words - r._n_removed
     assert p.deduplicated(spark.createDataFrame([], SCHEMA), True).count() == 0
+
+
+def test_equals_sql(spark, sf):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert Counter(db.sql(p.ORACLE).fetchall()) == got(p.op6_phrase_automata(spark, sf))
+
+
+def test_many_documents_of_one_id_or_none(spark, tmp_path):
+    """A row's list of representatives holds its own alone, however many rows share its id."""
+    rng = random.Random(9)
+    make = lambda n: [rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(n)]
+    passage = make(80)
+    rows = [(d, " ".join([*make(60), *passage, *make(10)]), None, None, None, 1, 1.0, "", 1) for d in [5, *[None] * 40, *[9] * 40]]
+    where = write_tables(spark, tmp_path, rows)
+    assert got(p.op6_phrase_automata(spark, where)) == brute([r[:2] for r in rows])
