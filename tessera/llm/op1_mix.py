@@ -7,9 +7,9 @@ odds, and the sample is the head of that order whose words come nearest to what
 of the target: a fixed size in words, unequal probabilities.
 
 Defined results: a null source is a source of its own, sorted last; null and empty texts have size 0
-and take 0 words; an empty table gives no rows; rows that agree in doc_id, source and size share their
-fate (a null doc_id counts as one id); other columns are ignored by name, so clashing ones do no harm.
-Every random number is a hash of seed and doc_id, so reruns agree.
+and take 0 words; an empty table gives no rows; other columns are ignored by name, so clashing ones do no harm.
+Every random number is a hash of seed, doc_id and text, so reruns agree, and rows without id or of one id
+are drawn apart; rows equal in id, source and text are numbered, and each number draws by itself.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buckets, cut, small, table, word_count
+from tessera.llm.common import buckets, cut, numbered, small, stored, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -60,27 +60,48 @@ def _class(size: Column) -> Column:
     return F.rint(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
 
 
-def _uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1), from 52 bits of MD5, so that other engines can compute it too."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+def _bits(text: Column) -> Column:
+    """52 bits of MD5, so that other engines can compute them too."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def _with_expectation(rows: DataFrame, max_copies: int, exponent: float, seed: str) -> DataFrame:
+def _own_bits(docs: DataFrame, seed: str) -> Column:
+    own = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
+    return _bits(F.concat(F.lit(seed + ":"), own, F.lit(":"), F.md5(F.coalesce(docs["text"], F.lit("")))))
+
+
+def _repeated(sized: DataFrame) -> DataFrame | None:
+    """Sources and bits that several rows have."""
+    found = cut(sized.groupBy(F.col("source").alias("_s"), F.col("_h").alias("_r")).count().where("count > 1").select("_s", "_r"))
+    return None if found.isEmpty() else found
+
+
+def _told_apart(rows: DataFrame, repeated: DataFrame | None, own: list[str]) -> DataFrame:
+    """``rows`` (``own``, source, _h) with ``_h`` drawn anew, by number, where rows share it."""
+    if repeated is None:
+        return rows
+    same = F.expr("source <=> _s AND _h = _r")
+    few = small(repeated)
+    again = stored(rows.join(few, same, "left_semi").withColumn("_id", F.monotonically_increasing_id()).withColumn("_g", F.xxhash64("source", "_h")), "repeated", [])
+    again = numbered(again, "_g", ["_id"], "_t").withColumn("_h", _bits(F.concat(F.col("_h").cast("string"), F.lit(":"), F.col("_t").cast("string"))))
+    return rows.join(few, same, "left_anti").select(*own, "source", "size", "_h").unionByName(again.select(*own, "source", "size", "_h"))
+
+
+def _with_expectation(rows: DataFrame, max_copies: int, exponent: float) -> DataFrame:
     """Adds _whole, _f and _v: certain copies, inclusion probability, rank key in [0, 1) (2: never)."""
     copies = F.least(F.lit(float(max_copies)), F.col("_c") * F.pow(F.lit(2.0), _class(F.col("size")) * F.lit(exponent)))
     whole = F.floor(copies + _TINY)
     rest = copies - whole
-    u = _uniform(F.col("doc_id"), seed)
+    u = (F.col("_h").cast("double") + 0.5) / float(2**52)
     rows = rows.withColumn("_whole", whole.cast("long")).withColumn("_f", F.when(rest > _TINY, rest).otherwise(0.0)).withColumn("_u", u)
     q = F.col("_u") * (1 - F.col("_f")) / ((1 - F.col("_u")) * F.nullif(F.col("_f"), F.lit(0.0)))
     return rows.withColumn("_v", F.coalesce(q / (1 + q), F.lit(2.0)))
 
 
-def plan(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, exponent: float = LENGTH_EXPONENT, seed: str = SEED) -> tuple[DataFrame, int]:
+def plan(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, exponent: float = LENGTH_EXPONENT) -> tuple[DataFrame, int]:
     """What decides for every document, one row a source, and the number of rank buckets.
 
-    ``sized``: doc_id, source, size (checkpointed; narrow).
+    ``sized``: source, size, _h (checkpointed; narrow).
     """
     classes = sized.groupBy("source", _class(F.col("size")).alias("_q")).agg(F.sum("size").alias("_s"), F.count("*").alias("_n"))
     classes = cut(classes)  # at most 63 rows a source
@@ -102,7 +123,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, expone
 
     n_rows = classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     nb = buckets(n_rows)
-    keyed = _with_expectation(_by_source(sized, small(levels)), max_copies, exponent, seed)
+    keyed = _with_expectation(_by_source(sized, small(levels)), max_copies, exponent)
     keyed = keyed.where("_v < 1").withColumn("_b", F.floor(F.col("_v") * nb).cast("int"))
     run = Window.partitionBy("source").orderBy("_b")
     sums = keyed.groupBy("source", "_b").agg(F.sum("size").alias("_w"), F.first("_left").alias("_left"))
@@ -121,29 +142,32 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, expone
     return cut(out), nb
 
 
-def decide(rows: DataFrame, planned: DataFrame, nb: int, max_copies: int = MAX_COPIES, exponent: float = LENGTH_EXPONENT, seed: str = SEED) -> DataFrame:
-    """``rows`` (doc_id, source, size, anything more) with source_size, target and copies; no shuffle of ``rows``."""
+def decide(rows: DataFrame, planned: DataFrame, nb: int, max_copies: int = MAX_COPIES, exponent: float = LENGTH_EXPONENT) -> DataFrame:
+    """``rows`` (source, size, _h, anything more) with source_size, target and copies; no shuffle of ``rows``."""
     rows = _by_source(rows, small(planned))
-    rows = _with_expectation(rows, max_copies, exponent, seed).withColumn("_b", F.floor(F.col("_v") * nb).cast("int"))
+    rows = _with_expectation(rows, max_copies, exponent).withColumn("_b", F.floor(F.col("_v") * nb).cast("int"))
     drawn = (F.col("_v") < 1) & ((F.col("_b") < F.col("_cb")) | ((F.col("_b") == F.col("_cb")) & (F.col("_v") <= F.col("_cut"))))
     rows = rows.withColumn("copies", F.col("_whole") + F.coalesce(drawn, F.lit(False)).cast("long"))
-    return rows.drop("_c", "_cb", "_cut", "_whole", "_f", "_u", "_v", "_b")
+    return rows.drop("_c", "_cb", "_cut", "_whole", "_f", "_u", "_v", "_b", "_h")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    planned, nb = plan(sized, **options)
-    return decide(sized, planned, nb, **{k: v for k, v in options.items() if k != "weights"}).withColumn("taken", F.col("copies") * F.col("size"))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _own_bits(docs, seed).alias("_h")))
+    repeated = _repeated(sized)
+    sized = sized if repeated is None else cut(_told_apart(sized, repeated, ["doc_id"]))
+    planned, nb = plan(sized, weights, **options)
+    return decide(sized, planned, nb, **options).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    planned, nb = plan(sized, **options)
+    sized = cut(docs.select("source", word_count(F.col("text")).alias("size"), _own_bits(docs, seed).alias("_h")))
+    repeated = _repeated(sized)
+    planned, nb = plan(sized if repeated is None else cut(_told_apart(sized, repeated, [])), weights, **options)
     own = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
-    rows = docs.select(own, docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"))
-    chosen = decide(rows, planned, nb, **{k: v for k, v in options.items() if k != "weights"}).where("copies > 0")
+    rows = docs.select(own, docs["source"], word_count(docs["text"]).alias("size"), _own_bits(docs, seed).alias("_h"))
+    chosen = decide(_told_apart(rows, repeated, ["_doc"]), planned, nb, **options).where("copies > 0")
     return chosen.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_doc.*")
 
 
@@ -153,7 +177,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS own FROM documents
+), bits AS (
+  SELECT *, CASE WHEN count(*) OVER same > 1 THEN ('0x' || substr(md5(own || ':' || (row_number() OVER same_rows - 1)), 1, 13))::BIGINT ELSE own END AS h
+  FROM sized WINDOW same AS (PARTITION BY source, own), same_rows AS (PARTITION BY source, own ORDER BY size)
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -183,8 +211,8 @@ WITH sized AS (
 ), expected AS (
   SELECT z.doc_id, z.source, z.size, u.source_size, u.target, u.rest,
          least(3.0::DOUBLE, u.c * pow(2.0::DOUBLE, round_even(log2(greatest(size, 1)::DOUBLE), 0) * 0.25::DOUBLE)) AS e,
-         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized z JOIN sure u ON z.source IS NOT DISTINCT FROM u.source
+         (h::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM bits z JOIN sure u ON z.source IS NOT DISTINCT FROM u.source
 ), fractions AS (
   SELECT *, floor(e + 1e-9::DOUBLE)::BIGINT AS whole, CASE WHEN e - floor(e + 1e-9::DOUBLE) > 1e-9::DOUBLE THEN e - floor(e + 1e-9::DOUBLE) ELSE 0 END AS f FROM expected
 ), odds AS (

@@ -12,13 +12,28 @@ from tessera.llm import common, op1_mix, op3_shard, op7_token_files, op8_pack, s
 from tests.llm.util import SCHEMA, frame, odd_documents, texts, words, write_tables
 
 
-def test_mix_equals_sql(spark, sf):
-    got = op1_mix.op1_pareto_mix(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+@pytest.mark.parametrize("which", ["sf", "odd"])
+def test_mix_equals_sql(spark, sf, tmp_path, which):
+    where = sf if which == "sf" else write_tables(spark, tmp_path)
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = db.sql(op1_mix.ORACLE).df()[got.columns].sort_values("doc_id").reset_index(drop=True)
-    assert np.allclose(got.pop("target"), want.pop("target"))
-    assert got.astype(str).equals(want.astype(str))
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet{'' if which == 'sf' else '/*.parquet'}'")
+    names = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+    row = lambda r: tuple(round(float(x), 6) if n == "target" else x for n, x in zip(names, r))
+    want = Counter(map(row, db.sql(op1_mix.ORACLE).select(*names).fetchall()))
+    assert Counter(row(tuple(r)) for r in op1_mix.op1_pareto_mix(spark, where).select(*names).collect()) == want
+
+
+def test_mix_rows_without_ids_and_equal_rows_meet_the_targets(spark):
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(["w"] * int(rng.integers(50, 400)) + [str(rng.integers(10**9))])
+    rows = [(None, text(), "a") for _ in range(400)] + [(7, "x " * 200, "b")] * 400 + [(i, text(), "c") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op1_mix.mix(docs).toPandas()
+    for _, part in got.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 400
+    assert got[got.source == "b"].copies.nunique() > 1
+    taken = op1_mix.mixed_documents(docs).groupBy("source").count().collect()
+    assert {r[0]: r[1] for r in taken} == got.groupby("source").copies.sum().to_dict()
 
 
 def test_mix_meets_targets_and_repeats(spark, sf):
