@@ -58,3 +58,29 @@ def test_few_and_none(spark, tmp_path):
     assert s.op10_collision_counting(spark, f"{tmp_path}/none").count() == 0
     assert s.op10_collision_counting(spark, f"{tmp_path}/one").count() == 0
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in s.op10_collision_counting(spark, f"{tmp_path}/three").orderBy("rank").collect()] == [(20, 1, 21, 0.5), (20, 2, 22, 0.5)]
+
+
+def test_growing_windows_count_as_fresh_ones():
+    rng = np.random.default_rng(7)
+    block = s.Block(rng.normal(size=(500, 16)), 9.0)
+    at = block.flat.reshape(s.PROJECTIONS, -1) - block.shift[:, None]
+    for q in rng.normal(size=(6, 16)):
+        here = block.directions[:, :16] @ (q / np.sqrt(q @ q))
+        low, high = block.window(here, 0.2)
+        counts = block.collisions(low, high)
+        for radius in (0.21, 0.5, 0.9, 3.0, 40.0):
+            wider = block.window(here, radius)
+            counts += block.entered(low, high, *wider)
+            low, high = wider
+            plain = np.zeros(500, int)
+            for p in range(s.PROJECTIONS):
+                plain[block.order[p][np.abs(at[p] - here[p]) <= radius]] += 1
+            assert (counts == plain).all() and (block.collisions(low, high) == plain).all()
+        assert (counts == s.PROJECTIONS).all()
+
+
+def test_each_length_is_searched_by_itself(spark, tmp_path):
+    rows = [(20, [1.0, 0.0]), (1, [0.5, 0.1]), (2, [9.0, 9.0, 9.0]), (40, [1.0, 1.0, 0.0]), (3, [2.0, 0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in s.op10_collision_counting(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 1, 0.5), (40, 1, 2, 18.0), (40, 2, 3, 2.0)]
