@@ -11,9 +11,10 @@ guarantee, so a text has several SimHash fingerprints, and a pair is a candidate
   pair of similarity 0.8 shares each sample with probability 0.39 or more.
 
 Each pair is decided on the whole sets.  Work is on distinct sets (nodes), in two rounds: in every bucket
-all are compared with the member that shares most; then all pairs of different components, unless the
-shingles that one of them holds alone already bound their similarity below the limit.  What is left out is
-linked or cannot be, so the components are those of all pairs that meet in a bucket.
+all are compared with the member that shares most; then members of buckets that hold several components
+are joined by the rarest of their shingles (a prefix filter, which loses no pair).  What is left out is
+linked or cannot be, so the components are those of all pairs that meet in a bucket, and no step grows with
+the square of a group of near copies.
 
 Defined results: a text of fewer than ``SHINGLE`` words is one shingle; null, empty and white-space
 texts are copies of each other; a null doc_id never names a component unless all its members are null.
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, discard, small, stored
@@ -147,8 +148,15 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _alone(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, alone: how many of its shingles no other of ``nodes`` has (those with none are left out)."""
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, folders: list[str]) -> DataFrame:
+    """a < b of all pairs of ``nodes`` (node, size, root) in different components that may be similar.
+
+    With the shingles of every node in one order, rarest among these nodes first, two similar sets share one within
+    the first n - least * n / of + 1 of both, and at the first they share each has enough left for all
+    that they must have in common.  What a common passage or a large group shares comes last in that order.
+    Where many nodes of one component hold a shingle, only the others look for partners.
+    """
+    least, of = SIMILARITY
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +165,27 @@ def _alone(nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(0)[i].as_py())), pa.array(found)], names=["node", "shingle"])
 
     held = nodes.join(sets, "node").select("node", "found").mapInArrow(run, "node long, shingle long")
-    once = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return once.groupBy("node").agg(F.count("*").alias("alone"))
-
-
-def _pairs(rows: DataFrame, shared_at_most: str) -> DataFrame:
+    held = stored(held, "shingles", folders)
+    common = held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    known = stored(held.join(common, "shingle"), "common", folders)
+    # shingles that one node holds alone come first and match nothing
+    kept = known.groupBy("node").agg(F.count("*").alias("shared")).join(nodes, "node").where(f"{of} * shared >= {least} * size")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("holders", "shingle")) + F.col("size") - F.col("shared") - 1
+    ranked = known.join(kept, "node").withColumn("place", place).where(f"{of} * place <= {of - least} * size")
+    ranked = stored(ranked.select("shingle", "node", "size", "root", "place"), "prefixes", folders)
+    by_root = ranked.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"))
+    minor = ranked.join(by_root, "shingle").where("root <> most.root")
+    other = ranked.select("shingle", F.col("node").alias("other"), F.col("size").alias("m"), F.col("root").alias("r"), F.col("place").alias("q"))
+    enough = F.expr(f"{least + of} * least(size - place, m - q) >= {least} * (size + m)")
+    fits = enough & F.expr(f"root <> r AND {of} * least(size, m) >= {least} * greatest(size, m)")
+    return minor.join(other, "shingle").where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct a < b of ``rows`` (one, its size and print, other, its size and print, table t) that may be
-    similar: at most ``shared_at_most`` of their shingles can be common, and in a covering table the
-    fingerprints are within the radius."""
+    similar by their sizes, and in a covering table by fingerprints within the radius."""
     least, of = SIMILARITY
-    fits = F.expr(f"{of} * {shared_at_most} >= {least} * (n + m - {shared_at_most})") & (F.col("t").isNull() | (F.bit_count(F.expr("fp ^ fq")) <= RADIUS))
+    fits = (F.least("n", "m") * of >= F.greatest("n", "m") * least) & (F.col("t").isNull() | (F.bit_count(F.expr("fp ^ fq")) <= RADIUS))
     return rows.where("one <> other").where(fits).select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
 
 
@@ -186,25 +205,19 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     centre = F.max(F.struct("popular", "node", "size", "fp")).alias("c")
     centres = cut(held.groupBy("bucket").agg(centre)).select("bucket", F.col("c.node").alias("other"), F.col("c.size").alias("m"), F.col("c.fp").alias("fq"))
     first = held.join(centres, "bucket").select(F.col("node").alias("one"), F.col("size").alias("n"), "fp", "other", "m", "fq", "t")
-    first = cut(_pairs(first, "least(n, m)"))
+    first = cut(_pairs(first))
     folders: list[str] = []
     # buckets of two are settled by the first round
     wanted = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.where("shared > 2").select("node")).distinct()
     sets = stored(_sets(docs, wanted.join(distinct.select("node", "doc_id", "h"), "node")), "sets", folders)
     edges = cut(_similar(first, sets))
     linked = stars(edges)
-    rooted = held.where("shared > 2").join(linked.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut(rooted.select("bucket", "t", "node", "size", "fp", "root"))
+    rooted = held.where("shared > 2").join(linked.withColumnRenamed("a", "node"), "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = cut(rooted)
     # a bucket all of whose members are linked is done
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    left = cut(rooted.join(mixed, "bucket", "left_semi"))
-    alone = _alone(left.select("node").distinct(), sets)
-    left = left.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0)))
-    least, of = SIMILARITY
-    left = cut(left.where(of * F.col("most") >= least * F.col("size")).drop("alone"))
-    other = left.select("bucket", F.col("node").alias("other"), F.col("size").alias("m"), F.col("fp").alias("fq"), F.col("root").alias("r"), F.col("most").alias("most_m"))
-    rest = left.join(other, "bucket").where("root < r").select(F.col("node").alias("one"), F.col("size").alias("n"), "fp", "other", "m", "fq", "t", "most", "most_m")
-    more = cut(_similar(_pairs(rest, "least(most, most_m)").join(first, ["a", "b"], "left_anti"), sets))
+    left = cut(rooted.join(mixed, "bucket", "left_semi").select("node", "size", "root").distinct())
+    more = cut(_similar(_prefix_pairs(left, sets, folders).join(first, ["a", "b"], "left_anti"), sets))
     discard(docs.sparkSession, folders)
     return linked if more.isEmpty() else stars(edges.unionByName(more))
 
