@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 POSE = ("a", "b", "tx", "c", "d", "ty")
 #: Reference point whose image tells where a field lands, in pixels.
 PROBE = (300.0, 300.0)
+# Beyond these two poses are clearly different, in degrees and pixels.
+CLEAR_ANGLE, CLEAR_LANDING = 3.0, 60.0
 
 
 def pose(values) -> Column:
@@ -59,7 +61,7 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
-def clearly_different(angle1, x1, y1, angle2, x2, y2, angle_tol: float = 3.0, landing_tol: float = 60.0) -> Column:
+def clearly_different(angle1, x1, y1, angle2, x2, y2, angle_tol: float = CLEAR_ANGLE, landing_tol: float = CLEAR_LANDING) -> Column:
     """More than ``angle_tol`` degrees or ``landing_tol`` pixels apart; both bounds strict."""
     return (F.abs(angle1 - angle2) > angle_tol) | (distance(x1, y1, x2, y2) > landing_tol)
 

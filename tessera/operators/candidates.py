@@ -35,15 +35,23 @@ def pose_grid(spark: SparkSession, angles=(-35.0, 35.0, 0.5), scales=(0.85, 1.13
     return grid.select(pose_id.alias("pose_id"), "angle", "scale", "kind.stretch", "kind.direction", *[v.alias(n) for n, v in linear.items()])
 
 
+def poses_near(grid: DataFrame, modes: DataFrame, angle_win: float) -> DataFrame:
+    """The poses of each sample whose angle is within ``angle_win`` of its mode: sample_id and the grid's columns.
+    ``modes``: sample_id, angle."""
+    near = F.abs(F.col("angle") - F.col("_angle")) <= angle_win
+    return modes.select("sample_id", F.col("angle").alias("_angle")).join(F.broadcast(grid), near).drop("_angle")
+
+
 def differences(left: DataFrame, right: DataFrame, grid: DataFrame) -> DataFrame:
     """Translations that a pose's linear part leaves between every source and target of a sample.
 
     The pairs of a field are the method's own input; grid and fields are small, samples are many, and
-    the pose grid (a parameter) is what is broadcast.
+    the pose grid (a parameter) is what is broadcast.  A grid with ``sample_id`` holds each sample's own poses.
     """
     a = left.select("sample_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
     b = right.select("sample_id", "x", "y")
-    rotated = a.crossJoin(F.broadcast(grid)).select("sample_id", "pose_id", (F.col("a") * F.col("_x") + F.col("b") * F.col("_y")).alias("_u"), (F.col("c") * F.col("_x") + F.col("d") * F.col("_y")).alias("_v"))
+    put = a.join(grid, "sample_id") if "sample_id" in grid.columns else a.crossJoin(F.broadcast(grid))
+    rotated = put.select("sample_id", "pose_id", (F.col("a") * F.col("_x") + F.col("b") * F.col("_y")).alias("_u"), (F.col("c") * F.col("_x") + F.col("d") * F.col("_y")).alias("_v"))
     return rotated.join(b, "sample_id").select("sample_id", "pose_id", (F.col("x") - F.col("_u")).alias("dx"), (F.col("y") - F.col("_v")).alias("dy"))
 
 
@@ -84,15 +92,14 @@ def bin_shift(diffs: DataFrame, peaks: DataFrame, bin_size: float, limit: float
     return out.where(F.col("n") >= least)
 
 
-def in_window(diffs: DataFrame, grid: DataFrame, modes: DataFrame, offsets: DataFrame, radius: float, angle_win: float) -> DataFrame:
-    """Translations whose landing is within ``radius`` (inclusive) of the sample's mode, for angles within
-    ``angle_win`` of it: the filter comes before any vote (O93)."""
-    pose = F.broadcast(grid.select("pose_id", "angle", "a", "b", "c", "d"))
-    put = diffs.join(pose, "pose_id").join(offsets, "sample_id").join(modes.select("sample_id", F.col("angle").alias("_angle"), "land_x", "land_y"), "sample_id")
+def in_window(diffs: DataFrame, poses: DataFrame, modes: DataFrame, offsets: DataFrame, radius: float) -> DataFrame:
+    """Translations whose landing is within ``radius`` (inclusive) of the sample's mode (O93).  ``poses``: each
+    sample's own, from ``poses_near``, so that the angle is decided before any pair is made."""
+    put = diffs.join(poses.select("sample_id", "pose_id", "a", "b", "c", "d"), ["sample_id", "pose_id"]).join(offsets, "sample_id").join(modes.select("sample_id", "land_x", "land_y"), "sample_id")
     u, v = F.lit(g.PROBE[0]) - F.col("ox"), F.lit(g.PROBE[1]) - F.col("oy")
     lx, ly = F.col("dx") + F.col("a") * u + F.col("b") * v, F.col("dy") + F.col("c") * u + F.col("d") * v
     near = (lx - F.col("land_x")) * (lx - F.col("land_x")) + (ly - F.col("land_y")) * (ly - F.col("land_y")) <= radius * radius
-    return put.where((F.abs(F.col("angle") - F.col("_angle")) <= angle_win) & near).select("sample_id", "pose_id", "dx", "dy")
+    return put.where(near).select("sample_id", "pose_id", "dx", "dy")
 
 
 def best_of(candidates: DataFrame, score: str = "score", tie: str = "pose_id") -> DataFrame:

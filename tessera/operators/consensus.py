@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.operators.cells import neighbours
 
 # Fixed value: mean place of in-vivo fields on the ex-vivo canvas, as shares of width and height.
 FIELD_PRIOR = (0.48, 0.54)
@@ -25,7 +26,7 @@ def consistent_regions(centres: DataFrame, gate: float) -> DataFrame:
     """``centres``: subject, sample_id, cx, cy (shares of the canvas).  Keeps regions within ``gate`` of the
     anchor: the median of the neighbours of the region with most neighbours (O26, O84)."""
     a = centres.select("subject", F.col("sample_id").alias("sid"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-    pairs = a.join(centres, "subject").where(g.distance(F.col("ax"), F.col("ay"), F.col("cx"), F.col("cy")) <= gate)
+    pairs = neighbours(a, centres, ["subject"], [("ax", "cx", gate), ("ay", "cy", gate)]).where(g.distance(F.col("ax"), F.col("ay"), F.col("cx"), F.col("cy")) <= gate)
     seen = pairs.groupBy("subject", "sid", "ax", "ay").agg(F.count("*").alias("n"), F.percentile("cx", F.lit(0.5)).alias("mx"), F.percentile("cy", F.lit(0.5)).alias("my"))
     prior = g.distance(F.col("ax"), F.col("ay"), F.lit(FIELD_PRIOR[0]), F.lit(FIELD_PRIOR[1]))
     order = Window.partitionBy("subject").orderBy(F.desc("n"), prior, "sid")
@@ -43,7 +44,7 @@ def _round(voters: DataFrame, centres: DataFrame, keys: list[str], angle_tol: fl
     """Best centre of one round: (mode row, members)."""
     c = centres.select(*keys, F.col("sample_id").alias("_s"), F.col("cand_idx").alias("_c"), F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"))
     near = (F.abs(F.col("angle") - F.col("_a")) < angle_tol) & (g.distance(F.col("land_x"), F.col("land_y"), F.col("_x"), F.col("_y")) < land_tol)
-    inside = voters.join(c, keys).where(near).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_s", "_c", "sample_id").orderBy(F.desc("z"), "cand_idx"))).where("_k = 1")
+    inside = neighbours(voters, c, keys, [("angle", "_a", angle_tol), ("land_x", "_x", land_tol), ("land_y", "_y", land_tol)]).where(near).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_s", "_c", "sample_id").orderBy(F.desc("z"), "cand_idx"))).where("_k = 1")
     support = inside.groupBy(*keys, "_s", "_c").agg(F.sum("z").alias("support"), F.count_if(F.col("z") > 0).alias("n"))
     order = Window.partitionBy(*keys).orderBy(F.desc("support"), "_s", "_c")
     best = support.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
@@ -78,7 +79,7 @@ def cluster_modes(poses: DataFrame, keys: list[str], angle_tol: float = 4.0, lan
     for mode in range(modes):
         c = left.select(*keys, F.col("idx").alias("_c"), F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"))
         near = (F.abs(F.col("angle") - F.col("_a")) <= angle_tol) & (g.distance(F.col("land_x"), F.col("land_y"), F.col("_x"), F.col("_y")) <= land_tol)
-        pairs = left.join(c, keys).where(near)
+        pairs = neighbours(left, c, keys, [("angle", "_a", angle_tol), ("land_x", "_x", land_tol), ("land_y", "_y", land_tol)]).where(near)
         weight = pairs.groupBy(*keys, "_c").agg(F.sum("weight").alias("w"))
         best = weight.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "_c"))).where("_k = 1").drop("_k")
         best = best.join(total, keys).where(F.col("w") >= least_share * F.col("_total")).drop("_total")
@@ -105,12 +106,27 @@ def scan_inputs(regions: DataFrame) -> DataFrame:
     return regions.groupBy("dup_key").agg(F.array_sort(F.collect_list("sample_id")).alias("sample_ids"), F.count("*").alias("n"))
 
 
+def _median_of_others(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Adds to every row the median of ``value`` over the other rows of its group (null if alone): the middle of the
+    sorted group, moved by one place for rows that stand before it."""
+    w = Window.partitionBy(*keys)
+    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(value, "sample_id")), "_n": F.count("*").over(w)})
+    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value)))
+    # without one row, n - 1 values have their middle at these places of the whole order
+    low, high = F.floor(F.col("_n") / 2), F.floor((F.col("_n") + 1) / 2)
+    middle = ranked.where(F.col("_r").between(low, high + 1)).groupBy(*keys).agg(at(low).alias("_a"), at(low + 1).alias("_b"), at(high).alias("_c"), at(high + 1).alias("_d"))
+    first = F.when(F.col("_r") <= low, F.col("_b")).otherwise(F.col("_a"))
+    second = F.when(F.col("_r") <= high, F.col("_d")).otherwise(F.col("_c"))
+    found = ranked.join(middle, keys).withColumn(out, F.when(F.col("_n") > 1, (first + second) / 2))
+    return found.drop("_r", "_n", "_a", "_b", "_c", "_d")
+
+
 def landing_distance(poses: DataFrame, keys: list[str]) -> DataFrame:
     """Distance of a sample's landing to the median of the group's others; 0 if alone (O130)."""
-    a = poses.select(*keys, F.col("sample_id").alias("sid"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"))
-    others = a.join(poses, keys).where("sample_id <> sid").groupBy(*keys, "sid", "_x", "_y").agg(F.percentile("land_x", F.lit(0.5)).alias("mx"), F.percentile("land_y", F.lit(0.5)).alias("my"))
-    d = others.select(*keys, F.col("sid").alias("sample_id"), g.distance(F.col("_x"), F.col("_y"), F.col("mx"), F.col("my")).alias("dist"))
-    return poses.select(*keys, "sample_id").join(d, [*keys, "sample_id"], "left").select(*keys, "sample_id", F.coalesce("dist", F.lit(0.0)).alias("dist"))
+    rows = _median_of_others(poses.select(*keys, "sample_id", "land_x", "land_y"), keys, "land_x", "_mx")
+    rows = _median_of_others(rows, keys, "land_y", "_my")
+    d = g.distance(F.col("land_x"), F.col("land_y"), F.col("_mx"), F.col("_my"))
+    return rows.select(*keys, "sample_id", F.coalesce(d, F.lit(0.0)).alias("dist"))
 
 
 def linear_priors(fits: DataFrame) -> DataFrame:

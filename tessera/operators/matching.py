@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.operators.cells import cell, neighbours
 
 
-def greedy_pairs(edges: DataFrame, threshold: float, rounds: int = 64) -> DataFrame:
+def greedy_pairs(edges: DataFrame, threshold: float, rounds: int = 8) -> DataFrame:
     """One-to-one pairs by descending probability, ties to the lower candidate index (O122).
 
     ``edges``: sample_id, k, i, j, prob.  An edge that ranks first at both its ends is in the sequential
     result; it is taken, its ends leave, and the rest is ranked again.  Each round is cut by a checkpoint
-    (the caller's checkpoint folder), so the plan stays flat.
+    (the caller's checkpoint folder), so the plan stays flat.  Long chains of falling probability lose one edge a
+    round; what ``rounds`` rounds leave is finished sample by sample in the sequential order.
     """
     order = (F.desc("prob"), F.asc("k"))
     left = edges.where(F.col("prob") >= threshold)
@@ -25,7 +28,23 @@ def greedy_pairs(edges: DataFrame, threshold: float, rounds: int = 64) -> DataFr
         left = left.join(new.select("sample_id", "i"), ["sample_id", "i"], "left_anti").join(new.select("sample_id", "j"), ["sample_id", "j"], "left_anti").checkpoint()
         if left.isEmpty():
             return taken
-    raise RuntimeError(f"pairs are left after {rounds} rounds")
+    return left.limit(0) if taken is None else taken.unionByName(_in_order(left))
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """The sequential rule on each sample's edges."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["prob", "k"], ascending=[False, True])
+        rows, cols, keep = set(), set(), []
+        for i, j in zip(g.i, g.j):
+            keep.append(i not in rows and j not in cols)
+            if keep[-1]:
+                rows.add(i)
+                cols.add(j)
+        return g[keep]
+
+    return edges.groupBy("sample_id").applyInPandas(run, edges.schema)
 
 
 def additive_pairs(base: DataFrame, more: DataFrame, threshold: float = 0.10) -> DataFrame:
@@ -37,12 +56,26 @@ def additive_pairs(base: DataFrame, more: DataFrame, threshold: float = 0.10) ->
 def margins(candidates: DataFrame, score: str, out: str) -> DataFrame:
     """Score minus the best score of a clearly different candidate of the sample, 0 if none (O52, O124).
 
-    ``candidates``: sample_id, cand_idx, angle, land_x, land_y and the score.
+    ``candidates``: sample_id, cand_idx, angle, land_x, land_y and the score.  Candidates whose (angle, landing)
+    cells do not touch differ for certain, so those are met as the best score of each cell: of a sample's 28 best
+    cells at least one does not touch a given one.  Only candidates of touching cells are compared one by one.
     """
-    b = candidates.select("sample_id", F.col("cand_idx").alias("_c"), F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"), F.col(score).alias("_v"))
+    axes = (("angle", g.CLEAR_ANGLE), ("land_x", g.CLEAR_LANDING), ("land_y", g.CLEAR_LANDING))
+    names = [f"_b{i}" for i in range(3)]
+    rows = candidates.withColumns({n: cell(c, width) for n, (c, width) in zip(names, axes)})
+    best = rows.groupBy("sample_id", *names).agg(F.max(score).alias("_v"))
+    order = Window.partitionBy("sample_id").orderBy(F.desc("_v"), *names)
+    best = best.withColumn("_k", F.row_number().over(order)).where("_k <= 28")
+    best = best.groupBy("sample_id").agg(F.collect_list(F.struct(*names, "_v")).alias("_cells"))
+    apart = lambda c: F.greatest(*[F.abs(c[n] - F.col(n)) for n in names]) > 1
+    far = rows.join(best, "sample_id").withColumn("_far", F.array_max(F.transform(F.filter("_cells", apart), lambda c: c["_v"]))).drop("_cells", *names)
+    b = candidates.select("sample_id", F.col("cand_idx").alias("_c"), F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"), F.col(score).alias("_w"))
     differ = g.clearly_different(F.col("angle"), F.col("land_x"), F.col("land_y"), F.col("_a"), F.col("_x"), F.col("_y"))
-    rival = candidates.join(b, "sample_id").where((F.col("cand_idx") != F.col("_c")) & differ).groupBy("sample_id", "cand_idx").agg(F.max("_v").alias("_best"))
-    return candidates.join(rival, ["sample_id", "cand_idx"], "left").withColumn(out, F.col(score) - F.coalesce("_best", F.lit(0.0))).drop("_best")
+    own = candidates.select("sample_id", "cand_idx", "angle", "land_x", "land_y")
+    touching = neighbours(own, b, ["sample_id"], [("angle", "_a", axes[0][1]), ("land_x", "_x", axes[1][1]), ("land_y", "_y", axes[2][1])])
+    near = touching.where((F.col("cand_idx") != F.col("_c")) & differ).groupBy("sample_id", "cand_idx").agg(F.max("_w").alias("_near"))
+    rival = F.coalesce(F.greatest("_far", "_near"), F.lit(0.0))
+    return far.join(near, ["sample_id", "cand_idx"], "left").withColumn(out, F.col(score) - rival).select(*candidates.columns, out)
 
 
 def choose(candidates: DataFrame, rule: str = "score") -> DataFrame:

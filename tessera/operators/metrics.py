@@ -90,10 +90,10 @@ def gate_choice(grid: DataFrame) -> DataFrame:
     return grid.agg(F.min(F.when(F.col("wrong") == 0, F.col("tau"))).alias("conservative"), F.max_by("tau", F.struct("f1", "tau")).alias("aggressive"))
 
 
-def match_search(left: DataFrame, right: DataFrame, truth: DataFrame, total_gt: int, distances, brightness, ratios) -> DataFrame:
+def match_search(left: DataFrame, right: DataFrame, truth: DataFrame | Column, total_gt: int, distances, brightness, ratios) -> DataFrame:
     """TP, predictions and F1 of every (distance, brightness, ratio) (O134).
 
-    ``right`` has ``brightness``; ``truth``: sample_id, i, j.  Neighbours within the largest reach are joined
+    ``right`` has ``brightness``; ``truth``: sample_id, i, j, or a predicate on them.  Neighbours within the largest reach are joined
     once; every configuration is a filter on that edge table.
     """
     reach = max(ratios) * max(max(distances), 0.5)
@@ -105,8 +105,11 @@ def match_search(left: DataFrame, right: DataFrame, truth: DataFrame, total_gt:
     spread = first.select("sample_id", "min_brightness", "i", "j", "d", "second", listed([float(d) for d in distances], "distance")).where("d < distance")
     spread = spread.withColumn("_k", F.row_number().over(Window.partitionBy("sample_id", "min_brightness", "distance", "j").orderBy("d", "i"))).where("_k = 1")
     spread = spread.select("*", listed([float(r) for r in ratios], "ratio")).where(F.col("second").isNull() | (F.col("second") >= F.col("ratio") * F.greatest("d", F.lit(0.5))))
-    hit = truth.select("sample_id", "i", "j").distinct().withColumn("_t", F.lit(1))
-    sums = spread.join(hit, ["sample_id", "i", "j"], "left").groupBy("distance", "min_brightness", "ratio").agg(F.count("_t").alias("tp"), F.count("*").alias("pred"))
+    if isinstance(truth, Column):
+        marked = spread.withColumn("_t", F.when(truth, 1))
+    else:
+        marked = spread.join(truth.select("sample_id", "i", "j").distinct().withColumn("_t", F.lit(1)), ["sample_id", "i", "j"], "left")
+    sums = marked.groupBy("distance", "min_brightness", "ratio").agg(F.count("_t").alias("tp"), F.count("*").alias("pred"))
     return sums.withColumn("f1", f1(F.col("tp"), F.col("pred"), F.lit(total_gt)))
 
 

@@ -135,17 +135,29 @@ prs AS (
 )"""
 
 
+def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as pair candidates of the regions of ``gate_regions``, up to four a region."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "labels").select(_sample(F.floor(d / 4))[1], ((d * 37 % 1000) / 1000).alias("prob"), (F.col("quality") == 1).alias("y"))
+
+
+REGION_PAIRS_SQL = """
+prs AS (
+  SELECT 'm' || (doc_id // 4 % 3) || '__r' || (doc_id // 4) AS sample_id, doc_id AS k, (doc_id * 37 % 1000)::DOUBLE / 1000 AS prob, quality = 1 AS y FROM labels
+)"""
+
+
 def gate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' customers as regions with a verifier probability and gates."""
     c = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where(c < 30).select(*_sample(c), ((c * 29 % 100) / 100).alias("prob"), (c % 4 == 0).alias("v10"), (c % 9 != 1).alias("registered"), (c % 7 != 2).alias("has_gt"), (c % 5 != 3).alias("correct"))
+    return table(spark, sf_dir, "customer").select(*_sample(c), ((c * 29 % 100) / 100).alias("prob"), (c % 4 == 0).alias("v10"), (c % 9 != 1).alias("registered"), (c % 7 != 2).alias("has_gt"), (c % 5 != 3).alias("correct"))
 
 
 GATES_SQL = """
 gates AS (
   SELECT 'm' || (c_custkey % 3) AS subject, 'm' || (c_custkey % 3) || '__r' || c_custkey AS sample_id, (c_custkey * 29 % 100)::DOUBLE / 100 AS prob,
          c_custkey % 4 = 0 AS v10, c_custkey % 9 <> 1 AS registered, c_custkey % 7 <> 2 AS has_gt, c_custkey % 5 <> 3 AS correct
-  FROM customer WHERE c_custkey < 30
+  FROM customer
 )"""
 
 

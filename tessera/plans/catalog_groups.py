@@ -12,7 +12,7 @@ from tessera.operators import metrics as ms
 from tessera.operators import registration as rg
 from tessera.plans import adapters as ad
 from tessera.plans import rematch as rm
-from tessera.plans.adapters import CANDIDATES_SQL, GATES_SQL, INTER_SQL, PAIRS_SQL, POINTS_SQL, rounded
+from tessera.plans.adapters import CANDIDATES_SQL, GATES_SQL, INTER_SQL, PAIRS_SQL, POINTS_SQL, REGION_PAIRS_SQL, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -40,12 +40,12 @@ def subject_mode(spark, sf_dir):
     return cs.subject_modes(rows.select(F.col("r_name").alias("subject"), (F.col("n_nationkey") % 3 + 10.0).alias("h"), F.lit(10.0).alias("w"), (F.col("n_nationkey") * 7 % 10).alias("score_0"), side.alias("score_1")))
 
 
-@query(f"""WITH {CANDIDATES_SQL}, c AS (SELECT subject, cand_idx::VARCHAR AS sample_id, land_x / 600 AS cx, land_y / 600 AS cy FROM cand WHERE cand_idx % 4 = 0),
+@query(f"""WITH {CANDIDATES_SQL}, c AS (SELECT subject, cand_idx::VARCHAR AS sample_id, land_x / 600 AS cx, land_y / 600 AS cy FROM cand),
 p AS (SELECT a.subject, a.sample_id AS sid, a.cx AS ax, a.cy AS ay, count(*) AS n, quantile_cont(b.cx, 0.5) AS mx, quantile_cont(b.cy, 0.5) AS my FROM c a JOIN c b ON a.subject = b.subject AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 0.1 GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, sqrt((ax - 0.48::DOUBLE) * (ax - 0.48::DOUBLE) + (ay - 0.54::DOUBLE) * (ay - 0.54::DOUBLE)), sid) AS r FROM p) WHERE r = 1)
 SELECT c.subject, c.sample_id FROM c JOIN k USING (subject) WHERE sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my)) <= 0.1""")
 def consistency_gate(spark, sf_dir):
-    c = ad.candidates(spark, sf_dir).where("cand_idx % 4 = 0")
+    c = ad.candidates(spark, sf_dir)
     return cs.consistent_regions(c.select("subject", F.col("cand_idx").cast("string").alias("sample_id"), (F.col("land_x") / 600).alias("cx"), (F.col("land_y") / 600).alias("cy")), 0.1)
 
 
@@ -69,7 +69,18 @@ def vote_modes(spark, sf_dir):
     return rounded(out, "angle", "land_x", "land_y", "support")
 
 
-@query()
+def _cluster(name: str, left: str) -> str:
+    return f"""
+{name}_p AS (SELECT v.*, q.idx AS c FROM {left} v JOIN {left} q ON v.subject = q.subject AND abs(v.angle - q.angle) <= 4 AND sqrt((v.land_x - q.land_x) * (v.land_x - q.land_x) + (v.land_y - q.land_y) * (v.land_y - q.land_y)) <= 120),
+{name}_b AS (SELECT b.* FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY w DESC, c) AS k FROM (SELECT subject, c, sum(weight) AS w FROM {name}_p GROUP BY ALL)) b JOIN tot USING (subject) WHERE k = 1 AND w >= 0.05::DOUBLE * total),
+{name}_m AS (SELECT p.*, b.w FROM {name}_p p JOIN {name}_b b USING (subject, c)),
+{name} AS (SELECT subject, w, quantile_cont(angle, 0.5) AS angle, quantile_cont(land_x, 0.5) AS land_x, quantile_cont(land_y, 0.5) AS land_y, count(*) AS n FROM {name}_m GROUP BY subject, w)"""
+
+
+@query(f"""WITH {CANDIDATES_SQL}, ps AS (SELECT subject, cand_idx AS idx, greatest(score, 0) AS weight, angle, land_x, land_y FROM cand), tot AS (SELECT subject, sum(weight) AS total FROM ps GROUP BY ALL),{_cluster('one', 'ps')},
+rs AS (SELECT * FROM ps ANTI JOIN one_m USING (subject, idx)),{_cluster('two', 'rs')}
+SELECT subject, 0 AS mode_idx, round(angle, 6) + 0.0 AS angle, round(land_x, 6) AS land_x, round(land_y, 6) AS land_y, round(w, 6) AS support, n FROM one
+UNION ALL SELECT subject, 1, round(angle, 6) + 0.0, round(land_x, 6), round(land_y, 6), round(w, 6), n FROM two""")
 def cluster_modes(spark, sf_dir):
     c = ad.candidates(spark, sf_dir).select("subject", F.col("cand_idx").alias("idx"), F.greatest("score", F.lit(0.0)).alias("weight"), "angle", "land_x", "land_y")
     return rounded(cs.cluster_modes(c, ["subject"], least_share=0.05), "angle", "land_x", "land_y", "support")
@@ -109,11 +120,11 @@ def scan_inputs(spark, sf_dir):
     return cs.scan_inputs(c).withColumn("sample_ids", F.array_join("sample_ids", ","))
 
 
-@query(f"""WITH {CANDIDATES_SQL}, p AS (SELECT subject, cand_idx::VARCHAR AS sample_id, land_x, land_y FROM cand WHERE cand_idx % 6 = 0),
+@query(f"""WITH {CANDIDATES_SQL}, p AS (SELECT subject, cand_idx::VARCHAR AS sample_id, land_x, land_y FROM cand),
 o AS (SELECT a.subject, a.sample_id, a.land_x, a.land_y, quantile_cont(b.land_x, 0.5) AS mx, quantile_cont(b.land_y, 0.5) AS my FROM p a JOIN p b ON a.subject = b.subject AND a.sample_id <> b.sample_id GROUP BY ALL)
 SELECT p.subject, p.sample_id, round(coalesce(sqrt((o.land_x - mx) * (o.land_x - mx) + (o.land_y - my) * (o.land_y - my)), 0), 6) AS dist FROM p LEFT JOIN o USING (subject, sample_id)""")
 def landing_dist(spark, sf_dir):
-    c = ad.candidates(spark, sf_dir).where("cand_idx % 6 = 0").select("subject", F.col("cand_idx").cast("string").alias("sample_id"), "land_x", "land_y")
+    c = ad.candidates(spark, sf_dir).select("subject", F.col("cand_idx").cast("string").alias("sample_id"), "land_x", "land_y")
     return rounded(cs.landing_distance(c, ["subject"]), "dist")
 
 
@@ -243,7 +254,7 @@ def best_threshold(spark, sf_dir):
     return rounded(ms.best_threshold(ms.threshold_table(ad.scored_pairs(spark, sf_dir), 50)), "f1")
 
 
-_GATE_GRID = f"""{GATES_SQL}, {PAIRS_SQL}, th(pair_threshold) AS (VALUES {_GRID}), ta AS (SELECT i, (i * 0.05::DOUBLE) AS tau0, round(i * 0.05::DOUBLE, 2) AS tau FROM range(21) t(i)),
+_GATE_GRID = f"""{GATES_SQL}, {REGION_PAIRS_SQL}, th(pair_threshold) AS (VALUES {_GRID}), ta AS (SELECT i, (i * 0.05::DOUBLE) AS tau0, round(i * 0.05::DOUBLE, 2) AS tau FROM range(21) t(i)),
 kp AS (SELECT tau, g.* FROM ta, gates g WHERE registered AND (v10 OR prob >= tau)),
 kc AS (SELECT ta.tau, count(sample_id) AS kept, count(*) FILTER (has_gt AND correct) AS correct, count(*) FILTER (has_gt AND NOT correct) AS wrong FROM ta LEFT JOIN kp USING (tau) GROUP BY ALL),
 pc AS (SELECT ta.tau, th.pair_threshold, coalesce(sum(p.y::INT), 0)::BIGINT AS tp, count(p.k) AS pred FROM ta CROSS JOIN th LEFT JOIN (SELECT tau, prs.* FROM kp JOIN prs USING (sample_id)) p ON p.tau = ta.tau AND p.prob >= th.pair_threshold GROUP BY ALL),
@@ -252,7 +263,7 @@ gg AS (SELECT tau, kept, correct, wrong, f1, pair_threshold, tp, pred FROM kc JO
 
 
 def _gate_grid(spark, sf_dir):
-    return ms.gate_grid(ad.gate_regions(spark, sf_dir), ad.scored_pairs(spark, sf_dir).select("sample_id", "prob", "y"), 50)
+    return ms.gate_grid(ad.gate_regions(spark, sf_dir), ad.region_pairs(spark, sf_dir), 50)
 
 
 @query(f"WITH {_GATE_GRID} SELECT * REPLACE (round(f1, 6) AS f1) FROM gg")
@@ -283,14 +294,13 @@ s AS (SELECT distance, min_brightness, ratio, count(*) FILTER ((i + j) % 3 = 0)
 @query(f"WITH {_SEARCH} SELECT *, round(2.0 * tp / (pred + 100), 6) AS f1 FROM s")
 def match_search(spark, sf_dir):
     iv, ex = ad.projected(spark, sf_dir), ad.points(spark, sf_dir, "ex")
-    truth = iv.select("sample_id", F.col("idx").alias("i")).join(ex.select("sample_id", F.col("idx").alias("j")), "sample_id").where("(i + j) % 3 = 0")
-    return rounded(ms.match_search(iv, ex, truth, 100, (4.0, 8.0), (0.0, 0.1), (1.2, 2.0)), "f1")
+    return rounded(ms.match_search(iv, ex, F.expr("(i + j) % 3 = 0"), 100, (4.0, 8.0), (0.0, 0.1), (1.2, 2.0)), "f1")
 
 
-@query("""SELECT name, place::INT AS place FROM (SELECT s_name AS name, row_number() OVER (ORDER BY s_suppkey % 3 DESC, s_suppkey % 4 DESC, s_nationkey, s_name) AS place FROM supplier WHERE s_suppkey % 5 <> 0)""")
+@query("""SELECT name, place::INT AS place FROM (SELECT s_name AS name, row_number() OVER (ORDER BY s_suppkey % 3 DESC, s_suppkey % 4 DESC, s_nationkey, s_name) AS place FROM supplier WHERE s_acctbal > 0)""")
 def config_ranking(spark, sf_dir):
     s = ad.table(spark, sf_dir, "supplier")
-    rows = s.select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 5 != 0).alias("accepted"), (F.col("s_suppkey") % 3).alias("full"), (F.col("s_suppkey") % 4).alias("f1"), F.col("s_nationkey").alias("kept_wrong"))
+    rows = s.select(F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("accepted"), (F.col("s_suppkey") % 3).alias("full"), (F.col("s_suppkey") % 4).alias("f1"), F.col("s_nationkey").alias("kept_wrong"))
     return ms.rank_configs(rows).select("name", "place")
 
 
@@ -318,12 +328,12 @@ def leave_one_out_folds(spark, sf_dir):
 # ---------------------------------------------------------------- results
 
 
-@query("""WITH a AS (SELECT 'c' || (o_custkey % 50) AS sample_id, count(*) AS n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY ALL), b AS (SELECT 'c' || (o_custkey % 50) AS sample_id, count(*) AS n FROM orders WHERE o_orderkey % 40 = 0 GROUP BY ALL), s AS (SELECT DISTINCT 'c' || (o_custkey % 50) AS sample_id FROM orders)
+@query("""WITH a AS (SELECT 'c' || (o_custkey % 50) AS sample_id, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL), b AS (SELECT 'c' || (o_custkey % 50) AS sample_id, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY ALL), s AS (SELECT DISTINCT 'c' || (o_custkey % 50) AS sample_id FROM orders)
 SELECT sample_id, coalesce(a.n, 0)::BIGINT AS "before", coalesce(b.n, 0)::BIGINT AS "after", coalesce(a.n, 0) = 0 AND coalesce(b.n, 0) >= 1 AS newly_unlocked FROM s LEFT JOIN a USING (sample_id) LEFT JOIN b USING (sample_id)""")
 def unlock_table(spark, sf_dir):
-    o = ad.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("sample_id"), F.col("o_orderkey").alias("k"))
-    base = o.groupBy("sample_id").agg(F.count_if(F.col("k") % 50 == 0).alias("n_pairs"))
-    return ms.unlock_table(base, o.where("k % 40 = 0").groupBy("sample_id").agg(F.count("*").alias("n_pairs")))
+    o = ad.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("sample_id"), "o_orderstatus", "o_totalprice")
+    base = o.groupBy("sample_id").agg(F.count_if(F.col("o_orderstatus") == "P").alias("n_pairs"))
+    return ms.unlock_table(base, o.where("o_totalprice > 300000").groupBy("sample_id").agg(F.count("*").alias("n_pairs")))
 
 
 _RESULTS = "p{m} AS (SELECT DISTINCT 'c' || (o_custkey % 50) AS sample_id, (o_orderkey % {m})::VARCHAR AS iv_id, (o_custkey % 89)::VARCHAR AS ex_id FROM orders)"
@@ -356,7 +366,11 @@ def cell_names(spark, sf_dir):
 # ---------------------------------------------------------------- iterative and learned (no SQL form)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY prob DESC, k) AS r FROM prs WHERE prob >= 0.05),
+w AS (SELECT DISTINCT sample_id, 0::BIGINT AS r, []::BIGINT[] AS rows_used, []::BIGINT[] AS cols_used, false AS taken FROM o
+  UNION ALL SELECT sample_id, r, CASE WHEN free THEN list_append(rows_used, i) ELSE rows_used END, CASE WHEN free THEN list_append(cols_used, j) ELSE cols_used END, free
+  FROM (SELECT o.*, rows_used, cols_used, NOT list_contains(rows_used, o.i) AND NOT list_contains(cols_used, o.j) AS free FROM w JOIN o ON o.sample_id = w.sample_id AND o.r = w.r + 1))
+SELECT sample_id, k, i, j, prob FROM o JOIN w USING (sample_id, r) WHERE taken""")
 def greedy_rounds(spark, sf_dir):
     from tessera.plans.stages import ensure_checkpoint_dir
 

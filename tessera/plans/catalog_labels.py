@@ -125,24 +125,24 @@ def pq_multi(spark, sf_dir):
     return rounded(lb.panoptic_multi(lb.ious(lb.contingency(two, KEY), ap, ag, KEY), ap, ag, KEY), "pq")
 
 
-@query(f"""WITH {PIXELS_SQL}, b AS (SELECT sample_id, row, col, pred AS label FROM px WHERE pred > 0 AND pred % 3 = 0), a AS (SELECT sample_id, row, col, gt AS label FROM px WHERE gt > 0),
+@query(f"""WITH {PIXELS_SQL}, b AS (SELECT sample_id, row, col, pred AS label FROM px WHERE pred > 0 AND v > 40), a AS (SELECT sample_id, row, col, gt AS label FROM px WHERE gt > 0),
 s AS (SELECT a.sample_id, a.label, count(b.label)::DOUBLE / count(*) AS share FROM a LEFT JOIN b USING (sample_id, row, col) GROUP BY ALL)
 SELECT * FROM b UNION ALL SELECT a.sample_id, a.row, a.col, a.label + coalesce(t, 0) FROM a JOIN s ON a.sample_id = s.sample_id AND a.label = s.label AND share <= 0.2 LEFT JOIN b ON a.sample_id = b.sample_id AND a.row = b.row AND a.col = b.col
 LEFT JOIN (SELECT sample_id, max(label) AS t FROM b GROUP BY ALL) m ON m.sample_id = a.sample_id WHERE b.label IS NULL""")
 def instance_fusion(spark, sf_dir):
     px = ad.pixels(spark, sf_dir)
-    base = px.where("pred > 0 AND pred % 3 = 0").select("sample_id", "row", "col", F.col("pred").alias("label"))
+    base = px.where("pred > 0 AND v > 40").select("sample_id", "row", "col", F.col("pred").alias("label"))
     return lb.fuse(base, px.where("gt > 0").select("sample_id", "row", "col", F.col("gt").alias("label")), KEY, 0.2)
 
 
 # ---------------------------------------------------------------- run-length masks
 
-_ISLANDS = "isl AS (SELECT user_id, event_id, event_id // 40 AS image, event_id - row_number() OVER (PARTITION BY user_id % 3, event_id // 40 ORDER BY event_id) AS g, user_id % 3 AS cell FROM (SELECT DISTINCT event_id, user_id FROM events WHERE user_id % 3 < 2))"
+_ISLANDS = "isl AS (SELECT user_id, event_id, event_id // 40 AS image, event_id - row_number() OVER (PARTITION BY user_id % 3, event_id // 40 ORDER BY event_id) AS g, user_id % 3 AS cell FROM (SELECT DISTINCT event_id, user_id FROM events))"
 _RUNS = f"WITH {_ISLANDS}, rn AS (SELECT image, cell, min(event_id % 40) AS s, count(*) AS n FROM isl GROUP BY image, cell, g)"
 
 
 def _positions(spark, sf_dir):
-    e = ad.table(spark, sf_dir, "events").where("user_id % 3 < 2")
+    e = ad.table(spark, sf_dir, "events")
     return e.select(F.floor(F.col("event_id") / 40).alias("image"), (F.col("user_id") % 3).alias("cell"), (F.col("event_id") % 40).alias("pos"))
 
 

@@ -214,8 +214,9 @@ def window_votes(spark, sf_dir):
     samples = iv.select("sample_id").distinct()
     modes = samples.select("sample_id", F.lit(2.0).alias("angle"), F.lit(310.0).alias("land_x"), F.lit(290.0).alias("land_y"))
     offsets = samples.select("sample_id", F.lit(10.0).alias("ox"), F.lit(20.0).alias("oy"))
-    diffs = cd.differences(iv, ad.points(spark, sf_dir, "ex"), grid)
-    return cd.votes(cd.in_window(diffs, grid, modes, offsets, 60.0, 5.0), 5.0)
+    near = cd.poses_near(grid, modes, 5.0)
+    diffs = cd.differences(iv, ad.points(spark, sf_dir, "ex"), near)
+    return cd.votes(cd.in_window(diffs, near, modes, offsets, 60.0), 5.0)
 
 
 @query(f"""WITH {POINTS_SQL}, c AS (
@@ -260,14 +261,14 @@ def pose_features(spark, sf_dir):
     return rounded(out.select("sample_id", "cand_idx", "angle", "scale", "anisotropy", "land_x", "land_y"), "angle", "scale", "land_x", "land_y")
 
 
-@query(f"""WITH {CANDIDATES_SQL}, t AS (SELECT sample_id, cand_idx % 4 AS g, land_x - 300 AS x, land_y - 300 AS y FROM cand WHERE cand_idx % 5 = 0), p AS (SELECT * FROM cand WHERE cand_idx % 11 = 0),
+@query(f"""WITH {CANDIDATES_SQL}, t AS (SELECT sample_id, cand_idx % 4 AS g, land_x - 300 AS x, land_y - 300 AS y FROM cand), p AS (SELECT * FROM cand),
 e AS (SELECT p.sample_id, p.cand_idx, quantile_cont(sqrt((a * x + b * y + tx - (x + 1)) * (a * x + b * y + tx - (x + 1)) + (c * x + d * y + ty - (y - 1)) * (c * x + d * y + ty - (y - 1))), 0.5) AS err FROM p JOIN t USING (sample_id) GROUP BY ALL)
 SELECT sample_id, cand_idx, round(err, 6) AS err, err < 5 AS correct, min(cand_idx) FILTER (err < 5) OVER (PARTITION BY sample_id) AS first_correct FROM e""")
 def pose_errors(spark, sf_dir):
     c = ad.candidates(spark, sf_dir)
     x, y = F.col("land_x") - 300, F.col("land_y") - 300
-    truth = c.where("cand_idx % 5 = 0").select("sample_id", x.alias("x"), y.alias("y"), (x + 1).alias("gx"), (y - 1).alias("gy"))
-    return rounded(cd.median_errors(c.where("cand_idx % 11 = 0").select("sample_id", "cand_idx", "pose"), truth), "err")
+    truth = c.select("sample_id", x.alias("x"), y.alias("y"), (x + 1).alias("gx"), (y - 1).alias("gy"))
+    return rounded(cd.median_errors(c.select("sample_id", "cand_idx", "pose"), truth), "err")
 
 
 # ---------------------------------------------------------------- NumPy kernels (no SQL form)
@@ -283,7 +284,13 @@ def fft_scan(spark, sf_dir):
     return kernels.scan_samples(ad.points(spark, sf_dir, "iv"), ad.points(spark, sf_dir, "ex"), kernels.SCAN_ANGLES)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CANDIDATES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_idx) AS r FROM cand),
+w AS (SELECT DISTINCT sample_id, 0::BIGINT AS r, []::STRUCT(a DOUBLE, x DOUBLE, y DOUBLE)[] AS found, false AS taken FROM o
+  UNION ALL SELECT sample_id, r, CASE WHEN free THEN list_append(found, own) ELSE found END, free
+  FROM (SELECT o.sample_id, o.r, found, {{'a': o.angle, 'x': o.land_x, 'y': o.land_y}} AS own, len(found) < 30
+               AND len(list_filter(found, lambda f: abs(f.a - o.angle) <= 3 AND sqrt((f.x - o.land_x) * (f.x - o.land_x) + (f.y - o.land_y) * (f.y - o.land_y)) <= 20)) = 0 AS free
+        FROM w JOIN o ON o.sample_id = w.sample_id AND o.r = w.r + 1))
+SELECT sample_id, cand_idx, score, row_number() OVER (PARTITION BY sample_id ORDER BY r)::INT AS place FROM o JOIN w USING (sample_id, r) WHERE taken""")
 def nms_dedup(spark, sf_dir):
     return kernels.separate(ad.candidates(spark, sf_dir), 30)
 

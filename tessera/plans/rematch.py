@@ -14,15 +14,18 @@ from tessera.operators import consensus as cs
 from tessera.operators import matching as mt
 from tessera.operators import points as pt
 from tessera.operators import registration as rg
+from tessera.plans.stages import ensure_checkpoint_dir
 
 
 def chosen_poses(left: DataFrame, right: DataFrame, own: DataFrame, angle_win: float = 5.0) -> DataFrame:
     """One candidate a sample with its margin.  ``own``: ``registration.candidates`` of the samples;
     ``left``: subject, sample_id, idx, x, y, ox, oy."""
+    ensure_checkpoint_dir(left.sparkSession)
+    own = own.checkpoint()  # candidates cost most and are read several times
     group = left.select("subject", "sample_id").distinct()
-    modes = cs.vote_modes(own.join(group, "sample_id"), ["subject"])
+    modes = cs.vote_modes(own.join(group, "sample_id"), ["subject"]).checkpoint()
     near = rg.window_candidates(left.drop("subject"), right, group.join(modes, "subject").select("sample_id", "angle", "land_x", "land_y"), angle_win=angle_win)
-    every = near.unionByName(own.withColumn("cand_idx", F.col("cand_idx") + 1000))
+    every = near.unionByName(own.withColumn("cand_idx", F.col("cand_idx") + 1000)).checkpoint()
     scored = mt.margins(every, "score", "margin")
     return mt.choose_gated(scored, F.col("source") == "window").withColumn("pose", F.struct(*g.POSE))
 

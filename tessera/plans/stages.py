@@ -15,9 +15,13 @@ STAGES = ("prep", "scan", "search", "joint", "pairs", "verifier", "validate", "a
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    """The cluster's checkpoint folder; a temporary one only where there is one machine."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessera-"))
 
 
 @dataclasses.dataclass(frozen=True)
