@@ -10,7 +10,7 @@ import xxhash
 from tessera.llm import caches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _known: dict[str, bytes] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
