@@ -150,3 +150,16 @@ def volume_modes(candidates: DataFrame, keys: list[str], angle_bin: float = 3.0,
     far = volume.join(first.select(*keys, F.col("ba").alias("_ba")), keys).where(F.abs(F.col("ba") - F.col("_ba")) * angle_bin > apart).drop("_ba")
     second = far.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
     return first.withColumn("mode_idx", F.lit(0)).unionByName(second.withColumn("mode_idx", F.lit(1)))
+
+
+def volume_variants(candidates: DataFrame, keys: list[str], floor: float = 2.0, angle_bin: float = 3.0, land_bin: float = 60.0) -> DataFrame:
+    """The fullest bin of a group when normalised scores are summed as they are, above ``floor``, or squared above it (O206)."""
+    over = F.greatest(F.col("z") - floor, F.lit(0.0))
+    kinds = F.array(*[F.struct(F.lit(n).alias("variant"), v.alias("_w")) for n, v in (("clip0", F.col("z")), ("over", over), ("square", over * over))])
+    cell = lambda c, w: F.floor(F.col(c) / w)
+    bins = {"ba": cell("angle", angle_bin), "bx": cell("land_x", land_bin), "by": cell("land_y", land_bin)}
+    spread = normalised(candidates).withColumns(bins).select(*keys, "sample_id", *bins, F.inline(kinds))
+    best = spread.groupBy("variant", *keys, "sample_id", *bins).agg(F.max("_w").alias("_w"))
+    volume = best.groupBy("variant", *keys, *bins).agg(F.sum("_w").alias("support"), F.count("*").alias("n"))
+    order = Window.partitionBy("variant", *keys).orderBy(F.desc(F.round("support", 9)), *bins)
+    return volume.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")

@@ -175,3 +175,8 @@ def field_inside(pose: Column, h: Column, w: Column, canvas_h: Column, canvas_w:
     """The centre of the moved field lies on the canvas."""
     x, y = g.move_x(pose, w / 2, h / 2), g.move_y(pose, w / 2, h / 2)
     return (x >= 0) & (x < canvas_w) & (y >= 0) & (y < canvas_h)
+
+
+def matched_ids(pairs: DataFrame, side: str) -> DataFrame:
+    """The distinct ids of one side of selected pairs."""
+    return pairs.select("sample_id", side).distinct()

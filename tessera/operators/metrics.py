@@ -184,3 +184,14 @@ def pose_diagnostics(errors: DataFrame, top: int = 5) -> DataFrame:
     and the median best error (O82).  ``errors``: sample_id, cand_idx, place (from 1), err, correct."""
     by = errors.groupBy("sample_id").agg(F.max(F.col("correct") & (F.col("place") == 1)).alias("one"), F.max(F.col("correct") & (F.col("place") <= top)).alias("some"), F.max("correct").alias("any"), F.min("err").alias("best"))
     return by.agg(F.count("*").alias("regions"), F.count_if("one").alias("first_correct"), F.count_if("some").alias("top_correct"), F.count_if("any").alias("any_correct"), F.percentile("best", F.lit(0.5)).alias("best_error"))
+
+
+def distance_sweep(left: DataFrame, right: DataFrame, truth: DataFrame, distances) -> DataFrame:
+    """TP, FP, FN and F1 of nearest pairs at several distances from one join (O192).  ``truth``: sample_id, i, j."""
+    edges = pt.within(left, right, float(max(distances)), inclusive=False).select("*", listed(list(distances), "distance")).where("d < distance")
+    of = lambda key, other: F.row_number().over(Window.partitionBy("distance", "sample_id", key).orderBy("d", other))
+    kept = edges.withColumn("_k", of("i", "j")).where("_k = 1").withColumn("_k", of("j", "i")).where("_k = 1")
+    total = truth.count()
+    hit = truth.select("sample_id", "i", "j", F.lit(1).alias("_t"))
+    sums = kept.join(hit, ["sample_id", "i", "j"], "left").groupBy("distance").agg(F.count("_t").alias("tp"), F.count("*").alias("pred"))
+    return sums.select("distance", "tp", (F.col("pred") - F.col("tp")).alias("fp"), (F.lit(total) - F.col("tp")).alias("fn"), f1(F.col("tp"), F.col("pred"), F.lit(total)).alias("f1"))
