@@ -25,13 +25,22 @@ def subject_modes(regions: DataFrame, share: float = 0.65) -> DataFrame:
 def consistent_regions(centres: DataFrame, gate: float) -> DataFrame:
     """``centres``: subject, sample_id, cx, cy (shares of the canvas).  Keeps regions within ``gate`` of the
     anchor: the median of the neighbours of the region with most neighbours (O26, O84)."""
-    a = centres.select("subject", F.col("sample_id").alias("sid"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-    pairs = neighbours(a, centres, ["subject"], [("ax", "cx", gate), ("ay", "cy", gate)]).where(g.distance(F.col("ax"), F.col("ay"), F.col("cx"), F.col("cy")) <= gate)
-    seen = pairs.groupBy("subject", "sid", "ax", "ay").agg(F.count("*").alias("n"), F.percentile("cx", F.lit(0.5)).alias("mx"), F.percentile("cy", F.lit(0.5)).alias("my"))
+    return consistent_by_gate(centres, ["subject"], [gate]).drop("gate")
+
+
+def consistent_by_gate(centres: DataFrame, keys: list[str], gates: list[float]) -> DataFrame:
+    """The same for several gates in one plan: gate, keys, sample_id."""
+    listed = F.explode(F.array(*[F.lit(float(x)) for x in gates])).alias("gate")
+    by = ["gate", *keys]
+    rows = centres.select(*keys, "sample_id", "cx", "cy", listed)
+    a = rows.select(*by, F.col("sample_id").alias("sid"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
+    wide = float(max(gates))
+    pairs = neighbours(a, rows, by, [("ax", "cx", wide), ("ay", "cy", wide)]).where(g.distance(F.col("ax"), F.col("ay"), F.col("cx"), F.col("cy")) <= F.col("gate"))
+    seen = pairs.groupBy(*by, "sid", "ax", "ay").agg(F.count("*").alias("n"), F.percentile("cx", F.lit(0.5)).alias("mx"), F.percentile("cy", F.lit(0.5)).alias("my"))
     prior = g.distance(F.col("ax"), F.col("ay"), F.lit(FIELD_PRIOR[0]), F.lit(FIELD_PRIOR[1]))
-    order = Window.partitionBy("subject").orderBy(F.desc("n"), prior, "sid")
-    anchor = seen.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("subject", "mx", "my")
-    return centres.join(anchor, "subject").where(g.distance(F.col("cx"), F.col("cy"), F.col("mx"), F.col("my")) <= gate).select("subject", "sample_id")
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), prior, "sid")
+    anchor = seen.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*by, "mx", "my")
+    return rows.join(anchor, by).where(g.distance(F.col("cx"), F.col("cy"), F.col("mx"), F.col("my")) <= F.col("gate")).select(*by, "sample_id")
 
 
 def normalised(candidates: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import kernels
 from tessera.operators import points as pt
 
 # Pair probability thresholds 0 to 0.3 by 0.025, gate thresholds 0 to 1 by 0.05.
@@ -90,26 +91,52 @@ def gate_choice(grid: DataFrame) -> DataFrame:
     return grid.agg(F.min(F.when(F.col("wrong") == 0, F.col("tau"))).alias("conservative"), F.max_by("tau", F.struct("f1", "tau")).alias("aggressive"))
 
 
-def match_search(left: DataFrame, right: DataFrame, truth: DataFrame | Column, total_gt: int, distances, brightness, ratios) -> DataFrame:
-    """TP, predictions and F1 of every (distance, brightness, ratio) (O134).
+# The settings of the whole search; ratio 0 and gate 0 stand for none.
+SEARCH = {"distances": (3, 4, 5, 6, 7, 8, 10, 12), "brightness": (0.0, 0.45, 0.55, 0.65, 0.75, 0.85), "ratios": (0.0, 1.5, 2.0, 2.5, 3.0), "gates": (0.0, 0.06, 0.08, 0.10, 0.14)}
+
+
+def match_counts(left: DataFrame, right: DataFrame, truth: DataFrame | Column, distances, brightness, ratios, method: str = "greedy") -> DataFrame:
+    """TP and predictions of every (distance, brightness, ratio) a sample (O134).
 
     ``right`` has ``brightness``; ``truth``: sample_id, i, j, or a predicate on them.  Neighbours within the largest reach are joined
-    once; every configuration is a filter on that edge table.
+    once; every configuration is a filter on that edge table.  Method "hungarian" takes most pairs, then least distance, of
+    the edges of each sample, brightness and distance.
     """
-    reach = max(ratios) * max(max(distances), 0.5)
+    reach = max(1.0, *ratios) * max(max(distances), 0.5)
     edges = pt.within(left, right, reach).join(right.select("sample_id", F.col("idx").alias("j"), "brightness"), ["sample_id", "j"])
     bright = right.select("sample_id", "brightness", listed(brightness, "min_brightness")).groupBy("sample_id", "min_brightness").agg((F.count_if(F.col("brightness") >= F.col("min_brightness")) < 3).alias("_all"))
     put = edges.join(bright, "sample_id").where(F.col("_all") | (F.col("brightness") >= F.col("min_brightness")))
     of = lambda key, other: Window.partitionBy("sample_id", "min_brightness", *key).orderBy("d", other)
-    first = put.withColumn("_k", F.row_number().over(of(["i"], "j"))).withColumn("second", F.lead("d").over(of(["i"], "j"))).where("_k = 1")
-    spread = first.select("sample_id", "min_brightness", "i", "j", "d", "second", listed([float(d) for d in distances], "distance")).where("d < distance")
-    spread = spread.withColumn("_k", F.row_number().over(Window.partitionBy("sample_id", "min_brightness", "distance", "j").orderBy("d", "i"))).where("_k = 1")
-    spread = spread.select("*", listed([float(r) for r in ratios], "ratio")).where(F.col("second").isNull() | (F.col("second") >= F.col("ratio") * F.greatest("d", F.lit(0.5))))
+    ranked = put.withColumn("_k", F.row_number().over(of(["i"], "j")))
+    far = F.max(F.when(F.col("_k") == 2, F.col("d"))).over(Window.partitionBy("sample_id", "min_brightness", "i"))
+    ranked = ranked.withColumn("second", far).select("sample_id", "min_brightness", "i", "j", "d", "second", "_k")
+    if method == "greedy":
+        spread = ranked.where("_k = 1").select("sample_id", "min_brightness", "i", "j", "d", "second", listed([float(d) for d in distances], "distance")).where("d < distance")
+        spread = spread.withColumn("_k", F.row_number().over(Window.partitionBy("sample_id", "min_brightness", "distance", "j").orderBy("d", "i"))).where("_k = 1")
+    else:
+        close = ranked.select("sample_id", "min_brightness", "i", "j", "d", "second", listed([float(d) for d in distances], "distance")).where("d < distance")
+        spread = kernels.hungarian_by(close, ["sample_id", "min_brightness", "distance"], "second")
+    spread = spread.select("sample_id", "min_brightness", "distance", "i", "j", "d", "second", listed([float(r) for r in ratios], "ratio"))
+    spread = spread.where(F.col("second").isNull() | (F.col("second") >= F.col("ratio") * F.greatest("d", F.lit(0.5))))
     if isinstance(truth, Column):
         marked = spread.withColumn("_t", F.when(truth, 1))
     else:
         marked = spread.join(truth.select("sample_id", "i", "j").distinct().withColumn("_t", F.lit(1)), ["sample_id", "i", "j"], "left")
-    sums = marked.groupBy("distance", "min_brightness", "ratio").agg(F.count("_t").alias("tp"), F.count("*").alias("pred"))
+    return marked.groupBy("sample_id", "distance", "min_brightness", "ratio").agg(F.count("_t").alias("tp"), F.count("*").alias("pred"))
+
+
+def match_search(left: DataFrame, right: DataFrame, truth: DataFrame | Column, total_gt: int, distances, brightness, ratios) -> DataFrame:
+    """TP, predictions and F1 of every (distance, brightness, ratio) over all samples (O134)."""
+    counts = match_counts(left, right, truth, distances, brightness, ratios)
+    sums = counts.groupBy("distance", "min_brightness", "ratio").agg(F.sum("tp").alias("tp"), F.sum("pred").alias("pred"))
+    return sums.withColumn("f1", f1(F.col("tp"), F.col("pred"), F.lit(total_gt)))
+
+
+def gated_search(counts: DataFrame, kept: DataFrame, keys: list[str], total_gt: int) -> DataFrame:
+    """Sums of ``match_counts`` over the samples that each gate keeps.  ``counts``: keys, sample_id and the settings;
+    ``kept``: keys, gate, sample_id."""
+    by = [*keys, "gate", "distance", "min_brightness", "ratio"]
+    sums = counts.join(kept, [*keys, "sample_id"]).groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("pred").alias("pred"))
     return sums.withColumn("f1", f1(F.col("tp"), F.col("pred"), F.lit(total_gt)))
 
 

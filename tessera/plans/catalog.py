@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalog_choices, catalog_groups, catalog_labels, catalog_points
+from tessera.plans import catalog_choices, catalog_groups, catalog_labels, catalog_points, catalog_sources
 
-_PARTS = (catalog_points, catalog_labels, catalog_groups, catalog_choices)
+_PARTS = (catalog_points, catalog_labels, catalog_groups, catalog_choices, catalog_sources)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -103,3 +103,9 @@ def report(title: str, tables: Mapping[str, DataFrame], rows: int = 50) -> str:
         out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in shown]
     return "\n".join(out) + "\n"
+
+
+def report_json(title: str, tables: Mapping[str, DataFrame], accepted: bool | None = None, rows: int = 50) -> str:
+    """The same as JSON with the verdict, keys in order, so that equal states give equal bytes."""
+    shown = {name: [r.asDict(recursive=True) for r in df.limit(rows).collect()] for name, df in tables.items()}
+    return json.dumps({"title": title, "accepted": accepted, "tables": shown}, sort_keys=True, default=str)

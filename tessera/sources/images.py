@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import tiff
+
 _PIXELS = "path string, row long, col long, v double"
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """One row a pixel of every ``.npy`` image under <subject>/<region>/<modality>.npy (O1).
+    """One row a pixel of every ``.npy`` or ``.tif`` image under <subject>/<region>/<modality>.* (O1, O2).
 
     An image that is not two-dimensional is an error.
     """
@@ -21,7 +23,7 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for p, content in zip(batch.path, batch.content):
-                image = np.load(io.BytesIO(content), allow_pickle=False)
+                image = tiff.decode(content) if p.endswith((".tif", ".tiff")) else np.load(io.BytesIO(content), allow_pickle=False)
                 if image.ndim != 2:
                     raise ValueError(f"{p} has {image.ndim} dimensions, not 2")
                 row, col = np.indices(image.shape)
@@ -29,10 +31,10 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
                     cut = slice(at, at + 100_000)
                     yield pd.DataFrame({"path": p, "row": row.ravel()[cut], "col": col.ravel()[cut], "v": image.ravel()[cut].astype(float)})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{npy,tif,tiff}").load(path)
     parts = F.split("path", "/")
     sample = F.concat_ws("__", F.element_at(parts, -3), F.element_at(parts, -2))
-    modality = F.replace(F.element_at(parts, -1), F.lit(".npy"), F.lit(""))
+    modality = F.regexp_replace(F.element_at(parts, -1), r"\.\w+$", "")
     return files.select("path", "content").mapInPandas(decode, _PIXELS).select(sample.alias("sample_id"), modality.alias("modality"), "row", "col", "v")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -79,6 +83,43 @@ def write_results(rows: DataFrame, path: str, sizes: DataFrame) -> None:
     rows.repartition(1).sortWithinPartitions("pos").select(*COLUMNS).write.mode("overwrite").options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
 
 
+def render(header: list[str], rows: list[list[str]]) -> bytes:
+    """CSV bytes with minimal quoting and CRLF line ends."""
+    out = io.StringIO(newline="")
+    writer = csv.writer(out)
+    writer.writerows([header, *rows])
+    return out.getvalue().encode()
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
+    """Writes a file of any store that Spark reaches under another name and renames it when it is whole; its SHA-256."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs = target.getFileSystem(conf)
+    stream = fs.create(part, True)
+    stream.write(bytearray(content))
+    stream.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot rename {part} to {path}")
+    return hashlib.sha256(content).hexdigest()
+
+
+def write_exact(rows: DataFrame, path: str, sizes: DataFrame) -> str:
+    """The result as one CSV file, byte for byte the same for the same rows (O12); a result has a row a sample, so it is
+    small.  Nothing is written if something is wrong."""
+    wrong = problems(rows.drop("pos"), sizes, rows.select("sample_id", "pos")).limit(20).collect()
+    if wrong:
+        raise ValueError("; ".join(" ".join(map(str, r)) for r in wrong))
+    listed = [list(r) for r in rows.orderBy("pos").select(*COLUMNS).collect()]
+    return write_bytes(rows.sparkSession, path, render(list(COLUMNS), listed))
+
+
+def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and SHA-256 of files that a run must not change (O13, O204)."""
+    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def differs(written: DataFrame, base: DataFrame, keep: list[str]) -> DataFrame:
     """Samples whose kept columns are not those of the base, null-safe."""
     same = F.lit(True)
