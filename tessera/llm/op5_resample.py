@@ -12,9 +12,9 @@ documents that the target model has not seen (fold 1).
 
 A toxic passage hardly moves the mean, so the worst ``WINDOW`` words decide as well: n-grams weigh what the
 lower end of their log odds between toxic and other labelled documents is above 0, and a document whose
-worst window reaches the cut has weight 0 (log weight -inf) and is never taken.  The cut is the one with
-the fewest mistakes on clean and toxic documents of the sample, each scored by the weights of the other
-fold; the weights themselves come from both.
+worst window reaches the cut has weight 0 (log weight -inf) and is never taken.  The cut is the larger of
+those with the fewest mistakes on clean and toxic documents of the sample when each is scored by the weights of the
+other fold and by the weights of both, which are used.
 
 Defined results: without toxic and clean labels in both folds no window is too bad; null, empty and white-space texts have weight 0; without good labels in both folds
 all are kept; rows of equal key at the cut are kept together (repeated rows share their fate); an empty
@@ -145,14 +145,16 @@ def toxic_passages(docs: DataFrame, chosen: DataFrame) -> Passages | None:
     halves = [Passages(known, by[2 * f + 1], by[2 * f], n[f, True], n[f, False]) for f in (0, 1)]
     whole = Passages(known, by[1] + by[3], by[0] + by[2], n[0, True] + n[1, True], n[0, False] + n[1, False])
 
-    @F.pandas_udf("double")
-    def unseen(text, fold):  # type: ignore[no-untyped-def]
-        score = lambda t, f: halves[1 - f].worst(*hashed(t if isinstance(t, str) else None))
-        return pd.Series([score(t, f) for t, f in zip(text, fold)], dtype="float64")
+    @F.pandas_udf("array<double>")
+    def both(text, fold):  # type: ignore[no-untyped-def]
+        """By the weights of the other fold, and by the weights of both."""
+        found = [hashed(t if isinstance(t, str) else None) for t in text]
+        return pd.Series([[halves[1 - f].worst(*h), whole.worst(*h)] for h, f in zip(found, fold)])
 
-    scores = texts.where("_toxic OR _good").select("_toxic", unseen("text", "fold").alias("score")).toArrow()
-    score, is_toxic = scores["score"].to_numpy(), np.array(scores["_toxic"].to_pylist(), bool)
-    whole.cut = fewest_mistakes(score[~is_toxic], score[is_toxic])
+    scores = texts.where("_toxic OR _good").select("_toxic", both("text", "fold").alias("score")).toArrow()
+    score, is_toxic = np.array(scores["score"].to_pylist(), float).reshape(-1, 2), np.array(scores["_toxic"].to_pylist(), bool)
+    # weights from both folds are larger than those of one, and so must the cut be
+    whole.cut = max(fewest_mistakes(score[~is_toxic, k], score[is_toxic, k]) for k in (0, 1))
     return whole
 
 
