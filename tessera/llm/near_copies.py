@@ -8,7 +8,7 @@ guarantee, so a text has several SimHash fingerprints, and a pair is a candidate
 * of ``SAMPLES`` samples of its shingles, which must agree in all bits.  A sample is what falls into one
   of G hash slots; G is such that a slot holds ``SLOT`` to 1.42 * ``SLOT`` shingles on average, and a text near the
   end of a size class is also sampled as the next larger class, so that both of a pair are in one.  A
-  pair of similarity 0.8 shares each sample with probability 0.39 or more.
+  pair of similarity 0.8 shares each sample with probability 0.35 or more.
 
 Each pair is decided on the whole sets.  Work is on distinct sets (nodes), in two rounds: in every bucket
 all are compared with the member that shares most; then members of buckets that hold several components
