@@ -117,13 +117,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, node long, size long, fp long, keys array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
     """node, found (its shingles as bytes) of the texts that ``wanted`` (doc_id, h) names."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found = [shingles(t.as_py()) for t in batch.column(0)[at : at + 256]]
+                found = [shingles(t.as_py(), k) for t in batch.column(0)[at : at + 256]]
                 yield pa.RecordBatch.from_arrays([pa.array(map(node, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "found"])
 
     wanted = small(wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")))
@@ -131,9 +131,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar enough."""
-    least, of = SIMILARITY
+    least, of = similarity
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +148,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, folders: list[str]) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, folders: list[str], similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """a < b of all pairs of ``nodes`` (node, size, root) in different components that may be similar.
 
     With the shingles of every node in one order, rarest among these nodes first, two similar sets share one within
@@ -156,7 +156,7 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, folders: list[str]) -> Data
     that they must have in common.  What a common passage or a large group shares comes last in that order.
     Where many nodes of one component hold a shingle, only the others look for partners.
     """
-    least, of = SIMILARITY
+    least, of = similarity
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,15 +209,15 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     folders: list[str] = []
     # buckets of two are settled by the first round
     wanted = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(held.where("shared > 2").select("node")).distinct()
-    sets = stored(_sets(docs, wanted.join(distinct.select("node", "doc_id", "h"), "node")), "sets", folders)
-    edges = cut(_similar(first, sets))
+    sets = stored(sets_of(docs, wanted.join(distinct.select("node", "doc_id", "h"), "node")), "sets", folders)
+    edges = cut(similar(first, sets))
     linked = stars(edges)
     rooted = held.where("shared > 2").join(linked.withColumnRenamed("a", "node"), "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     rooted = cut(rooted)
     # a bucket all of whose members are linked is done
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     left = cut(rooted.join(mixed, "bucket", "left_semi").select("node", "size", "root").distinct())
-    more = cut(_similar(_prefix_pairs(left, sets, folders).join(first, ["a", "b"], "left_anti"), sets))
+    more = cut(similar(prefix_pairs(left, sets, folders).join(first, ["a", "b"], "left_anti"), sets))
     discard(docs.sparkSession, folders)
     return linked if more.isEmpty() else stars(edges.unionByName(more))
 

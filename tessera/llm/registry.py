@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op10_search, op1_mix, op2_warc, op3_shard, op4_lines, op5_resample, op6_passages, op7_token_files, op8_pack, op9_simhash
+from tessera.llm import op10_search, op11_minhash, op1_mix, op2_warc, op3_shard, op4_lines, op5_resample, op6_passages, op7_token_files, op8_pack, op9_simhash
 
 QUERIES = {
     "op1_pareto_mix": op1_mix.op1_pareto_mix,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_minimum_bin_slack": op8_pack.op8_minimum_bin_slack,
     "op9_covering_lsh": op9_simhash.op9_covering_lsh,
     "op10_collision_counting": op10_search.op10_collision_counting,
+    "op11_bbit_minhash": op11_minhash.op11_bbit_minhash,
 }
 ORACLE_SQL = {"op1_pareto_mix": op1_mix.ORACLE, "op2_warc": op2_warc.ORACLE, "op6_phrase_automata": op6_passages.ORACLE}
