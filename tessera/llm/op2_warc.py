@@ -4,10 +4,19 @@ Writing: one gzip member a record.  Of records with equal payloads of at least `
 one with the largest page_id is a response and the others revisit it.
 
 Reading: each record is checked (gzip CRC, version line, headers, length, closing blank lines, block
-and payload digests).  After a failed check the reader searches for the next member that opens with a
-version line (in plain archives and inside a member: the next version line), goes on there, and logs the
-bytes between as a quarantined gap with its reason.  Of a broken member what can be inflated is read too.  A record whose frame holds but whose digest differs is a gap of
-exactly its own bytes.
+and payload digests).  After a failed check the reader goes on at the next member that opens with a
+version line or, in plain archives and inside a member, at the next version line from which reading may go on, and
+logs the bytes between as a quarantined gap with its reason.  A place is (offset, length) in the file and, inside a
+member, (inner offset, inner length) in what it inflates to; records and gaps do not overlap and together are the whole
+file and the whole of each member.
+
+* A record whose frame holds but whose digest or version line does not is a gap of exactly its own bytes.
+* Of a broken member all that can be inflated is read; only the bytes beyond its last record are a gap.
+* Reading goes on at a version line only if the record there has headers and closing, leads to the end of the data or to
+  the next record, and a blank line stands before it or its block digest holds.  Text in a payload that looks like
+  a record is therefore not taken for one, unless it is a whole record that ends where its page ends, and the headers of
+  its page are damaged too: then nothing tells them apart.
+* Members are inflated as a stream: what is held is one record and a search window, not the member.
 
 Defined results: a null html is an empty payload; a null page_id is smaller than any other and is
 written without id; rows that share the largest page_id of their payload are all responses; a null url
@@ -40,9 +49,11 @@ DATE = "1970-01-01T00:00:00Z"  # pages carry no time
 _URN = "urn:tessera:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-#: Bytes that are read first in search of the end of headers; the reader goes on as far as needed.
-_HEADER_BYTES = 1 << 16
+#: Bytes that are read first in search of the end of a line; the reader goes on as far as needed.
+_LINE_BYTES = 1 << 12
 _CHUNK = 1 << 18
+#: Blocks longer than this are read only once their end is seen, and members longer than this are given out as they are read.
+_PEEK_BYTES = 16 << 20
 
 
 class Broken(ValueError):
@@ -123,42 +134,108 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 # ---------------------------------------------------------------- reading
 
 
-def _read_member(f, at: int) -> tuple[bytes, int | None, str | None]:
-    """What can be inflated of the gzip member at ``at``, where it ends and, if it is broken, why."""
-    f.seek(at)
-    unpacker, parts, read = zlib.decompressobj(31), [], 0
-    while not unpacker.eof:
-        chunk = f.read(_CHUNK)
-        if not chunk:
-            return b"".join(parts), None, "truncated member"
-        read += len(chunk)
-        try:
-            parts.append(unpacker.decompress(chunk))
-        except zlib.error as e:
-            return _inflated(f, at, read), None, f"gzip: {e}"
-    return b"".join(parts), at + read - len(unpacker.unused_data), None
-
-
-def _inflated(f, at: int, size: int) -> bytes:
-    """The bytes before the error that the ``size`` bytes at ``at`` lead to."""
-    f.seek(at)
-    unpacker, parts = zlib.decompressobj(31), []
-    while size > 0:
-        chunk = f.read(min(_CHUNK, size))
-        if not chunk:
-            break
-        size -= len(chunk)
+class Plain:
+    """The bytes of an archive that is not compressed."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size = f, size
+
+    def read(self, at: int, n: int) -> bytes:
+        """Up to ``n`` bytes from ``at`` on; fewer only where the data end."""
+        self.f.seek(at)
+        return self.f.read(max(0, min(n, self.size - at)))
+
+    peek = read
+
+    def forget(self, before: int) -> None:
+        pass
+
+
+class Inflated:
+    """What can be inflated of the gzip member at ``start``, as a stream: only what is between the record at hand
+    and the last byte that was read is held."""
+
+    def __init__(self, f, start: int):
+        self.f, self.start = f, start
+        self.unpacker, self.fed, self.tail = zlib.decompressobj(31), start, b""
+        self.held, self.base = bytearray(), 0
+        self.end: int | None = None  # of a whole member
+        self.broken: str | None = None
+
+    def _step(self, unpacker, fed: int, tail: bytes) -> tuple[bytes, int, bytes, str | None]:
+        """Some more bytes, how much of the file was taken, what of it waits, and why it goes no further."""
+        if not tail:
+            self.f.seek(fed)
+            tail = self.f.read(_CHUNK)
+            fed += len(tail)
+            if not tail:
+                return b"", fed, b"", "truncated member"
         before = unpacker.copy()
         try:
-            parts.append(unpacker.decompress(chunk))
-        except zlib.error:  # the call gives nothing: again byte by byte
+            return unpacker.decompress(tail, _CHUNK), fed, unpacker.unconsumed_tail, None
+        except zlib.error as e:  # the call gives nothing: again byte by byte
+            out = bytearray()
             try:
-                for i in range(len(chunk)):
-                    parts.append(before.decompress(chunk[i : i + 1]))
+                for i in range(len(tail)):
+                    out += before.decompress(tail[i : i + 1])
             except zlib.error:
                 pass
-            break
-    return b"".join(parts)
+            return bytes(out), fed, b"", f"gzip: {e}"
+
+    def _more(self) -> None:
+        out, self.fed, self.tail, self.broken = self._step(self.unpacker, self.fed, self.tail)
+        self.held += out
+        if not self.broken and self.unpacker.eof:
+            self.end = self.fed - len(self.unpacker.unused_data)
+
+    def read(self, at: int, n: int) -> bytes:
+        while self.base + len(self.held) < at + n and self.end is None and not self.broken:
+            self._more()
+        return bytes(self.held[at - self.base : at - self.base + n])
+
+    def peek(self, at: int, n: int) -> bytes:
+        """``read`` without holding what lies before ``at``: a copy of the inflater runs ahead."""
+        place = self.base + len(self.held)
+        if at < place or self.end is not None or self.broken:
+            return self.read(at, n)
+        unpacker, fed, tail, why, kept = self.unpacker.copy(), self.fed, self.tail, None, b""
+        while place + len(kept) < at + n and not why and not unpacker.eof:
+            out, fed, tail, why = self._step(unpacker, fed, tail)
+            kept += out
+            gone = min(max(0, at - place), len(kept))
+            kept, place = kept[gone:], place + gone
+        return kept[at - place : at - place + n]
+
+    def forget(self, before: int) -> None:
+        if before - self.base > _CHUNK:
+            del self.held[: before - self.base]
+            self.base = before
+
+    def total(self) -> int:
+        """Bytes that the member inflates to; reads it to its end."""
+        while self.end is None and not self.broken:
+            self._more()
+            self.forget(self.base + len(self.held))
+        return self.base + len(self.held)
+
+    def taken(self, n: int) -> int:
+        """Where in the file the first ``n`` inflated bytes are complete."""
+        unpacker, fed, got = zlib.decompressobj(31), self.start, 0
+        while got < n:
+            self.f.seek(fed)
+            chunk = self.f.read(1024)
+            before = unpacker.copy()
+            try:
+                out = unpacker.decompress(chunk)
+            except zlib.error:
+                out = None
+            if out is None or got + len(out) >= n:
+                for i in range(len(chunk)):
+                    got += len(before.decompress(chunk[i : i + 1]))
+                    if got >= n:
+                        return fed + i + 1
+            got, fed = got + len(out), fed + len(chunk)
+        return fed
 
 
 def _opens_with_version(data: bytes) -> bool:
@@ -168,51 +245,118 @@ def _opens_with_version(data: bytes) -> bool:
         return False
 
 
-def _search(f, at: int, size: int, mark: bytes, holds) -> int:
-    """The first place from ``at`` on where ``mark`` stands and ``holds``; the end if there is none."""
-    while at < size:
-        f.seek(at)
-        data = f.read(_CHUNK + 2048)
+def _search(source: Plain | Inflated, at: int, mark: bytes, holds) -> int | None:
+    """The first place from ``at`` on where ``mark`` stands and ``holds(place)``; None if there is none."""
+    while data := source.read(at, _CHUNK + len(mark) - 1):
         found = data.find(mark)
-        while 0 <= found < _CHUNK:
-            if holds(data, found):
+        while found >= 0:
+            if holds(at + found):
                 return at + found
             found = data.find(mark, found + 1)
+        if len(data) < _CHUNK + len(mark) - 1:
+            return None
         at += _CHUNK
-    return size
-
-
-def _parse(f, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers (lower-case names), block and end of the plain record at ``at``."""
-    f.seek(at)
-    head = f.read(min(_HEADER_BYTES, size - at))
-    if not _VERSION.match(head):
-        raise Broken("no version line")
-    end = head.find(b"\r\n\r\n")
-    while end < 0 and len(head) < size - at:
-        before = len(head)
-        head += f.read(min(before, size - at - before))
-        end = head.find(b"\r\n\r\n", before - 3)
-        if len(head) == before:
-            break
-    if end < 0:
-        raise Broken("headers do not end")
+        source.forget(at - 4)
+    return None
+
+
+def _line(at: int, read) -> bytes:
+    """The line at ``at`` without its end, however long it is."""
+    n = _LINE_BYTES
+    while True:
+        data = read(at, n)
+        end = data.find(b"\r\n")
+        if end >= 0:
+            return data[:end]
+        if len(data) < n:
+            raise Broken("headers do not end")
+        n *= 2
+
+
+def _headers(at: int, read) -> tuple[dict[str, str], int, int]:
+    """Headers (lower-case names) of the lines from ``at`` to a blank one, where the block begins and its length."""
     headers = {}
-    for line in head[:end].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
+    while line := _line(at, read):
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise Broken("bad header line")
         headers[name.strip().lower()] = value.strip()
+        at += len(line) + 2
     if not headers.get("content-length", "").isdecimal():
         raise Broken("bad content length")
-    start, n = at + end + 4, int(headers["content-length"])
-    if start + n + 4 > size:
-        raise Broken("record runs past the end")
-    f.seek(start)
-    block = f.read(n)
-    if f.read(4) != b"\r\n\r\n":
-        raise Broken("record is not closed")
+    return headers, at + 2, int(headers["content-length"])
+
+
+def _window(source: Plain | Inflated, at: int):
+    """A reader of what lies from ``at`` on, which is fetched once and held no longer than the reader."""
+    held = b""
+
+    def read(place: int, n: int) -> bytes:
+        nonlocal held
+        if place + n - at > len(held):
+            held = source.peek(at, max(place + n - at, 2 * len(held), _LINE_BYTES))
+        return held[place - at : place - at + n]
+
+    return read
+
+
+def _leads_on(source: Plain | Inflated, at: int) -> bool:
+    """At ``at`` the data end or a record begins, though its version line may be damaged."""
+    read = _window(source, at)
+    head = read(at, 10)
+    if not head or _VERSION.match(head):
+        return True
+    try:
+        _headers(at + len(_line(at, read)) + 2, read)
+    except Broken:
+        return False
+    return True
+
+
+def _frame(source: Plain | Inflated, at: int) -> int | None:
+    """Where the record at ``at`` ends whose headers hold, that is closed and leads on; its version line is not looked at."""
+    read = _window(source, at)
+    try:
+        _, start, n = _headers(at + len(_line(at, read)) + 2, read)
+    except Broken:
+        return None
+    end = start + n + 4
+    return end if source.peek(end - 4, 4) == b"\r\n\r\n" and _leads_on(source, end) else None
+
+
+def _after_no_version(source: Plain | Inflated, at: int) -> int | None:
+    """Where what has no version line at ``at`` ends, if that can be told: at a version line after junk in the same line, or
+    with the frame that its headers tell."""
+    try:
+        junk = _line(at, _window(source, at)).rfind(b"WARC/1.")
+    except Broken:
+        return None
+    return at + junk if junk > 0 and _restarts(source, at + junk) else _frame(source, at)
+
+
+def _restarts(source: Plain | Inflated, at: int) -> bool:
+    """A version line from which reading may go on: the frame holds, and a blank line stands before it or, where junk does, the
+    block has the digest that its headers tell."""
+    if not _VERSION.match(source.peek(at, 10)) or _frame(source, at) is None:
+        return False
+    if source.read(max(at - 3, 0), min(at, 3)) in (b"\n\r\n", b""):
+        return True
+    try:
+        return "warc-block-digest" in _parse(source, at)[0]
+    except Broken:
+        return False
+
+
+def _parse(source: Plain | Inflated, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and end of the record at ``at``."""
+    if not _VERSION.match(source.read(at, 10)):
+        raise Broken("no version line", _after_no_version(source, at))
+    headers, start, n = _headers(at + 10, source.read)
     end = start + n + 4
+    tail = (source.peek if n > _PEEK_BYTES else source.read)(end - 4, 4)
+    if tail != b"\r\n\r\n":
+        raise Broken("record is not closed" if len(tail) == 4 else "record runs past the end")
+    block = source.read(start, n)
     if headers.get("warc-block-digest", "").startswith("sha1:") and headers["warc-block-digest"] != _sha1(block):
         raise Broken("block digest differs", end)
     if headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "").startswith("sha1:") and headers["warc-payload-digest"] != _sha1(block.partition(b"\r\n\r\n")[2]):
@@ -220,56 +364,99 @@ def _parse(f, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end
 
 
-def _plain(f, size: int) -> Iterator[tuple]:
+def _pieces(source: Plain | Inflated) -> Iterator[tuple]:
+    """(kind, begin, end, headers or reason, block) of all records and gaps; the end of a last gap is None, that of the data."""
     at = 0
-    while at < size:
+    while source.read(at, 1):
         try:
-            headers, block, end = _parse(f, at, size)
-            yield "record", at, end - at, headers, block
+            headers, block, end = _parse(source, at)
+            yield "record", at, end, headers, block
         except Broken as e:
-            end = e.end or _search(f, at + 1, size, b"WARC/1.", _VERSION.match)
-            yield "gap", at, end - at, e.reason, None
+            end = e.end or _search(source, at + 1, b"WARC/1.", lambda place: _restarts(source, place))
+            yield "gap", at, end, e.reason, None
+            if end is None:
+                return
         at = end
+        source.forget(at - 4)
+
+
+def _plain(f, size: int) -> Iterator[tuple]:
+    for kind, begin, end, what, block in _pieces(Plain(f, size)):
+        yield kind, begin, (size if end is None else end) - begin, what, block, None, None
+
+
+def _inside(source: Inflated, ends: dict) -> Iterator[tuple]:
+    """The records and gaps of a member; ``ends`` gets the end of the last one and, at last, the reason why nothing follows."""
+    for kind, begin, end, what, block in _pieces(source):
+        if end is None:
+            ends["reason"] = what
+            return
+        ends["done"] = end
+        yield kind, what, block, begin, end - begin
+
+
+def _extent(file: Plain, source: Inflated, done: int) -> tuple[int, int]:
+    """Where the file bytes that hold the first ``done`` inflated bytes of a member end, and where the next member begins."""
+    source.total()
+    if not source.broken:
+        return source.end, source.end
+    first = source.taken(done) if done else source.start
+    found = _search(file, max(first, source.start + 1), b"\x1f\x8b\x08", lambda place: _opens_with_version(file.read(place, 2048)))
+    return first, file.size if found is None else found
 
 
 def _zipped(f, size: int) -> Iterator[tuple]:
-    """Records and gaps have the place of their member; gaps that follow each other inside it are one."""
-    at = 0
+    """Records and gaps inside a member have its place in the file and their own in what it inflates to.  Of a broken
+    member those that can be read are taken; the bytes of the file beyond the last of them are a gap."""
+    at, file = 0, Plain(f, size)
     while at < size:
-        data, end, broken = _read_member(f, at)
-        if broken:
-            end = _search(f, at + 1, size, b"\x1f\x8b\x08", _member_starts)
-        last = None
-        for kind, _, _, what, block in _plain(io.BytesIO(data), len(data)):
-            if kind == "record" or (not broken and last != "gap"):
-                yield kind, at, end - at, what, block
-            last = kind
-        if broken:
-            yield "gap", at, end - at, broken, None
-        elif last is None:  # an empty member
-            yield "gap", at, end - at, "empty member", None
-        at = end
+        source, ends, waiting, held, extent = Inflated(f, at), {"done": 0}, [], 0, None
+        for item in _inside(source, ends):
+            waiting.append(item)
+            held += item[-1]
+            if extent is None and held > _PEEK_BYTES:  # a long member: its extent by a run of its own
+                ahead, last = Inflated(f, at), {"done": 0}
+                for _ in _inside(ahead, last):
+                    pass
+                extent = _extent(file, ahead, last["done"])
+            if extent:
+                for kind, what, block, begin, n in waiting:
+                    yield kind, at, extent[0] - at, what, block, begin, n
+                waiting = []
+        first, after = extent or _extent(file, source, ends["done"])
+        rest = source.total() - ends["done"]
+        if not source.broken and (rest or not ends["done"]):
+            waiting.append(("gap", ends.get("reason", "empty member"), None, ends["done"], rest))
+        for kind, what, block, begin, n in waiting:
+            yield kind, at, first - at, what, block, begin, n
+        if source.broken:
+            yield "gap", first, after - first, source.broken, None, None, None
+        at = after
 
 
 def _is_zipped(f, size: int) -> bool:
-    f.seek(0)
-    head = f.read(5)
+    head, file = f.read(5), Plain(f, size)
     if head == b"WARC/" or head[:2] == b"\x1f\x8b":
         return head != b"WARC/"
-    return _search(f, 0, size, b"\x1f\x8b\x08", _member_starts) < _search(f, 0, size, b"WARC/1.", _VERSION.match)
-
-
-def _member_starts(data: bytes, at: int) -> bool:
-    return _opens_with_version(data[at : at + 2048])
+    member_at = _search(file, 0, b"\x1f\x8b\x08", lambda place: _opens_with_version(file.read(place, 2048)))
+    line_at = _search(file, 0, b"WARC/1.", lambda place: _VERSION.match(file.read(place, 10)))
+    return member_at is not None and (line_at is None or member_at < line_at)
 
 
 def salvage(f, size: int) -> Iterator[tuple]:
-    """("record", offset, length, headers, block) and ("gap", offset, length, reason, None), in order."""
+    """("record", offset, length, headers, block, inner offset, inner length) and ("gap", offset, length, reason, None, inner
+    offset, inner length), in order; the inner ones are None where the file's own bytes are meant."""
     gap = None
+    f.seek(0)
     for item in (_zipped if _is_zipped(f, size) else _plain)(f, size):
-        if item[0] == "gap" and gap and gap[1] + gap[2] == item[1]:
-            gap = ("gap", gap[1], gap[2] + item[2], gap[3], None)  # a failed restart belongs to the gap before
-            continue
+        if item[0] == "gap" and gap:
+            # a failed restart belongs to the gap before
+            if item[5] is None and gap[5] is None and gap[1] + gap[2] == item[1]:
+                gap = ("gap", gap[1], gap[2] + item[2], gap[3], None, None, None)
+                continue
+            if None not in (item[5], gap[5]) and gap[1] == item[1] and gap[5] + gap[6] == item[5]:
+                gap = (*gap[:6], gap[6] + item[6])
+                continue
         if gap:
             yield gap
             gap = None
@@ -282,12 +469,12 @@ def salvage(f, size: int) -> Iterator[tuple]:
 
 
 _ID = re.compile(rf"<?{_URN}(-?\d+)>?\Z")
-READ = "path string, offset long, length long, kind string, reason string, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+READ = "path string, offset long, length long, inner_offset long, inner_length long, kind string, reason string, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def _row(path: str, item: tuple, with_payload: bool) -> dict:
-    kind, offset, length, what, block = item
-    row = dict.fromkeys(c.split()[0] for c in READ.split(", ")) | {"path": path, "offset": offset, "length": length, "kind": kind}
+    kind, offset, length, what, block, inner_offset, inner_length = item
+    row = dict.fromkeys(c.split()[0] for c in READ.split(", ")) | {"path": path, "offset": offset, "length": length, "inner_offset": inner_offset, "inner_length": inner_length, "kind": kind}
     if kind == "gap":
         return row | {"reason": what}
     ref = lambda name: int(m[1]) if (m := _ID.match(what.get(name, ""))) else None
@@ -315,7 +502,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 with open_input(path) as f:
                     for item in salvage(f, f.size()):
                         rows.append(_row(path, item, with_payload))
-                        held += item[2]
+                        held += item[2] or 0
                         if len(rows) >= 5000 or held >= 16 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, held = [], 0
