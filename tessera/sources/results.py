@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import hashlib
-import io
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import rle
 from tessera.operators import metrics
+from tessera.plans.stages import ensure_checkpoint_dir
 
 COLUMNS = ("sample_id", "invivo_instances", "exvivo_instances", "match_pairs")
 SCHEMA = StructType([StructField(c, StringType()) for c in COLUMNS])
@@ -83,36 +82,67 @@ def write_results(rows: DataFrame, path: str, sizes: DataFrame) -> None:
     rows.repartition(1).sortWithinPartitions("pos").select(*COLUMNS).write.mode("overwrite").options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
 
 
-def render(header: list[str], rows: list[list[str]]) -> bytes:
-    """CSV bytes with minimal quoting and CRLF line ends."""
-    out = io.StringIO(newline="")
-    writer = csv.writer(out)
-    writer.writerows([header, *rows])
-    return out.getvalue().encode()
+class Refused(RuntimeError):
+    """A result was not published because a file that it must agree with has changed."""
 
 
-def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
-    """Writes a file of any store that Spark reaches under another name and renames it when it is whole; its SHA-256."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = target.getFileSystem(conf)
-    stream = fs.create(part, True)
-    stream.write(bytearray(content))
-    stream.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot rename {part} to {path}")
-    return hashlib.sha256(content).hexdigest()
+def csv_lines(rows: DataFrame, columns) -> DataFrame:
+    """One column of CSV lines with minimal quoting; null is the empty field."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    quoted = [F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in text]
+    return rows.select(F.concat_ws(",", *quoted).alias("line"))
 
 
-def write_exact(rows: DataFrame, path: str, sizes: DataFrame) -> str:
-    """The result as one CSV file, byte for byte the same for the same rows (O12); a result has a row a sample, so it is
-    small.  Nothing is written if something is wrong."""
+def write_exact(rows: DataFrame, path: str, sizes: DataFrame, manifest: DataFrame | None = None) -> str:
+    """The result as one CSV file, byte for byte the same for the same rows (O12); its SHA-256.  Nothing is written if something
+    is wrong.
+
+    The rows are assembled once and kept; tasks render and write ranges of ``pos``, and the file system's streams put the
+    parts one after the other behind the header, so that the driver holds a buffer and no row.  The file has its
+    name only when it is whole.  With a ``manifest`` (``digests`` of side files, taken when the run began) these are hashed
+    again before the name is given; if one has changed or is gone, the candidate is removed and ``Refused`` raised (O13, O204).
+    """
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = rows.select("pos", *COLUMNS).checkpoint()
     wrong = problems(rows.drop("pos"), sizes, rows.select("sample_id", "pos")).limit(20).collect()
     if wrong:
         raise ValueError("; ".join(" ".join(map(str, r)) for r in wrong))
-    listed = [list(r) for r in rows.orderBy("pos").select(*COLUMNS).collect()]
-    return write_bytes(rows.sparkSession, path, render(list(COLUMNS), listed))
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    target, part, parts = at(path), at(f"{path}.part"), at(f"{path}.parts-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        ordered = rows.repartitionByRange("pos").sortWithinPartitions("pos")
+        csv_lines(ordered, COLUMNS).write.option("lineSep", "\r\n").text(parts.toString())
+        digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+        out = jvm.java.security.DigestOutputStream(fs.create(part, True), digest)
+        try:
+            out.write(bytearray((",".join(COLUMNS) + "\r\n").encode()))
+            for name in sorted(s.getPath().toString() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")):
+                source = fs.open(at(name))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                source.close()
+        finally:
+            out.close()
+        if manifest is not None and (changed := altered(spark, manifest)):
+            raise Refused("changed since the run began: " + ", ".join(changed))
+        fs.delete(target, False)
+        if not fs.rename(part, target):
+            raise OSError(f"cannot rename {part} to {path}")
+    finally:
+        fs.delete(parts, True)
+        fs.delete(part, False)
+    return bytes(b % 256 for b in digest.digest()).hex()
+
+
+def altered(spark: SparkSession, manifest: DataFrame) -> list[str]:
+    """Those files of ``manifest`` (path, sha256; side files, few) whose content is no longer the same, or that are gone."""
+    known = {r.path: r.sha256 for r in manifest.collect()}
+    at, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in known if at(p).getFileSystem(conf).exists(at(p))]
+    now = {r.path: r.sha256 for r in digests(spark, there).collect()} if there else {}
+    return sorted(p for p, digest in known.items() if now.get(p) != digest)
 
 
 def digests(spark: SparkSession, paths: list[str]) -> DataFrame:

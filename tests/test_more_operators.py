@@ -130,6 +130,37 @@ def test_exact_result_file(spark, tmp_path):
     assert not (tmp_path / "out.csv.part").exists() and results.read_results(spark, str(path)).count() == 2
 
 
+def test_exact_file_of_many_parts_equals_the_csv_module(spark, tmp_path):
+    odd = ['a,b', 'quote "x"', "line\nbreak", "cr\r", "", " blank ", "é", None]
+    rows = [(i, f"s__{i:03d}", odd[i % 8], odd[(i + 3) % 8], odd[(i * 5) % 8]) for i in range(300)]
+    df = spark.createDataFrame(rows, "pos int, sample_id string, a string, b string, c string")
+    out = io.StringIO(newline="")
+    csv.writer(out).writerows(r[1:] for r in rows)
+    lines = results.csv_lines(df.repartitionByRange(5, "pos").sortWithinPartitions("pos"), ["sample_id", "a", "b", "c"])
+    lines.write.option("lineSep", "\r\n").text(str(tmp_path / "x"))
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "x").glob("part-*"))) == out.getvalue().encode()
+
+
+def test_publishing_is_refused_if_a_side_file_changed(spark, tmp_path):
+    rows = lambda pairs: spark.createDataFrame([(0, "a__1", '{"i":"0 2"}', '{"e":"0 1"}', pairs)], "pos int, sample_id string, invivo_instances string, exvivo_instances string, match_pairs string")
+    sizes = spark.createDataFrame([("a__1", m, 4, 4) for m in ("invivo", "exvivo")], "sample_id string, modality string, h int, w int")
+    side, gone, path = tmp_path / "model.bin", tmp_path / "labels.bin", tmp_path / "out.csv"
+    side.write_bytes(b"one")
+    gone.write_bytes(b"two")
+    manifest = results.digests(spark, [str(side), str(gone)]).checkpoint()
+    first = results.write_exact(rows("[]"), str(path), sizes, manifest)
+    before = path.read_bytes()
+    side.write_bytes(b"other")
+    with pytest.raises(results.Refused, match="model.bin"):
+        results.write_exact(rows('[["i","e"]]'), str(path), sizes, manifest)
+    assert path.read_bytes() == before and sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["labels.bin", "model.bin", "out.csv"]
+    side.write_bytes(b"one")
+    assert results.write_exact(rows('[["i","e"]]'), str(path), sizes, manifest) != first and path.read_bytes() != before
+    gone.unlink()
+    with pytest.raises(results.Refused, match="labels.bin"):
+        results.write_exact(rows("[]"), str(path), sizes, manifest)
+
+
 def test_json_report_repeats(spark):
     df = spark.createDataFrame([(1, "x")], "n int, s string")
     text = report_json("r", {"t": df}, accepted=False)
