@@ -15,7 +15,7 @@ from tessera.operators import metrics as ms
 from tessera.operators import points as pt
 from tessera.plans import adapters as ad
 from tessera.plans.adapters import CANDIDATES_SQL, INTER_SQL, NEAR_SQL, PIXELS_SQL, POINTS_SQL, rounded
-from tessera.plans.catalog_groups import _MARGIN
+from tessera.plans.catalog_groups import _MARGIN, _mode_round
 
 QUERIES, ORACLE_SQL = {}, {}
 KEY = ["sample_id"]
@@ -262,7 +262,11 @@ def volume_variants(spark, sf_dir):
     return rounded(cs.volume_variants(ad.candidates(spark, sf_dir), ["subject"]), "support")
 
 
-@query()
+@query(f"""WITH {CANDIDATES_SQL}, st AS (SELECT sample_id, quantile_cont(score, 0.5) AS m, stddev_pop(score) AS s FROM cand GROUP BY ALL),
+sc AS (SELECT cand.* REPLACE (greatest((score - m) / (s + 1e-6::DOUBLE), 0) AS z) FROM cand JOIN st USING (sample_id)),{_mode_round('one', 'sc')},
+lf AS (SELECT sc.* FROM sc ANTI JOIN (SELECT sample_id, subject FROM one_mem SEMI JOIN one USING (subject)) USING (sample_id, subject)),{_mode_round('two', 'lf')},
+cuts(cut) AS (VALUES {', '.join(f'({c}::DOUBLE)' for c in ch.MODE_CUTS)})
+SELECT cut, o.subject, 1 + coalesce((t.support >= cut * o.support)::INT, 0) AS modes, round(o.support, 6) AS support FROM one o LEFT JOIN two t USING (subject), cuts""")
 def mode_cuts(spark, sf_dir):
     return rounded(ch.mode_cut_sweep(ad.candidates(spark, sf_dir), ["subject"]), "support")
 
