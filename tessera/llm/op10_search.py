@@ -99,9 +99,13 @@ class Block:
         return inside.sum(axis=0, dtype=np.uint8).astype(np.int64)  # at most PROJECTIONS
 
     def entered(self, low: np.ndarray, high: np.ndarray, new_low: np.ndarray, new_high: np.ndarray) -> np.ndarray:
-        """How many windows each row enters when they grow to the new ends."""
-        rings = [ring for p in range(PROJECTIONS) for ring in (self.order[p, new_low[p] : low[p]], self.order[p, high[p] : new_high[p]])]
-        return np.bincount(np.concatenate(rings), minlength=len(self.vectors))
+        """How many windows each row enters when they grow to the new ends: the rings on both sides of all windows are
+        gathered by one index over the arrays."""
+        begin, many = np.concatenate([new_low, high]), np.concatenate([low - new_low, new_high - high])
+        ends = np.cumsum(many)
+        starts = begin + np.tile(self.first, 2) - (ends - many)
+        rows = self.order.ravel()[np.arange(ends[-1]) + np.repeat(starts, many)]
+        return np.bincount(rows, minlength=len(self.vectors))
 
     def nearest(self, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
         """Rows found: at least the ``k`` best of those verified (all rows but ``skip``, if there are no more)."""
@@ -112,7 +116,8 @@ class Block:
         here = self.directions[:, : len(query)] @ (query / norm)
         scores, seen = np.full(n, -np.inf), np.zeros(n, bool)
         seen[skip] = True
-        radius = max(START, self._distance(float((self.probe @ query).max()), norm) * BEGIN)
+        likely = -np.sort(-(self.probe @ query))[min(len(self.probe) - 1, -(-want * len(self.probe) // n))]  # the first may be the query itself
+        radius = max(START, self._distance(float(likely), norm) * BEGIN)
         found = 0
         low, high = self.window(here, radius)
         counts = self.collisions(low, high)
