@@ -1,0 +1,101 @@
+"""Inference on overlapping tiles: tile origins, patches by equi-join, tapered weights, flips undone and averaged, stitching.
+
+A tile is a task row whatever the size of its image, so an image is spread over as many tasks as it has tiles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Side and overlap of a tile, least weight at its border.
+TILE, OVERLAP, LEAST_WEIGHT = 256, 32, 0.15
+#: What is done to a patch before the model and undone after it; each is its own inverse.
+FLIPS: tuple[Callable[[np.ndarray], np.ndarray], ...] = (lambda x: x, lambda x: x[..., ::-1], lambda x: x[..., ::-1, :], lambda x: np.swapaxes(x, -1, -2))
+
+
+def origins(n: Column, tile: int, overlap: int) -> Column:
+    """Where tiles begin along an axis of ``n`` pixels: by tile - overlap, the last one ending with the axis."""
+    last = n - tile
+    steps = F.when(last > 0, F.sequence(F.lit(0), (last - 1).cast("int"), F.lit(tile - overlap))).otherwise(F.array().cast("array<int>"))
+    return F.concat(steps, F.array(F.greatest(last, F.lit(0)).cast("int")))
+
+
+def tiles(sizes: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
+    """The tiles that cover each image (O161): sample_id, h, w, row0, col0.  ``sizes``: sample_id, h, w."""
+    if not 0 <= overlap < tile:
+        raise ValueError("an overlap is smaller than its tile")
+    rows = sizes.select("sample_id", "h", "w", F.explode(origins(F.col("h"), tile, overlap)).alias("row0"))
+    return rows.select("*", F.explode(origins(F.col("w"), tile, overlap)).alias("col0"))
+
+
+def taper(tile: int = TILE, overlap: int = OVERLAP, least: float = LEAST_WEIGHT) -> np.ndarray:
+    """Weight of each place of a tile: rises along a line from ``least`` at a border to one where the overlap ends (O162)."""
+    from_border = np.minimum(np.arange(tile), np.arange(tile)[::-1])
+    line = np.ones(tile) if overlap < 2 else np.minimum(1.0, least + (1 - least) * from_border / (overlap - 1))
+    return line[:, None] * line
+
+
+def patches(pixels: DataFrame, cover: DataFrame, tile: int = TILE) -> DataFrame:
+    """Each pixel once a tile that holds it.  Blocks as wide as a tile make it an equi-join: a tile touches four at most."""
+    block = lambda c: F.floor(F.col(c) / tile)
+    wide = cover.select("*", F.explode(F.array_distinct(F.array(block("row0"), F.floor((F.col("row0") + tile - 1) / tile)))).alias("_rb"))
+    wide = wide.select("*", F.explode(F.array_distinct(F.array(block("col0"), F.floor((F.col("col0") + tile - 1) / tile)))).alias("_cb"))
+    placed = pixels.withColumns({"_rb": block("row"), "_cb": block("col")})
+    inside = (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row0") + tile) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col0") + tile)
+    return placed.join(wide, ["sample_id", "_rb", "_cb"]).where(inside).drop("_rb", "_cb")
+
+
+def predict(pixels: DataFrame, sizes: DataFrame, channels: list[str], model: Callable[[np.ndarray], np.ndarray], outputs: list[str], tile: int = TILE, overlap: int = OVERLAP, flips=FLIPS, border: str = "reflect", halo: int = 0) -> DataFrame:
+    """sample_id, row, col and ``outputs`` of every pixel of the images (O163).
+
+    ``pixels``: sample_id, row, col and ``channels`` (absent pixels are 0); ``model`` maps an array (channels, side, side) to
+    (outputs, side, side).  The patch of a tile reaches ``halo`` pixels beyond it on all sides, with what the image has there;
+    beyond the image it is padded (``border``: a mode of NumPy's pad).  Predictions on all ``flips`` of a patch are
+    turned back and averaged, and tiles are blended by tapered weights.
+    """
+    cover = tiles(sizes, tile, overlap)
+    side, weight = tile + 2 * halo, taper(tile, overlap)
+    grown = cover.withColumns({"row0": F.col("row0") - halo, "col0": F.col("col0") - halo})
+    held = patches(pixels.select("sample_id", "row", "col", *channels), grown, side)
+    # a tile without pixels is predicted too
+    every = grown.join(held.select("sample_id", "row0", "col0", "row", "col", *channels), ["sample_id", "row0", "col0"], "left")
+    names = ["sample_id", "row", "col", *outputs, "w"]
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        h, w, row0, col0 = (int(part[c].iloc[0]) for c in ("h", "w", "row0", "col0"))
+        top, left = max(0, row0), max(0, col0)
+        bottom, right = min(h, row0 + side), min(w, col0 + side)
+        patch = np.zeros((len(channels), bottom - top, right - left))
+        there = part[part.row.notna()]
+        at = there.row.to_numpy(int) - top, there.col.to_numpy(int) - left
+        for layer, c in zip(patch, channels):
+            layer[at] = there[c].to_numpy(float)
+        beyond = ((0, 0), (top - row0, row0 + side - bottom), (left - col0, col0 + side - right))
+        patch = np.pad(patch, beyond, mode=border)
+        found = np.mean([flip(np.asarray(model(np.ascontiguousarray(flip(patch))))) for flip in flips], axis=0)
+        found = found[:, halo : halo + tile, halo : halo + tile]
+        n_row, n_col = min(tile, h - row0 - halo), min(tile, w - col0 - halo)
+        r, c = (x.ravel() for x in np.indices((n_row, n_col)))
+        values = {o: found[i, :n_row, :n_col].ravel() for i, o in enumerate(outputs)}
+        return pd.DataFrame({"sample_id": key[0], "row": r + row0 + halo, "col": c + col0 + halo, **values, "w": weight[:n_row, :n_col].ravel()})[names]
+
+    schema = "sample_id string, row long, col long, " + ", ".join(f"{o} double" for o in outputs) + ", w double"
+    spread = every.groupBy("sample_id", "row0", "col0").applyInPandas(run, schema)
+    return spread.groupBy("sample_id", "row", "col").agg(*[(F.sum(F.col(o) * F.col("w")) / F.sum("w")).alias(o) for o in outputs])
+
+
+def mean_filter(reach: int = 1) -> Callable[[np.ndarray], np.ndarray]:
+    """A model for tests and smoothing: the mean of a square about each place, zero outside the patch."""
+
+    def model(patch: np.ndarray) -> np.ndarray:
+        put = np.pad(patch, ((0, 0), (reach, reach), (reach, reach)))
+        h, w = patch.shape[1:]
+        n = 2 * reach + 1
+        return sum(put[:, i : i + h, j : j + w] for i in range(n) for j in range(n)) / n**2
+
+    return model
