@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -10,6 +12,7 @@ from tessera.operators import heldout as ho
 from tessera.operators import learn
 from tessera.plans import adapters as ad
 from tessera.plans.adapters import rounded
+from tessera.plans.builds import Build
 from tessera.plans.catalog_choices import _FIT, _truth
 from tessera.plans.stages import ensure_checkpoint_dir
 
@@ -57,3 +60,21 @@ def verifier_loo_whole(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     rows = table.withColumn("y", F.when(F.col("cand_idx") % 9 > 0, (F.col("z") + F.col("soft") / 20 > 2.4).cast("int"))).checkpoint()  # every fold reads it
     return rounded(learn.leave_one_out(rows, features).select("sample_id", "cand_idx", "v10", "prob"), "prob")
+
+
+@query("""WITH t AS (SELECT c_nationkey AS nation, n_regionkey AS region, sum(c_acctbal::DOUBLE + CASE WHEN c_nationkey = 3 THEN 1000000 ELSE 0 END) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT nation, region, round(total / max(total) OVER (PARTITION BY region), 6) + 0.0 AS share, 1::BIGINT AS nations_again, 1::BIGINT AS regions_again, (SELECT count(*) FROM t a JOIN t b USING (region) WHERE a.nation = 3) AS shares_again FROM t""")
+def incremental_build(spark, sf_dir):
+    """Nations, their regions and the nations' shares, built twice; between the runs one nation's customers change, and only it,
+    its region and the shares of that region are computed again."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/build-{uuid.uuid4().hex}"
+    c = ad.table(spark, sf_dir, "customer").join(F.broadcast(ad.table(spark, sf_dir, "nation")), F.expr("c_nationkey = n_nationkey"))  # 25 nations
+    for more in (0.0, 1_000_000.0):
+        rows = c.select(F.col("c_nationkey").cast("int").alias("nation"), F.col("n_regionkey").cast("int").alias("region"), "c_custkey", (F.col("c_acctbal").cast("double") + F.when(F.col("c_nationkey") == 3, more).otherwise(0.0)).alias("v"))
+        build = Build(spark, root)
+        nations = build.step("nations", rows, ["nation"], lambda x: x.groupBy("nation").agg(F.first("region").alias("region"), F.sum("v").alias("total")))
+        regions = build.step("regions", nations, ["region"], lambda x: x.groupBy("region").agg(F.max("total").alias("most")))
+        shares = build.step("shares", nations.join(regions, "region"), ["nation"], lambda x: x.select("nation", "region", (F.col("total") / F.col("most")).alias("share")))
+    again = [F.lit(build.work[s]).cast("long").alias(f"{s}_again") for s in ("nations", "regions", "shares")]
+    return rounded(shares.select("nation", "region", "share", *again), "share")
