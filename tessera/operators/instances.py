@@ -50,9 +50,14 @@ def shape_vector(pixels: DataFrame, keys: list[str], height: Column, width: Colu
     )
 
 
+def steady(value: Column) -> Column:
+    """A mean or moment without what the order of its sum leaves in the last places, so that a value on a bound stays on it."""
+    return F.round(value, 12)
+
+
 def selected(pixels: DataFrame, features: DataFrame, keys: list[str], min_core: float = 0.0, min_circularity: float = 0.0, max_eccentricity: float = 1.0, min_fill: float = 0.0) -> DataFrame:
     """Pixels of the labels that pass every bound, with consecutive ids in label order."""
-    ok = (F.col("mean_prob") >= min_core) & (F.col("circularity") >= min_circularity) & (F.col("eccentricity") <= max_eccentricity) & (F.col("fill") >= min_fill)
+    ok = (steady(F.col("mean_prob")) >= min_core) & (F.col("circularity") >= min_circularity) & (steady(F.col("eccentricity")) <= max_eccentricity) & (F.col("fill") >= min_fill)
     kept = features.where(ok).select(*keys, "label", F.row_number().over(Window.partitionBy(*keys).orderBy("label")).alias("dense"))
     return pixels.join(kept, [*keys, "label"])
 
@@ -74,7 +79,7 @@ def overlaps(base: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
 
 def add_measured(base: DataFrame, added: DataFrame, keys: list[str], most_overlap: float, min_prob: float, min_v: float, low: int = 17, high: int = 350) -> DataFrame:
     """Adds instances of enough mean ``prob`` and ``v``, of allowed size and little overlap."""
-    values = added.groupBy(*keys, "label").agg(F.avg("prob").alias("_p"), F.avg("v").alias("_v"))
+    values = added.groupBy(*keys, "label").agg(steady(F.avg("prob")).alias("_p"), steady(F.avg("v")).alias("_v"))
     good = overlaps(base, added, keys).join(values, [*keys, "label"]).where((F.col("share") <= most_overlap) & (F.col("_p") >= min_prob) & (F.col("_v") >= min_v) & F.col("area").between(low, high))
     return _numbered_after(base, added.join(good, [*keys, "label"], "left_semi"), keys)
 
