@@ -39,9 +39,9 @@ def instances(results: DataFrame) -> DataFrame:
     """sample_id, modality, idx (place in the JSON object, from 0), cell_id, rle."""
     out = None
     for modality in ("invivo", "exvivo"):
-        text = F.col(f"{modality}_instances")
-        listed = results.select("sample_id", F.from_json(text, "map<string,string>").alias("_m"), F.posexplode(F.json_object_keys(text)).alias("idx", "cell_id"))
-        part = listed.select("sample_id", F.lit(modality).alias("modality"), "idx", "cell_id", F.col("_m")[F.col("cell_id")].alias("rle"))
+        # entries in the order of the text; a row carries its own entry and not the whole object
+        entries = F.posexplode(F.from_json(f"{modality}_instances", "map<string,string>")).alias("idx", "cell_id", "rle")
+        part = results.select("sample_id", entries).select("sample_id", F.lit(modality).alias("modality"), "idx", "cell_id", "rle")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -40,3 +40,11 @@ def test_quantiles_are_interpolated_as_in_the_sql(spark):
     text = ", ".join(f"({g}, {c}, {p!r}::DOUBLE)" for _, _, c, g, p in rows)
     sql = " UNION ALL ".join(f"SELECT g, c, {q}::DOUBLE FROM (SELECT *, quantile_cont(p, {q}) OVER (PARTITION BY g) AS cut FROM t(g, c, p)) WHERE p >= cut" for q in (0.1, 0.25, 0.5))
     assert sorted((r.label, r.col, r.quantile) for r in got.collect()) == sorted(duckdb.sql(f"WITH t(g, c, p) AS (VALUES {text}) " + sql.replace("t(g, c, p)", "t")).fetchall())
+
+
+def test_cells_of_a_row_do_not_carry_the_row(spark):
+    cells = {f"iv_{k:06d}": f"{10 * k} 3" for k in range(500)}
+    rows = spark.createDataFrame([("s", json.dumps(cells), "{}", "[]")], results.SCHEMA)
+    listed = results.instances(rows)
+    assert [(r.idx, r.cell_id, r.rle) for r in listed.orderBy("idx").collect()] == [(k, *x) for k, x in enumerate(cells.items())]
+    assert "json_object_keys" not in listed._jdf.queryExecution().optimizedPlan().toString()  # a key a row, looked up in the whole object
