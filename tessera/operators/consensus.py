@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
-from tessera.operators.cells import neighbours
+from tessera.operators import blocks
+from tessera.plans.stages import ensure_checkpoint_dir
 
 # Fixed value: mean place of in-vivo fields on the ex-vivo canvas, as shares of width and height.
 FIELD_PRIOR = (0.48, 0.54)
@@ -30,17 +33,29 @@ def consistent_regions(centres: DataFrame, gate: float) -> DataFrame:
 
 def consistent_by_gate(centres: DataFrame, keys: list[str], gates: list[float]) -> DataFrame:
     """The same for several gates in one plan: gate, keys, sample_id."""
-    listed = F.explode(F.array(*[F.lit(float(x)) for x in gates])).alias("gate")
+    shares = [float(x) for x in gates]
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, u, v = (t[c].to_numpy(float) for t in (a, b) for c in ("cx", "cy"))
+        ones, parts = np.ones(len(b)), []
+        for gate in shares if len(b) else ():
+            near = lambda i, j: np.sqrt((x[i, None] - u[j]) ** 2 + (y[i, None] - v[j]) ** 2) <= gate  # noqa: E731, B023
+            parts.append(a[[*keys, "sample_id", "cx", "cy"]].assign(gate=gate, n=blocks.summed(near, ones, len(a), len(b)).astype(int)))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, "sample_id", "cx", "cy", "gate", "n"])
+
     by = ["gate", *keys]
-    rows = centres.select(*keys, "sample_id", "cx", "cy", listed)
-    a = rows.select(*by, F.col("sample_id").alias("sid"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-    wide = float(max(gates))
-    pairs = neighbours(a, rows, by, [("ax", "cx", wide), ("ay", "cy", wide)]).where(g.distance(F.col("ax"), F.col("ay"), F.col("cx"), F.col("cy")) <= F.col("gate"))
-    seen = pairs.groupBy(*by, "sid", "ax", "ay").agg(F.count("*").alias("n"), F.percentile("cx", F.lit(0.5)).alias("mx"), F.percentile("cy", F.lit(0.5)).alias("my"))
-    prior = g.distance(F.col("ax"), F.col("ay"), F.lit(FIELD_PRIOR[0]), F.lit(FIELD_PRIOR[1]))
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), prior, "sid")
-    anchor = seen.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*by, "mx", "my")
-    return rows.join(anchor, by).where(g.distance(F.col("cx"), F.col("cy"), F.col("mx"), F.col("my")) <= F.col("gate")).select(*by, "sample_id")
+    rows = centres.select(*keys, "sample_id", "cx", "cy")
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in rows.columns) + ", gate double, n long"
+    seen = blocks.compare(rows, rows.drop("sample_id").withColumn("_t", F.xxhash64("cx", "cy")), keys, ("sample_id", "_t"), count, schema)
+    seen = seen.groupBy(*by, "sample_id", "cx", "cy").agg(F.sum("n").alias("n")).where("n > 0")
+    prior = g.distance(F.col("cx"), F.col("cy"), F.lit(FIELD_PRIOR[0]), F.lit(FIELD_PRIOR[1]))
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), prior, "sample_id")
+    first = seen.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*by, F.col("cx").alias("_x"), F.col("cy").alias("_y"))
+    # medians of the anchor's neighbours alone
+    around = rows.join(first, keys).where(g.distance(F.col("_x"), F.col("_y"), F.col("cx"), F.col("cy")) <= F.col("gate"))
+    anchor = around.groupBy(*by).agg(F.percentile("cx", F.lit(0.5)).alias("mx"), F.percentile("cy", F.lit(0.5)).alias("my"))
+    return rows.join(anchor, keys).where(g.distance(F.col("cx"), F.col("cy"), F.col("mx"), F.col("my")) <= F.col("gate")).select(*by, "sample_id")
 
 
 def normalised(candidates: DataFrame) -> DataFrame:
@@ -51,13 +66,34 @@ def normalised(candidates: DataFrame) -> DataFrame:
 
 def _round(voters: DataFrame, centres: DataFrame, keys: list[str], angle_tol: float, land_tol: float, mode: int) -> tuple[DataFrame, DataFrame]:
     """Best centre of one round: (mode row, members)."""
+    names = ["angle", "land_x", "land_y"]
+
+    def best_values(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Of each voting sample the best z near each centre of the block."""
+        parts, (p, x, y) = [], (a[c].to_numpy(float) for c in ("_a", "_x", "_y"))
+        for sample, own in b.sort_values("z", ascending=False).groupby("sample_id") if len(a) else ():
+            q, u, v = (own[c].to_numpy(float) for c in names)
+            near = lambda i, j: (np.abs(q[j] - p[i, None]) < angle_tol) & (np.sqrt((u[j] - x[i, None]) ** 2 + (v[j] - y[i, None]) ** 2) < land_tol)  # noqa: E731, B023
+            found = blocks.first_values(near, own.z.to_numpy(float), len(a))
+            parts.append(a[[*keys, "_s", "_c"]].assign(sample_id=sample, z=found)[np.isfinite(found)])
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, "_s", "_c", "sample_id", "z"])
+
     c = centres.select(*keys, F.col("sample_id").alias("_s"), F.col("cand_idx").alias("_c"), F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"))
-    near = (F.abs(F.col("angle") - F.col("_a")) < angle_tol) & (g.distance(F.col("land_x"), F.col("land_y"), F.col("_x"), F.col("_y")) < land_tol)
-    inside = neighbours(voters, c, keys, [("angle", "_a", angle_tol), ("land_x", "_x", land_tol), ("land_y", "_y", land_tol)]).where(near).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_s", "_c", "sample_id").orderBy(F.desc("z"), "cand_idx"))).where("_k = 1")
-    support = inside.groupBy(*keys, "_s", "_c").agg(F.sum("z").alias("support"), F.count_if(F.col("z") > 0).alias("n"))
+    rows = voters.select(*keys, "sample_id", "cand_idx", "z", *names)
+    types = dict(c.dtypes) | dict(rows.dtypes)
+    schema = ", ".join(f"`{n}` {types[n]}" for n in [*keys, "_s", "_c", "sample_id"]) + ", z double"
+    met = blocks.compare(c, rows, keys, ("_c", "cand_idx"), best_values, schema)
+    met = met.groupBy(*keys, "_s", "_c", "sample_id").agg(F.max("z").alias("z"))
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("sample_id", "z"))), F.lit(0.0), lambda s, v: s + v["z"])
+    support = met.groupBy(*keys, "_s", "_c").agg(total.alias("support"), F.count_if(F.col("z") > 0).alias("n"))
     order = Window.partitionBy(*keys).orderBy(F.desc("support"), "_s", "_c")
-    best = support.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-    members = inside.where("z > 0").join(best.select(*keys, "_s", "_c", "support", "n"), [*keys, "_s", "_c"])
+    best = support.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k").join(c, [*keys, "_s", "_c"])
+    # the members of the best centre alone: one row a sample
+    near = (F.abs(F.col("angle") - F.col("_a")) < angle_tol) & (g.distance(F.col("land_x"), F.col("land_y"), F.col("_x"), F.col("_y")) < land_tol)
+    inside = rows.join(best, keys).where(near & (F.col("z") > 0))
+    members = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "sample_id").orderBy(F.desc("z"), "cand_idx"))).where("_k = 1")
+    ensure_checkpoint_dir(voters.sparkSession)
+    members = members.checkpoint()  # a row a sample; the next round starts from it
     row = members.groupBy(*keys, "support", "n").agg(F.percentile("angle", F.lit(0.5)).alias("angle"), F.percentile("land_x", F.lit(0.5)).alias("land_x"), F.percentile("land_y", F.lit(0.5)).alias("land_y"))
     return row.withColumn("mode_idx", F.lit(mode)), members.select(*keys, "sample_id")
 
@@ -84,15 +120,24 @@ def cluster_modes(poses: DataFrame, keys: list[str], angle_tol: float = 4.0, lan
 
     ``poses``: keys, idx, weight, angle, land_x, land_y.
     """
+
+    def weigh(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Weight of the part's poses near each pose of the block."""
+        (p, x, y), (q, u, v) = ([t[c].to_numpy(float) for c in ("angle", "land_x", "land_y")] for t in (a, b))
+        near = lambda i, j: (np.abs(q[j] - p[i, None]) <= angle_tol) & (np.sqrt((u[j] - x[i, None]) ** 2 + (v[j] - y[i, None]) ** 2) <= land_tol)
+        return a[[*keys, "idx"]].assign(w=blocks.summed(near, b.weight.to_numpy(float), len(a), len(b)))
+
+    ensure_checkpoint_dir(poses.sparkSession)
+    types = dict(poses.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "idx"]) + ", w double"
     out, left, total = None, poses, poses.groupBy(*keys).agg(F.sum("weight").alias("_total"))
     for mode in range(modes):
-        c = left.select(*keys, F.col("idx").alias("_c"), F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"))
-        near = (F.abs(F.col("angle") - F.col("_a")) <= angle_tol) & (g.distance(F.col("land_x"), F.col("land_y"), F.col("_x"), F.col("_y")) <= land_tol)
-        pairs = neighbours(left, c, keys, [("angle", "_a", angle_tol), ("land_x", "_x", land_tol), ("land_y", "_y", land_tol)]).where(near)
-        weight = pairs.groupBy(*keys, "_c").agg(F.sum("weight").alias("w"))
-        best = weight.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "_c"))).where("_k = 1").drop("_k")
+        weight = blocks.compare(left, left, keys, ("idx", "idx"), weigh, schema).groupBy(*keys, "idx").agg(F.sum("w").alias("w"))
+        best = weight.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "idx"))).where("_k = 1").drop("_k")
         best = best.join(total, keys).where(F.col("w") >= least_share * F.col("_total")).drop("_total")
-        members = pairs.join(best, [*keys, "_c"])
+        c = best.join(left, [*keys, "idx"]).select(*keys, "w", F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"))
+        near = (F.abs(F.col("angle") - F.col("_a")) <= angle_tol) & (g.distance(F.col("land_x"), F.col("land_y"), F.col("_x"), F.col("_y")) <= land_tol)
+        members = left.join(c, keys).where(near).checkpoint()  # the next round starts from what is left
         row = members.groupBy(*keys, "w").agg(F.percentile("angle", F.lit(0.5)).alias("angle"), F.percentile("land_x", F.lit(0.5)).alias("land_x"), F.percentile("land_y", F.lit(0.5)).alias("land_y"), F.count("*").alias("n")).withColumn("mode_idx", F.lit(mode))
         out = row if out is None else out.unionByName(row)
         left = left.join(members.select(*keys, "idx"), [*keys, "idx"], "left_anti")
