@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
-from tessera.operators.cells import cell, neighbours
+from tessera.operators import blocks
 
 
 def greedy_pairs(edges: DataFrame, threshold: float, rounds: int = 8) -> DataFrame:
@@ -56,26 +57,24 @@ def additive_pairs(base: DataFrame, more: DataFrame, threshold: float = 0.10) ->
 def margins(candidates: DataFrame, score: str, out: str) -> DataFrame:
     """Score minus the best score of a clearly different candidate of the sample, 0 if none (O52, O124).
 
-    ``candidates``: sample_id, cand_idx, angle, land_x, land_y and the score.  Candidates whose (angle, landing)
-    cells do not touch differ for certain, so those are met as the best score of each cell: of a sample's 28 best
-    cells at least one does not touch a given one.  Only candidates of touching cells are compared one by one.
+    ``candidates``: sample_id, cand_idx, angle, land_x, land_y and the score.  Every candidate goes down its sample's
+    scores to the first that differs, which for most stands among the first few.
     """
-    axes = (("angle", g.CLEAR_ANGLE), ("land_x", g.CLEAR_LANDING), ("land_y", g.CLEAR_LANDING))
-    names = [f"_b{i}" for i in range(3)]
-    rows = candidates.withColumns({n: cell(c, width) for n, (c, width) in zip(names, axes)})
-    best = rows.groupBy("sample_id", *names).agg(F.max(score).alias("_v"))
-    order = Window.partitionBy("sample_id").orderBy(F.desc("_v"), *names)
-    best = best.withColumn("_k", F.row_number().over(order)).where("_k <= 28")
-    best = best.groupBy("sample_id").agg(F.collect_list(F.struct(*names, "_v")).alias("_cells"))
-    apart = lambda c: F.greatest(*[F.abs(c[n] - F.col(n)) for n in names]) > 1
-    far = rows.join(best, "sample_id").withColumn("_far", F.array_max(F.transform(F.filter("_cells", apart), lambda c: c["_v"]))).drop("_cells", *names)
-    b = candidates.select("sample_id", F.col("cand_idx").alias("_c"), F.col("angle").alias("_a"), F.col("land_x").alias("_x"), F.col("land_y").alias("_y"), F.col(score).alias("_w"))
-    differ = g.clearly_different(F.col("angle"), F.col("land_x"), F.col("land_y"), F.col("_a"), F.col("_x"), F.col("_y"))
-    own = candidates.select("sample_id", "cand_idx", "angle", "land_x", "land_y")
-    touching = neighbours(own, b, ["sample_id"], [("angle", "_a", axes[0][1]), ("land_x", "_x", axes[1][1]), ("land_y", "_y", axes[2][1])])
-    near = touching.where((F.col("cand_idx") != F.col("_c")) & differ).groupBy("sample_id", "cand_idx").agg(F.max("_w").alias("_near"))
-    rival = F.coalesce(F.greatest("_far", "_near"), F.lit(0.0))
-    return far.join(near, ["sample_id", "cand_idx"], "left").withColumn(out, F.col(score) - rival).select(*candidates.columns, out)
+    names = ["angle", "land_x", "land_y"]
+
+    def rivals(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.dropna(subset=[score]).sort_values(score, ascending=False)
+        (p, x, y), (q, u, v) = ([t[c].to_numpy(float) for c in names] for t in (a, b))
+        own, other = a.cand_idx.to_numpy(), b.cand_idx.to_numpy()
+        differ = lambda i, j: (own[i, None] != other[j]) & ((np.abs(p[i, None] - q[j]) > g.CLEAR_ANGLE) | (np.sqrt((x[i, None] - u[j]) ** 2 + (y[i, None] - v[j]) ** 2) > g.CLEAR_LANDING))
+        found = blocks.first_values(differ, b[score].to_numpy(float), len(a))
+        return a[["sample_id", "cand_idx"]].assign(_rival=found)[np.isfinite(found)]
+
+    rows = candidates.select("sample_id", "cand_idx", *names, score)
+    types = dict(rows.dtypes)
+    met = blocks.compare(rows.drop(score), rows, ["sample_id"], ("cand_idx", "cand_idx"), rivals, f"sample_id {types['sample_id']}, cand_idx {types['cand_idx']}, _rival double")
+    best = met.groupBy("sample_id", "cand_idx").agg(F.max("_rival").alias("_rival"))
+    return candidates.join(best, ["sample_id", "cand_idx"], "left").withColumn(out, F.col(score) - F.coalesce("_rival", F.lit(0.0))).select(*candidates.columns, out)
 
 
 def choose(candidates: DataFrame, rule: str = "score") -> DataFrame:
