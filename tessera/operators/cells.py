@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most rows of a table that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast hint if ``df`` has few rows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def cell(column: str, width: float):
     return F.floor(F.col(column) / width)
 

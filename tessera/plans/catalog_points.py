@@ -11,6 +11,7 @@ from tessera.operators import matching as mt
 from tessera.operators import points as pt
 from tessera.plans import adapters as ad
 from tessera.plans.adapters import CANDIDATES_SQL, NEAR_SQL, POINTS_SQL, rounded
+from tessera.plans.stages import ensure_checkpoint_dir
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -202,7 +203,9 @@ SELECT t.sample_id, t.pose_id, count(*) AS n, round(quantile_cont(dx, 0.5), 6) +
 FROM top t JOIN df ON df.sample_id = t.sample_id AND df.pose_id = t.pose_id AND abs(floor((dx + 2500) / 12) - bx) <= 1 AND abs(floor((dy + 2500) / 12) - "by") <= 1 GROUP BY t.sample_id, t.pose_id, bx, "by" HAVING count(*) >= 3""")
 def hough_shift(spark, sf_dir):
     diffs = cd.differences(ad.points(spark, sf_dir, "iv"), ad.points(spark, sf_dir, "ex"), _grid(spark))
-    peaks = cd.top_bins(cd.votes(diffs, 12.0), 1)
+    ensure_checkpoint_dir(spark)
+    peaks = cd.top_bins(cd.votes(diffs, 12.0), 1).checkpoint()  # one a pose; all pairs are voted once
+    diffs = cd.peak_differences(ad.points(spark, sf_dir, "iv"), ad.points(spark, sf_dir, "ex"), _grid(spark), peaks, 12.0)
     return rounded(cd.bin_shift(diffs, peaks, 12.0).select("sample_id", "pose_id", "n", "tx", "ty"), "tx", "ty")
 
 
@@ -215,7 +218,7 @@ def window_votes(spark, sf_dir):
     modes = samples.select("sample_id", F.lit(2.0).alias("angle"), F.lit(310.0).alias("land_x"), F.lit(290.0).alias("land_y"))
     offsets = samples.select("sample_id", F.lit(10.0).alias("ox"), F.lit(20.0).alias("oy"))
     near = cd.poses_near(grid, modes, 5.0)
-    diffs = cd.differences(iv, ad.points(spark, sf_dir, "ex"), near)
+    diffs = cd.window_differences(iv, ad.points(spark, sf_dir, "ex"), near, modes, offsets, 60.0)
     return cd.votes(cd.in_window(diffs, near, modes, offsets, 60.0), 5.0)
 
 

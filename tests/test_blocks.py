@@ -1,10 +1,12 @@
 """Rows compared in blocks: small blocks and parts give what all pairs give."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, consensus
+from tessera.operators import blocks, consensus, kernels
 from tessera.operators import matching as mt
 from tessera.plans import adapters as ad
 from tessera.plans import catalog
@@ -47,3 +49,40 @@ def test_no_pair_becomes_a_row(spark, sf):
     for name in ("vote_modes", "cluster_modes", "consistency_gate", "soft_margin", "gate_dictionary"):
         assert "_cell" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString(), name
     assert ad.candidates(spark, sf).count() > 0
+
+
+def test_pose_errors_and_descriptors_make_no_row_a_pair(spark, sf):
+    plan = catalog.QUERIES["pose_errors"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    plan = catalog.QUERIES["descriptor_similarity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("cosine") < plan.index("Join")  # what is above the join of pairs only computes
+    assert "Aggregate" not in plan[: plan.index("Join")] and "Exchange" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.parametrize("radius", [0.5, 8.0, 30.0])
+def test_nearest_targets_by_growing_radius(radius, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0, 50, (400, 2)).round(), rng.normal(0, 50, (500, 2)).round()
+    d = np.sqrt(((a[:, None] - b) ** 2).sum(-1))
+    want = {i: (int(d[i].argmin()), d[i].min()) for i in range(400) if d[i].min() < radius}
+    i, j, e = kernels.nearest_targets(a, b, radius, at_once=1000)
+    assert dict(zip(i.tolist(), zip(j.tolist(), e.tolist()))) == want
+
+
+def test_nearest_pairs_of_crowded_fields_stay_small():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 50, (8000, 2)), rng.normal(0, 50, (8000, 2))
+    tracemalloc.start()
+    kernels.nearest_pairs(a, b, 30.0)  # five million pairs lie within the radius
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_differences_near_are_those_of_the_window(spark, sf):
+    from tessera.operators import candidates as cd
+
+    iv, ex = ad.points(spark, sf, "iv"), ad.points(spark, sf, "ex")
+    grid = cd.pose_grid(spark, (-6.0, 6.0, 6.0), (0.95, 1.05, 0.05))
+    poses = iv.select("sample_id").distinct().crossJoin(grid).withColumns({"_tx": F.lit(7.0), "_ty": F.lit(-11.0)})
+    shown = lambda t: sorted(tuple(r) for r in t.where("abs(dx - 7) <= 25 AND abs(dy + 11) <= 25").collect())
+    assert shown(cd.differences_near(iv, ex, poses, 25.0)) == shown(cd.differences(iv, ex, grid)) != []
