@@ -86,3 +86,15 @@ def test_differences_near_are_those_of_the_window(spark, sf):
     poses = iv.select("sample_id").distinct().crossJoin(grid).withColumns({"_tx": F.lit(7.0), "_ty": F.lit(-11.0)})
     shown = lambda t: sorted(tuple(r) for r in t.where("abs(dx - 7) <= 25 AND abs(dy + 11) <= 25").collect())
     assert shown(cd.differences_near(iv, ex, poses, 25.0)) == shown(cd.differences(iv, ex, grid)) != []
+
+
+@pytest.mark.parametrize("method", ["hough", "priors"])
+def test_registration_dealt_by_linear_parts_equals_the_whole_search(spark, sf, method):
+    from tessera.operators import registration as rg
+
+    iv, ex = ad.points(spark, sf, "iv").where("sample_id = 'm1__r1'"), ad.points(spark, sf, "ex").where("sample_id = 'm1__r1'")
+    got = rg.candidates(iv, ex, method, keep=5)
+    assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
+    a, b = (t.orderBy("idx").select("x", "y").toPandas().to_numpy() for t in (iv, ex))
+    want = rg.refined(a, b, {"hough": rg.hough, "priors": rg.with_priors}[method](a, b), np.zeros(2), 5)
+    assert [(r.score, r.angle) for r in got.orderBy("cand_idx").collect()] == [(s, angle) for s, _, angle, _ in want]
