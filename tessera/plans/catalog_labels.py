@@ -184,8 +184,7 @@ def ring_grow(spark, sf_dir):
 
 @query(f"WITH {_GROWN} SELECT * FROM fg f WHERE NOT EXISTS (SELECT 1 FROM px p WHERE p.sample_id = f.sample_id AND abs(p.row - f.row) + abs(p.col - f.col) = 1 AND p.pred <> f.label)")
 def ring_shrink(spark, sf_dir):
-    px = _labelled(spark, sf_dir)
-    return rs.shrink(px, px.drop("label"), KEY)
+    return rs.shrink(_labelled(spark, sf_dir), None, KEY)
 
 
 @query(f"""WITH {_GROWN}, n AS (SELECT f.*, p.prob, (SELECT count(*) FROM fg g WHERE g.sample_id = f.sample_id AND g.label = f.label AND abs(g.row - f.row) + abs(g.col - f.col) = 1) AS k FROM fg f JOIN px p USING (sample_id, row, col)),
