@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.operators import blocks
 
 
 #: Tasks that the left side is dealt to where all pairs of a sample are looked at.
@@ -68,6 +71,35 @@ def within(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = T
     return pairs.where(F.col("d") <= radius if inclusive else F.col("d") < radius)
 
 
+def nearest_two(left: DataFrame, right: DataFrame, reach: float, inclusive: bool = True, levels: int = 1) -> DataFrame:
+    """Of each left point the nearest right point of its sample (ties to the lower index) and how far off the second is (null:
+    none in reach): sample_id, level, i, j, d, second.  Targets may take part in several ``levels``: bits of a column ``_in``.
+
+    No pair of points becomes a row, however many lie in reach."""
+    types, given = dict(left.dtypes), "_in" in right.columns
+    a = left.select("sample_id", "idx", "x", "y")
+    b = right.select("sample_id", "idx", "x", "y", F.col("_in") if given else F.lit(1).cast("long").alias("_in"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("idx")
+        (source, target), marks, known, out = (t[["x", "y"]].to_numpy(float) for t in (a, b)), b["_in"].to_numpy(np.int64), {}, []
+        ids = b.idx.to_numpy()
+        for level in range(levels):
+            on = (marks >> level & 1).astype(bool)
+            if on.tobytes() not in known:
+                known[on.tobytes()] = blocks.nearest_two(source, target[on], reach, inclusive)
+            j, d, second = known[on.tobytes()]
+            met = j >= 0
+            out.append(pd.DataFrame({"sample_id": a.sample_id.to_numpy()[met], "level": level, "i": a.idx.to_numpy()[met], "j": ids[on][j[met]], "d": d[met], "second": np.where(np.isfinite(second), second, np.nan)[met]}))
+        return pd.concat(out)
+
+    schema = f"sample_id {types['sample_id']}, level int, i {types['idx']}, j {dict(right.dtypes)['idx']}, d double, second double"
+    met = blocks.compare(a, b, ["sample_id"], ("idx", "idx"), run, schema)
+    # a sample of several parts gives a row a part
+    best = met.groupBy("sample_id", "level", "i").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "j", "second"))), 1, 2).alias("_m"))
+    return best.select("sample_id", "level", "i", F.col("_m")[0]["j"].alias("j"), F.col("_m")[0]["d"].alias("d"), F.least(F.col("_m")[0]["second"], F.get("_m", F.lit(1))["d"]).alias("second"))
+
+
 def ranked(pairs: DataFrame) -> DataFrame:
     """rank_i: place of j among i's neighbours; rank_j: place of i among j's; ties to the lower index."""
     of = lambda key, other: F.row_number().over(Window.partitionBy("sample_id", key).orderBy("d", other))
