@@ -23,6 +23,8 @@ from tessera.plans.stages import ensure_checkpoint_dir
 # Ends of the grid, empty cells before a template's first point, separation of peaks.
 ANGLES, SCALES, MARGIN = (-35.0, 35.0), (0.85, 1.13), 2
 SEPARATION = (3.0, 20.0)
+#: Points times linear parts that are moved at once: their arrays stay in a core's cache, however many points a sample has.
+BLOCK = 1 << 15
 
 
 def even_axis(ends: tuple[float, float], step: float) -> np.ndarray:
@@ -62,13 +64,40 @@ def fast_size(n: int) -> int:
 
 def scatter(points: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Bilinear maps (sets, rows, columns) of point sets (sets, points, 2) in cells; all corners must lie inside."""
-    low = np.floor(points)
-    part, low = points - low, low.astype(np.int64)
-    flat = (np.arange(len(points))[:, None] * shape[0] + low[..., 1]) * shape[1] + low[..., 0]
-    at = np.stack([flat, flat + 1, flat + shape[1], flat + shape[1] + 1])
-    x, y = part[..., 0], part[..., 1]
-    weight = np.stack([(1 - x) * (1 - y), x * (1 - y), (1 - x) * y, x * y])
-    return np.bincount(at.ravel(), weight.ravel(), len(points) * shape[0] * shape[1]).reshape(len(points), *shape)
+    return spread(points[..., 0], points[..., 1], shape)
+
+
+def spread(x: np.ndarray, y: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """``scatter`` of columns ``x`` and rows ``y`` (sets, points).  The four weights of a point are sums of 1, x, y and xy of its
+    place in the cell, so a cell's four sums give what it leaves at its corners."""
+    col, row = np.floor(x), np.floor(y)
+    x, y = x - col, y - row
+    row *= shape[1]
+    row += col
+    row += (np.arange(len(x)) * (shape[0] * shape[1]))[:, None]
+    cell = row.astype(np.intp).ravel()
+    one, sx, sy, sxy = (np.bincount(cell, w, len(x) * shape[0] * shape[1]).reshape(len(x), *shape) for w in (None, x.ravel(), y.ravel(), (x * y).ravel()))
+    out = one - sx - sy + sxy
+    out[:, :, 1:] += (sx - sxy)[:, :, :-1]
+    out[:, 1:] += (sy - sxy)[:, :-1]
+    out[:, 1:, 1:] += sxy[:, :-1, :-1]
+    return out
+
+
+def outer(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull: a linear part has its least and largest coordinates there."""
+    order = points[np.lexsort((points[:, 1], points[:, 0]))]
+    first = np.flatnonzero(np.r_[True, np.diff(order[:, 0]) != 0])
+    last = np.r_[first[1:], len(order)] - 1
+    found = []
+    for line in (order[first], order[last][::-1]):  # lowest of each x from the left, highest from the right
+        chain = []
+        for x, y in line.tolist():
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (y - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (x - chain[-2][0]):
+                chain.pop()
+            chain.append((x, y))
+        found += chain
+    return np.unique(found, axis=0)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -104,19 +133,30 @@ class Frame:
         kernel[np.ix_(d % self.fft[0], d % self.fft[1])] = bell[:, None] * bell
         return np.fft.rfft2(image, self.fft) * np.fft.rfft2(kernel)
 
-    def peaks(self, spectrum: np.ndarray, source: np.ndarray, linear: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-        """Index, score and translation of the ``most`` best local maxima of each of a few linear parts.
+    def templates(self, source: np.ndarray, linear: np.ndarray, origin: np.ndarray) -> np.ndarray:
+        """Maps of the moved source, BLOCK points at a time."""
+        maps, at_once = np.zeros((len(linear), *self.template)), max(1, BLOCK // len(source))
+        for p in range(0, len(linear), at_once):
+            part, start = linear[p : p + at_once] / self.cell, origin[p : p + at_once]
+            for n in range(0, len(source), BLOCK):
+                x, y = (part[:, i] @ source[n : n + BLOCK].T + start[:, i, None] for i in (0, 1))
+                maps[p : p + at_once] += spread(x, y, self.template)
+        return maps
+
+    def peaks(self, spectrum: np.ndarray, source: np.ndarray, linear: np.ndarray, most: int, edge: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Index, score and translation of the ``most`` best local maxima of each of a few linear parts.  ``edge``: the source's
+        ``outer`` points, if known.
 
         A shift counts if the centre of the moved source lies on the canvas; a maximum is beaten by none of
         its eight neighbours that count.
         """
-        moved = np.einsum("pij,nj->pni", linear, source)
-        origin = MARGIN - np.floor(moved.min(1) / self.cell)
+        lowest = np.einsum("pij,nj->pni", linear, outer(source) if edge is None else edge).min(1)
+        origin = MARGIN - np.floor(lowest / self.cell)
         # transforms skip what is known to be empty (rows below the template) or never looked at (rows off the canvas)
-        maps = np.fft.fft(np.fft.rfft(scatter(moved / self.cell + origin[:, None], self.template), self.fft[1], 2), self.fft[0], 1)
+        maps = np.fft.fft(np.fft.rfft(self.templates(source, linear, origin), self.fft[1], 2), self.fft[0], 1)
         np.conjugate(maps, maps)
         maps *= spectrum
-        centre = moved.mean(1) / self.cell + origin  # of the template, in cells
+        centre = linear @ source.mean(0) / self.cell + origin  # of the template, in cells
         low, high = np.ceil(-centre.max(0)).astype(int) - 1, np.ceil(np.array(self.size) / self.cell - centre.min(0)).astype(int) + 1
         cols, rows = (np.arange(a, b) for a, b in zip(low, high))
         half = np.fft.ifft(maps, axis=1)[:, rows % self.fft[0]]
@@ -140,16 +180,16 @@ class Frame:
 
 
 def frame_of(source: np.ndarray, target: np.ndarray, linear: np.ndarray, cell: float, sigma: float) -> Frame:
-    """The common sizes for all poses of a sample."""
+    """The common sizes for all poses of a sample.  Of ``source`` the ``outer`` points are enough."""
     widest = np.zeros(2)
     for at in range(0, len(linear), 2048):
-        moved = np.einsum("pij,nj->pni", linear[at : at + 2048], source)
-        widest = np.maximum(widest, np.ptp(moved, axis=1).max(0))
+        moved = (linear[at : at + 2048].reshape(-1, 2) @ source.T).reshape(-1, 2, len(source))
+        widest = np.maximum(widest, np.ptp(moved, axis=2).max(0))
     template = tuple(int(w / cell) + MARGIN + 4 for w in widest[::-1])
     return Frame(tuple(target.min(0)), tuple(np.ptp(target, axis=0)), template, cell, sigma)
 
 
-_SPECTRA = "sample_id string, low array<double>, size array<double>, template array<int>, source array<double>, spectrum binary"
+_SPECTRA = "sample_id string, low array<double>, size array<double>, template array<int>, source array<double>, edge array<double>, spectrum binary"
 _PEAKS = "sample_id string, pose_id long, place int, score double, tx double, ty double"
 
 
@@ -161,8 +201,9 @@ def spectra(left: DataFrame, right: DataFrame, poses: DataFrame, cell: float, si
         rows = []
         if len(a) and len(b):
             src, dst = (x.sort_values("idx")[["x", "y"]].to_numpy(float) for x in (a, b))
-            frame = frame_of(src, dst, linear, cell, sigma)
-            rows.append((a.sample_id.iloc[0], frame.low, frame.size, frame.template, src.ravel(), frame.spectrum(dst).tobytes()))
+            edge = outer(src)
+            frame = frame_of(edge, dst, linear, cell, sigma)
+            rows.append((a.sample_id.iloc[0], frame.low, frame.size, frame.template, src.ravel(), edge.ravel(), frame.spectrum(dst).tobytes()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _SPECTRA.split(", ")])
 
     return left.select("sample_id", "idx", "x", "y").groupBy("sample_id").cogroup(right.select("sample_id", "idx", "x", "y").groupBy("sample_id")).applyInPandas(run, _SPECTRA)
@@ -186,12 +227,12 @@ def peaks(left: DataFrame, right: DataFrame, poses: DataFrame, cell: float = 2.0
         for row in part.itertuples():
             frame = Frame(tuple(row.low), tuple(row.size), tuple(map(int, row.template)), cell, sigma)
             spectrum = np.frombuffer(row.spectrum, complex).reshape(frame.fft[0], frame.fft[1] // 2 + 1)
-            source = np.asarray(row.source, float).reshape(-1, 2)
+            source, edge = (np.asarray(v, float).reshape(-1, 2) for v in (row.source, row.edge))
             ids = np.array([p["pose_id"] for p in row.poses])
             linear = np.array([[p[c] for c in "abcd"] for p in row.poses], float).reshape(-1, 2, 2)
             step = max(1, map_bytes // (48 * frame.fft[0] * frame.fft[1]))
             for at in range(0, len(ids), step):
-                pose, score, shift = frame.peaks(spectrum, source, linear[at : at + step], most)
+                pose, score, shift = frame.peaks(spectrum, source, linear[at : at + step], most, edge)
                 place = np.arange(len(pose)) - np.searchsorted(pose, pose) + 1
                 out.append(pd.DataFrame({"sample_id": key[0], "pose_id": ids[at + pose], "place": place, "score": score, "tx": shift[:, 0], "ty": shift[:, 1]}))
         return pd.concat(out)
