@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels
 from tessera.operators import points as pt
+from tessera.operators.cells import small
+from tessera.plans.stages import ensure_checkpoint_dir
 
 # Pair probability thresholds 0 to 0.3 by 0.025, gate thresholds 0 to 1 by 0.05.
 THRESHOLDS = tuple(round(0.025 * i, 3) for i in range(13))
@@ -200,7 +206,47 @@ def missing_ids(pairs: DataFrame, instances: DataFrame) -> DataFrame:
 def grouped_summary(rows: DataFrame, keys: list[str], value: str, edges: list[float]) -> DataFrame:
     """Count, mean, quartiles and a fixed-bin histogram."""
     slots = [F.count_if((F.col(value) >= lo) & (F.col(value) < hi)).alias(f"bin_{i}") for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *[F.percentile(value, F.lit(q)).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)], *slots)
+    sums = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *slots)
+    cuts = {f"q{int(100 * q)}": q for q in (0.25, 0.5, 0.75)}
+    both = _same_keys(sums, quantiles(rows, keys, value, list(cuts.values())), keys, "left")
+    return both.select(*keys, "n", "mean", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(cuts)], *[f"bin_{i}" for i in range(len(slots))])
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    """Join on equal keys, null ones among them."""
+    names = {c: f"_r_{c}" for c in (*keys, *more)}
+    right = right.withColumnsRenamed(names)
+    met = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()))
+    return left.join(right, met, how).drop(*names.values())
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], spans: int = 4096) -> DataFrame:
+    """Exact interpolated quantiles a group: keys, _q (an array in the order of ``shares``).  No task holds a group's values: they are
+    counted by spans of equal width, and those of the spans that hold a wanted rank alone are counted one by one and put in order."""
+    v = F.col(value).cast("double")
+    number = F.when(~F.isnan(v), v)
+    low, high = rows.agg(F.min(number), F.max(number)).first()
+    low, wide = low or 0.0, (high or 0.0) - (low or 0.0)
+    scale = spans / wide if 0 < wide < math.inf and spans / wide < math.inf else 0.0
+    span = F.when(F.isnan("_v"), F.lit(spans + 1)).otherwise(F.floor(F.nanvl((F.col("_v") - low) * scale, F.lit(0.0)))).cast("int")
+    placed = rows.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull()).withColumn("_span", span)
+    upto = Window.partitionBy(*keys).orderBy("_span")
+    hist = placed.groupBy(*keys, "_span").agg(F.count("*").alias("_c"))
+    hist = hist.withColumns({"_to": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    place = [(F.col("_n") - 1) * F.lit(float(q)) for q in shares]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (f(p).cast("long")).alias("rank"), p.alias("pos")) for i, p in enumerate(place) for f in (F.floor, F.ceil)])
+    wanted = hist.select("*", F.explode(F.array_distinct(ranks)).alias("_w")).where((F.col("_w.rank") < F.col("_to")) & (F.col("_w.rank") >= F.col("_to") - F.col("_c")))
+    wanted = wanted.select(*keys, "_span", (F.col("_to") - F.col("_c")).alias("_before"), "_w.*")
+    ensure_checkpoint_dir(rows.sparkSession)
+    wanted = wanted.checkpoint()  # a few rows a group
+    spots = small(wanted.select(*keys, "_span", "_before").distinct())
+    counted = _same_keys(placed, spots, keys, more=("_span",)).groupBy(*keys, "_span", "_before", "_v").agg(F.count("*").alias("_c"))
+    counted = counted.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_span").orderBy("_v")))
+    found = _same_keys(counted.select(*keys, "_span", "_v", "_c", "_to"), small(wanted.drop("_before")), keys, more=("_span",))
+    found = found.where((F.col("rank") < F.col("_to")) & (F.col("rank") >= F.col("_to") - F.col("_c")))
+    ends = found.groupBy(*keys, "i").agg(F.max("pos").alias("_p"), F.min_by("_v", "rank").alias("_a"), F.max_by("_v", "rank").alias("_b"))
+    between = (F.ceil("_p") - F.col("_p")) * F.col("_a") + (F.col("_p") - F.floor("_p")) * F.col("_b")
+    return ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias("q")))), lambda x: x["q"]).alias("_q"))
 
 
 def leave_one_out(rows: DataFrame, subjects: DataFrame) -> DataFrame:
